@@ -1,0 +1,195 @@
+"""Tables of a SQLite file as a Spark data source.
+
+``spark.read.format("sqlite_table").option("path", file).option("table", name).load()`` reads one
+table in parallel by ranges of its row id; ``format("sqlite_objects")`` lists tables and views.
+The file must lie where every executor can open it.
+"""
+
+from __future__ import annotations
+
+import sqlite3
+from collections.abc import Iterator
+from contextlib import closing
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import (
+    BinaryType,
+    DataType,
+    DoubleType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+)
+
+# File suffixes, and rows looked at for columns whose declaration names no type.
+SUFFIXES = (".sqlite", ".db", ".sqlite3")
+_TYPE_ROWS = 1000
+_BATCH_ROWS = 10_000
+
+
+def register(spark: SparkSession) -> None:
+    """Make both formats known to the session."""
+    spark.dataSource.register(SqliteObjects)
+    spark.dataSource.register(SqliteTable)
+
+
+def discover(spark: SparkSession, path: str) -> DataFrame:
+    """Tables and views of a file: ``name``, ``kind``, ``path``, sorted by name."""
+    register(spark)
+    return spark.read.format("sqlite_objects").option("path", path).load().orderBy("name")
+
+
+def read_table(spark: SparkSession, path: str, table: str, partitions: int = 8) -> DataFrame:
+    """One table or view."""
+    register(spark)
+    return (
+        spark.read.format("sqlite_table")
+        .option("path", path)
+        .option("table", table)
+        .option("partitions", str(partitions))
+        .load()
+    )
+
+
+def _open(path: str) -> closing[sqlite3.Connection]:
+    return closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True))
+
+
+def _identifier(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+class SqliteObjects(DataSource):
+    """The catalog of a SQLite file."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "sqlite_objects"
+
+    def schema(self) -> str:
+        return "name string, kind string, path string"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _ObjectsReader(self.options["path"])
+
+
+class _ObjectsReader(DataSourceReader):
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def read(self, partition: InputPartition) -> Iterator[tuple[Any, ...]]:
+        with _open(self.path) as connection:
+            for name, kind in connection.execute("select name, type from sqlite_master"):
+                if kind in ("table", "view") and not name.lower().startswith("sqlite_"):
+                    yield name, kind, self.path
+
+
+class SqliteTable(DataSource):
+    """One table or view of a SQLite file."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "sqlite_table"
+
+    def schema(self) -> StructType:
+        source = _identifier(self.options["table"])
+        with _open(self.options["path"]) as connection:
+            declared = connection.execute(f"pragma table_info({source})").fetchall()
+            head = connection.execute(f"select * from {source} limit {_TYPE_ROWS}").fetchall()
+        return StructType(
+            [
+                StructField(name, _column_type(kind or "", [row[i] for row in head]))
+                for i, (_, name, kind, *_) in enumerate(declared)
+            ]
+        )
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _TableReader(self.options, schema)
+
+
+def _column_type(declared: str, seen: list[Any]) -> DataType:
+    """The declared type where it is clear, otherwise the type of the first values."""
+    kind = declared.upper()
+    if "INT" in kind:
+        return LongType()
+    if any(word in kind for word in ("CHAR", "CLOB", "TEXT")):
+        return StringType()
+    if any(word in kind for word in ("REAL", "FLOA", "DOUB")):
+        return DoubleType()
+    if "BLOB" in kind:
+        return BinaryType()
+    types = {type(value) for value in seen if value is not None}
+    if types == {int}:
+        return LongType()
+    if types and types <= {int, float}:
+        return DoubleType()
+    if types == {bytes}:
+        return BinaryType()
+    return StringType()
+
+
+class _RowIds(InputPartition):
+    """A range of row ids; ``None`` bounds mean the whole object."""
+
+    def __init__(self, first: int | None, last: int | None) -> None:
+        super().__init__(None)
+        self.first, self.last = first, last
+
+
+class _TableReader(DataSourceReader):
+    def __init__(self, options: dict[str, str], schema: StructType) -> None:
+        self.path, self.table = options["path"], options["table"]
+        self.count = max(1, int(options.get("partitions", "8")))
+        self.types = [f.dataType for f in schema.fields]
+
+    def partitions(self) -> list[InputPartition]:
+        with _open(self.path) as connection:
+            try:
+                low, high = connection.execute(
+                    f"select min(rowid), max(rowid) from {_identifier(self.table)}"
+                ).fetchone()
+            except sqlite3.OperationalError:
+                return [_RowIds(None, None)]
+        if low is None or not isinstance(low, int):
+            return [_RowIds(None, None)]
+        step = max(1, -(-(high - low + 1) // self.count))
+        return [
+            _RowIds(start, min(high, start + step - 1)) for start in range(low, high + 1, step)
+        ]
+
+    def read(self, partition: _RowIds) -> Iterator[tuple[Any, ...]]:
+        query = f"select * from {_identifier(self.table)}"
+        bounds: tuple[int, ...] = ()
+        if partition.first is not None:
+            query += " where rowid between ? and ? order by rowid"
+            bounds = (partition.first, partition.last)
+        with _open(self.path) as connection:
+            cursor = connection.execute(query, bounds)
+            while rows := cursor.fetchmany(_BATCH_ROWS):
+                for row in rows:
+                    yield tuple(
+                        _fitted(value, kind) for value, kind in zip(row, self.types, strict=True)
+                    )
+
+
+def _fitted(value: Any, kind: DataType) -> Any:
+    """A stored value as its column's type; SQLite lets any row hold any type."""
+    if value is None:
+        return None
+    if isinstance(kind, LongType):
+        if isinstance(value, int):
+            return value
+    elif isinstance(kind, DoubleType):
+        if isinstance(value, (int, float)):
+            return float(value)
+    elif isinstance(kind, BinaryType):
+        if isinstance(value, bytes):
+            return value
+    elif isinstance(value, str):
+        return value
+    elif not isinstance(value, bytes):
+        return str(value)
+    raise TypeError(f"{value!r} does not fit a {kind.simpleString()} column")
