@@ -29,6 +29,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def sql_text(value: str) -> str:
+    """``value`` as a SQL string constant."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def col(df: DataFrame, name: str) -> Column:
     """The column called exactly ``name``; dots are part of the name, not a path."""
     require(df, [name])

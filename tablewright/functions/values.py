@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.errors import RequestError
-from tablewright.functions.columns import col, dtype
+from tablewright.functions.columns import col, dtype, quoted
 
 # Texts up to this length are shuffled as they are; longer ones travel as a digest.
 _LONG_TEXT = 64
@@ -36,180 +36,158 @@ def is_nested(data_type: T.DataType) -> bool:
     return isinstance(data_type, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
 
 
+# The forms below are Spark SQL text over one operand, itself SQL text such as a quoted column name.
+# One parsed expression costs one call into the JVM, where the same built from Column objects would
+# cost dozens; on wide tables that is the difference between seconds and minutes of planning.
+
+
 # --- text ---------------------------------------------------------------------------------
 
 
-def text_expr(c: Column, data_type: T.DataType) -> Column:
-    """``c`` as text.
+def text_sql(x: str, data_type: T.DataType) -> str:
+    """``x`` as text.
 
     Doubles print in plain notation from 1e-4 up to 1e16 and as ``1e+16`` / ``1.5e-05`` outside,
     instead of Spark's ``1.0E7``.  Lists of numbers print as ``[1, 2]``, other nested values as JSON.
     """
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        return _number_text(c)
+        return _number_text(x)
     if isinstance(data_type, T.ArrayType) and _is_plain(data_type.elementType):
-        items = F.transform(c, lambda x: text_expr(x, data_type.elementType))
-        return F.concat(F.lit("["), F.array_join(items, ", ", "NULL"), F.lit("]"))
+        item = text_sql("item", data_type.elementType)
+        return f"concat('[', array_join(transform({x}, item -> {item}), ', ', 'NULL'), ']')"
     if is_nested(data_type):
-        return F.to_json(c, {"ignoreNullFields": "false"})
+        return _json(x)
     if isinstance(data_type, T.BinaryType):
-        return F.hex(c)
-    return c.cast("string")
+        return f"hex({x})"
+    return f"cast({x} as string)"
 
 
 def _is_plain(data_type: T.DataType) -> bool:
     return isinstance(data_type, (T.NumericType, T.BooleanType, T.DateType))
 
 
-def as_text(df: DataFrame, name: str) -> Column:
-    return text_expr(col(df, name), dtype(df, name))
-
-
-def _number_text(c: Column) -> Column:
-    size = F.abs(c)
-    java = c.cast("string")
-    digits = F.regexp_replace(java.cast("decimal(38,21)").cast("string"), "0+$", "")
-    plain = F.regexp_replace(digits, r"\.$", ".0")
-    mantissa = F.regexp_replace(F.substring_index(java, "E", 1), r"\.0$", "")
-    exponent = F.substring_index(java, "E", -1).cast("int")
-    power = F.abs(exponent)
-    scientific = F.concat(
-        mantissa,
-        F.when(exponent < 0, "e-").otherwise("e+"),
-        F.when(power < 10, F.concat(F.lit("0"), power.cast("string"))).otherwise(
-            power.cast("string")
-        ),
-    )
-    return (
-        F.when(c.isNull(), None)
-        .when(F.isnan(c), "nan")
-        .when(size == float("inf"), F.when(c > 0, "inf").otherwise("-inf"))
-        .when((size == 0) | ((size >= 1e-3) & (size < 1e7)), java)
-        .when((size >= 1e-4) & (size < 1e16), plain)
-        .otherwise(scientific)
-    )
+def _json(x: str) -> str:
+    return f"to_json({x}, map('ignoreNullFields', 'false'))"
 
 
-def shuffle_key(c: Column, data_type: T.DataType) -> Column:
+def as_text(df: DataFrame, name: str) -> Column:
+    return F.expr(text_sql(quoted(name), dtype(df, name)))
+
+
+def _number_text(x: str) -> str:
+    java = f"cast({x} as string)"
+    plain = f"rtrim('0', cast(cast({java} as decimal(38,21)) as string))"
+    digits = f"substring_index({java}, 'E', 1)"
+    mantissa = f"if(endswith({digits}, '.0'), substring_index({digits}, '.', 1), {digits})"
+    exponent = f"cast(substring_index({java}, 'E', -1) as int)"
+    return f"""case
+        when {x} is null or (abs({x}) >= 1e-3 and abs({x}) < 1e7) or {x} = 0 then {java}
+        when isnan({x}) then 'nan'
+        when abs({x}) = double('Infinity') then if({x} > 0, 'inf', '-inf')
+        when abs({x}) >= 1e-4 and abs({x}) < 1e16
+          then concat({plain}, if(endswith({plain}, '.'), '0', ''))
+        else concat({mantissa}, 'e', if({exponent} < 0, '-', '+'),
+                    if(abs({exponent}) < 10, '0', ''), cast(abs({exponent}) as string))
+        end"""
+
+
+def key_sql(x: str, data_type: T.DataType) -> str:
     """An equality-preserving, bounded-size stand-in for grouping on a column.
 
     Long texts and nested values become a SHA-256 digest, so counting distinct pages or documents
     moves 65 bytes a row through the shuffle and not the text.  A digest is longer than any text
     kept as it is, so the two kinds cannot meet.
     """
+    if isinstance(data_type, T.MapType):
+        return f"sha2({_json(f'array_sort(map_entries({x}))')}, 256)"
     if is_nested(data_type):
-        if isinstance(data_type, T.MapType):
-            c = F.array_sort(F.map_entries(c))
-        return F.sha2(F.to_json(c, {"ignoreNullFields": "false"}), 256)
-    if isinstance(data_type, T.BinaryType):
-        return F.when(F.length(c) > _LONG_TEXT, F.concat(F.lit("#"), F.sha2(c, 256))).otherwise(
-            F.hex(c)
-        )
-    if isinstance(data_type, T.StringType):
-        return F.when(
-            F.length(c) > _LONG_TEXT, F.concat(F.lit("#"), F.sha2(c, 256))
-        ).otherwise(c)
-    return c
+        return f"sha2({_json(x)}, 256)"
+    if isinstance(data_type, (T.StringType, T.BinaryType)):
+        short = f"hex({x})" if isinstance(data_type, T.BinaryType) else x
+        return f"if(length({x}) > {_LONG_TEXT}, concat('#', sha2({x}, 256)), {short})"
+    return x
+
+
+def shuffle_key(df: DataFrame, name: str) -> Column:
+    return F.expr(key_sql(quoted(name), dtype(df, name)))
 
 
 # --- numbers ------------------------------------------------------------------------------
 
 
-def double_expr(c: Column, data_type: T.DataType) -> Column:
-    """``c`` read as a double, NULL where it is not a number.
+def double_sql(x: str, data_type: T.DataType) -> str:
+    """``x`` read as a double, NULL where it is not a number.
 
     Dates, timestamps and nested values are never numbers, and text such as ``5d`` or ``0x1p3``,
     which a Java parser would take, is not one either.
     """
     if isinstance(data_type, (T.NumericType, T.BooleanType)):
-        return c.cast("double")
+        return f"cast({x} as double)"
     if isinstance(data_type, T.StringType):
-        return F.when(~c.rlike(r"(?i)([0-9.]\s*[df]\s*$)|0x"), c.try_cast("double"))
-    return F.lit(None).cast("double")
+        return rf"if({x} rlike r'(?i)([0-9.]\s*[df]\s*$)|0x', null, try_cast({x} as double))"
+    return "cast(null as double)"
 
 
 def as_double(df: DataFrame, name: str) -> Column:
-    return double_expr(col(df, name), dtype(df, name))
+    return F.expr(double_sql(quoted(name), dtype(df, name)))
 
 
 # --- strict casts -------------------------------------------------------------------------
 
 
-def strict_cast(c: Column, data_type: T.DataType, target: str) -> Column:
+def strict_cast(df: DataFrame, name: str, target: str) -> Column:
     """Cast that fails the query on a value it cannot convert."""
-    name = target.upper()
-    if name not in CAST_TYPES:
+    kind = target.upper()
+    if kind not in CAST_TYPES:
         raise RequestError(f"unsupported cast type: {target}", code="bad_cast")
-    if name == "VARCHAR":
-        return text_expr(c, data_type)
-    attempt = {
-        "BIGINT": _to_bigint,
-        "DOUBLE": _to_double,
-        "BOOLEAN": _to_boolean,
-        "TIMESTAMP": _to_timestamp,
-        "DATE": _to_date,
-    }[name](c, data_type)
-    complaint = F.raise_error(
-        F.concat(F.lit("cannot convert '"), c.cast("string"), F.lit(f"' to {name}"))
+    x, data_type = quoted(name), dtype(df, name)
+    if kind == "VARCHAR":
+        return F.expr(text_sql(x, data_type))
+    attempt = try_sql(x, data_type, kind)
+    return F.expr(
+        f"""case when {x} is not null and ({attempt}) is null
+              then raise_error(concat('cannot convert \\'', cast({x} as string), '\\' to {kind}'))
+              else {attempt} end"""
     )
-    return F.when(c.isNotNull() & attempt.isNull(), complaint).otherwise(attempt)
-
-
-def _unsupported(data_type: T.DataType, target: str) -> RequestError:
-    return RequestError(f"cannot cast {data_type.simpleString()} to {target}", code="bad_cast")
 
 
-def _to_bigint(c: Column, data_type: T.DataType) -> Column:
-    if isinstance(data_type, (T.DoubleType, T.FloatType)):
+def try_sql(x: str, data_type: T.DataType, kind: str) -> str:
+    """``x`` as one of the cast types, NULL where its value has no such form."""
+    text = isinstance(data_type, T.StringType)
+    moment = isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    number = isinstance(data_type, (T.NumericType, T.BooleanType))
+    if kind == "BIGINT" and isinstance(data_type, (T.DoubleType, T.FloatType)):
         # Halves go to the even neighbour.
-        return F.rint(c).try_cast("bigint")
-    if isinstance(data_type, T.DecimalType):
-        return F.round(c, 0).try_cast("bigint")
-    if isinstance(data_type, T.StringType):
+        return f"try_cast(rint({x}) as bigint)"
+    if kind == "BIGINT" and isinstance(data_type, T.DecimalType):
+        return f"try_cast(round({x}, 0) as bigint)"
+    if kind == "BIGINT" and text:
         # Text with a point or an exponent is read exactly; halves go away from zero.
-        fraction = F.round(c.try_cast("decimal(38,18)"), 0).try_cast("bigint")
-        return F.coalesce(c.try_cast("bigint"), fraction)
-    if isinstance(data_type, (T.IntegralType, T.BooleanType)):
-        return c.cast("bigint")
-    raise _unsupported(data_type, "BIGINT")
-
-
-def _to_double(c: Column, data_type: T.DataType) -> Column:
-    if isinstance(data_type, (T.NumericType, T.BooleanType, T.StringType)):
-        return double_expr(c, data_type)
-    raise _unsupported(data_type, "DOUBLE")
-
-
-def _to_boolean(c: Column, data_type: T.DataType) -> Column:
-    if isinstance(data_type, (T.NumericType, T.BooleanType)):
-        return c.cast("boolean")
-    if isinstance(data_type, T.StringType):
-        return c.try_cast("boolean")
-    raise _unsupported(data_type, "BOOLEAN")
+        return f"""coalesce(try_cast({x} as bigint),
+                            try_cast(round(try_cast({x} as decimal(38,18)), 0) as bigint))"""
+    if kind == "DOUBLE" and (number or text):
+        return double_sql(x, data_type)
+    if kind == "BOOLEAN" and text:
+        return f"try_cast({x} as boolean)"
+    if kind in {"BIGINT", "BOOLEAN"} and number:
+        return f"cast({x} as {CAST_TYPES[kind]})"
+    if kind == "TIMESTAMP" and text:
+        return f"try_cast({_iso_day(x)} as timestamp_ntz)"
+    if kind == "DATE" and text:
+        # A time part must be a real time, even though only the day is kept.
+        return f"""if(try_cast({_iso_day(x)} as timestamp_ntz) is null, null,
+                      try_cast({_iso_day(x)} as date))"""
+    if kind in {"TIMESTAMP", "DATE"} and moment:
+        return f"cast({x} as {CAST_TYPES[kind]})"
+    raise RequestError(f"cannot cast {data_type.simpleString()} to {kind}", code="bad_cast")
 
 
-def _iso_day(c: Column) -> Column:
+def _iso_day(x: str) -> str:
     """Text with slashes turned to dashes; years and months on their own are no dates."""
-    tidy = F.regexp_replace(F.trim(c), r"^(\d{1,4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
-    return F.when(~tidy.rlike(r"^\d+(-\d{1,2})?$"), tidy)
-
-
-def _to_timestamp(c: Column, data_type: T.DataType) -> Column:
-    if isinstance(data_type, T.StringType):
-        return _iso_day(c).try_cast("timestamp_ntz")
-    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return c.cast("timestamp_ntz")
-    raise _unsupported(data_type, "TIMESTAMP")
-
-
-def _to_date(c: Column, data_type: T.DataType) -> Column:
-    if isinstance(data_type, T.StringType):
-        tidy = _iso_day(c)
-        # A time part must be a real time, even though only the day is kept.
-        return F.when(tidy.try_cast("timestamp_ntz").isNotNull(), tidy.try_cast("date"))
-    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return c.cast("date")
-    raise _unsupported(data_type, "DATE")
+    dashed = (
+        rf"regexp_replace(trim({x}), r'^(\d{{1,4}})/(\d{{1,2}})/(\d{{1,2}})', '$1-$2-$3')"
+    )
+    return rf"if({dashed} rlike r'^\d+(-\d{{1,2}})?$', null, {dashed})"
 
 
 # --- literals -----------------------------------------------------------------------------

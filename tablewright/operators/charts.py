@@ -229,31 +229,28 @@ def histogram(df: DataFrame, x: str, bins: int = BINS) -> DataFrame:
     finite = df.select(number.alias("v")).filter(
         F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != float("inf"))
     )
-    lo, hi = F.min("v").alias("lo"), F.max("v").alias("hi")
-    complaint = F.raise_error(F.lit(f"a histogram needs numbers in '{x}'"))
-    bounds = (
-        finite.agg(lo, hi)
-        .select(
-            F.struct(
-                F.when(F.col("lo").isNull(), complaint).otherwise(F.col("lo")).alias("lo"),
-                F.col("hi"),
-            ).alias("b")
-        )
-        .scalar()
-    )
+    ends = finite.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    bounds = ends.select(F.struct("lo", "hi").alias("b")).scalar()
     low, high = bounds["lo"], bounds["hi"]
     width = (high - low) / F.lit(float(bins))
     slot = F.floor((F.col("v") - low) / width).cast("bigint") + 1
     bin_id = F.when(low == high, F.lit(1)).otherwise(
         F.least(F.lit(bins), F.greatest(F.lit(1), slot))
     )
-    return (
+    counts = (
         finite.select(bin_id.cast("int").alias("bin_id"))
         .groupBy("bin_id")
         .agg(F.count(F.lit(1)).alias("value"))
         .select(F.col("bin_id").cast("string").alias("category"), "value", "bin_id")
-        .orderBy("category")
     )
+    # No row passes here unless there was no number, and then reading it fails the query.
+    complaint = F.raise_error(F.lit(f"a histogram needs numbers in '{x}'"))
+    check = ends.filter(F.col("lo").isNull()).select(
+        complaint.cast("string").alias("category"),
+        F.lit(0).cast("bigint").alias("value"),
+        F.lit(0).alias("bin_id"),
+    )
+    return counts.unionByName(check).orderBy("category")
 
 
 def scatter(

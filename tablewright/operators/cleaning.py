@@ -44,7 +44,7 @@ def cast_column(df: DataFrame, column: str, target: str) -> DataFrame:
 
     A value that cannot be converted fails the query; nothing turns silently into NULL.
     """
-    return _rewritten(df, column, v.strict_cast(col(df, column), dtype(df, column), target))
+    return _rewritten(df, column, v.strict_cast(df, column, target))
 
 
 def fill_null(df: DataFrame, column: str, value: Any) -> DataFrame:

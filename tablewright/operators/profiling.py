@@ -27,7 +27,9 @@ from tablewright.functions.columns import (
     col,
     dtype,
     logical_type,
+    quoted,
     select_all,
+    sql_text,
     visible,
 )
 
@@ -37,6 +39,9 @@ COLUMNWISE_LIMIT = 48
 
 SAMPLE_VALUES = 5
 
+# Name of the working column that carries the means and deviations of all numeric columns.
+_MOMENTS = "_moments"
+
 
 def is_number(df: DataFrame, name: str) -> bool:
     return logical_type(dtype(df, name)) in {INTEGER, FLOAT}
@@ -53,55 +58,46 @@ def basic_statistics(df: DataFrame, outliers: bool = True) -> DataFrame:
     """Per column: ``row_count``, ``null_count``, ``min_value``, ``max_value``, ``outlier_count``.
 
     Extremes are found on typed values and then printed.  An outlier is a number more than three
-    sample standard deviations from the mean.  Everything is one aggregation; mean and deviation
-    enter it as a scalar subquery, which is one row however large the table.
+    sample standard deviations from the mean.  Everything is one aggregation; means and deviations
+    enter it as one scalar subquery, which is one row however large the table.
     """
     names = visible(df)
     numeric = [n for n in names if is_number(df, n)] if outliers else []
-    moments = _moments(df, numeric) if numeric else None
-    aggregates: list[Column] = [F.count(F.lit(1)).alias("rows")]
+    basis = df.withColumn(_MOMENTS, _moments(df, numeric)) if numeric else df
+    aggregates = ["count(1) as rows"]
+    rows = []
     for i, name in enumerate(names):
-        c, data_type = col(df, name), dtype(df, name)
-        ordered = _orderable(data_type)
-        low = v.text_expr(F.min(c), data_type) if ordered else F.lit(None).cast("string")
-        high = v.text_expr(F.max(c), data_type) if ordered else F.lit(None).cast("string")
-        far = F.lit(0).cast("bigint")
+        x, data_type = quoted(name), dtype(df, name)
+        ends = [f"{end}({x})" if _orderable(data_type) else "null" for end in ("min", "max")]
+        far = "cast(0 as bigint)"
         if name in numeric:
-            mean, deviation = moments[f"mean{i}"], moments[f"dev{i}"]
-            far = F.count_if(
-                (deviation > 0) & (F.abs(v.as_double(df, name) - mean) > 3 * deviation)
-            )
+            mean, deviation = f"{_MOMENTS}.mean{i}", f"{_MOMENTS}.dev{i}"
+            distance = f"abs({v.double_sql(x, data_type)} - {mean})"
+            far = f"count_if({deviation} > 0 and {distance} > 3 * {deviation})"
         aggregates += [
-            F.count(c).alias(f"present{i}"),
-            low.alias(f"low{i}"),
-            high.alias(f"high{i}"),
-            far.alias(f"far{i}"),
+            f"count({x}) as present{i}",
+            f"{ends[0]} as low{i}",
+            f"{ends[1]} as high{i}",
+            f"{far} as far{i}",
         ]
-    wide = df.agg(*aggregates)
-    per_column = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.lit(name).alias("column_name"),
-            F.col("rows").alias("row_count"),
-            (F.col("rows") - F.col(f"present{i}")).alias("null_count"),
-            F.col(f"low{i}").alias("min_value"),
-            F.col(f"high{i}").alias("max_value"),
-            F.col(f"far{i}").alias("outlier_count"),
+        rows.append(
+            f"""struct({i} as position, {sql_text(name)} as column_name, rows as row_count,
+                       rows - present{i} as null_count, far{i} as outlier_count,
+                       {v.text_sql(f"low{i}", data_type)} as min_value,
+                       {v.text_sql(f"high{i}", data_type)} as max_value)"""
         )
-        for i, name in enumerate(names)
-    ]
-    return wide.select(F.inline(F.array(*per_column)))
+    wide = basis.agg(*[F.expr(a) for a in aggregates])
+    return wide.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def _moments(df: DataFrame, numeric: Sequence[str]) -> Column:
-    names = visible(df)
     parts = []
-    for i, name in enumerate(names):
+    for i, name in enumerate(visible(df)):
         if name in numeric:
-            number = v.as_double(df, name)
-            parts += [F.avg(number).alias(f"mean{i}"), F.stddev_samp(number).alias(f"dev{i}")]
-    stats = df.agg(*parts)
-    return stats.select(F.struct(*[F.col(n) for n in stats.columns]).alias("m")).scalar()
+            number = v.double_sql(quoted(name), dtype(df, name))
+            parts += [f"avg({number}) as mean{i}", f"stddev_samp({number}) as dev{i}"]
+    stats = df.agg(*[F.expr(part) for part in parts])
+    return stats.select(F.struct("*").alias("m")).scalar()
 
 
 def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -129,7 +125,7 @@ def distinct_counts(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def _own_count(df: DataFrame, name: str) -> DataFrame:
-    key = v.shuffle_key(col(df, name), dtype(df, name)).alias("k")
+    key = v.shuffle_key(df, name).alias("k")
     return (
         df.select(key)
         .distinct()
@@ -139,21 +135,10 @@ def _own_count(df: DataFrame, name: str) -> DataFrame:
 
 
 def _unpivoted_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    cells = []
-    for i, name in enumerate(names):
-        whole, real, text = _typed_cell(df, name)
-        cells.append(
-            F.struct(
-                F.lit(i).alias("position"),
-                whole.alias("whole"),
-                real.alias("real"),
-                text.alias("text"),
-            )
-        )
-    present = F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull()
+    cells = ", ".join(f"struct({i} as position, {_typed_cell(df, n)})" for i, n in enumerate(names))
     counted = (
-        df.select(F.inline(F.array(*cells)))
-        .filter(present)
+        df.selectExpr(f"inline(array({cells}))")
+        .filter("whole is not null or real is not null or text is not null")
         .distinct()
         .groupBy("position")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -166,32 +151,29 @@ def _unpivoted_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
         counted.unionByName(every)
         .groupBy("position")
         .agg(F.max("n").alias("distinct_count"))
-        .select(
-            F.element_at(F.array(*[F.lit(n) for n in names]), F.col("position") + 1).alias(
-                "column_name"
-            ),
+        .selectExpr(
+            f"element_at(array({', '.join(map(sql_text, names))}), position + 1) as column_name",
             "distinct_count",
         )
     )
 
 
-def _typed_cell(df: DataFrame, name: str) -> tuple[Column, Column, Column]:
+def _typed_cell(df: DataFrame, name: str) -> str:
     """A value as whole number, real number or text, the other two being NULL."""
-    c, data_type = col(df, name), dtype(df, name)
-    whole, real, text = (F.lit(None).cast(t) for t in ("bigint", "double", "string"))
+    x, data_type = quoted(name), dtype(df, name)
+    cell = {"whole": "cast(null as bigint)", "real": "cast(null as double)"}
+    cell["text"] = "cast(null as string)"
     if isinstance(data_type, (T.IntegralType, T.BooleanType)):
-        whole = c.cast("bigint")
+        cell["whole"] = f"cast({x} as bigint)"
     elif isinstance(data_type, (T.DoubleType, T.FloatType)):
-        real = c.cast("double")
-    elif isinstance(data_type, (T.StringType, T.BinaryType)) or v.is_nested(data_type):
-        text = v.shuffle_key(c, data_type)
+        cell["real"] = f"cast({x} as double)"
     else:
-        text = c.cast("string")
-    return whole, real, text
+        cell["text"] = f"cast({v.key_sql(x, data_type)} as string)"
+    return ", ".join(f"{value} as {label}" for label, value in cell.items())
 
 
 def _approximate_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    keys = [v.shuffle_key(col(df, n), dtype(df, n)) for n in names]
+    keys = [v.shuffle_key(df, n) for n in names]
     wide = df.agg(*[F.approx_count_distinct(k).alias(f"d{i}") for i, k in enumerate(keys)])
     rows = [
         F.struct(F.lit(n).alias("column_name"), F.col(f"d{i}").alias("distinct_count"))
@@ -245,9 +227,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
     Equal rows are counted together inside each task first.
     """
-    keys = [
-        v.shuffle_key(col(df, n), dtype(df, n)).alias(f"k{i}") for i, n in enumerate(visible(df))
-    ]
+    keys = [v.shuffle_key(df, n).alias(f"k{i}") for i, n in enumerate(visible(df))]
     return (
         df.select(*keys)
         .groupBy(*[f"k{i}" for i in range(len(keys))])
@@ -331,24 +311,24 @@ def infer_text_types(df: DataFrame) -> DataFrame:
 
 
 def _inferred(df: DataFrame, name: str) -> DataFrame:
-    text = v.as_text(df, name)
     if any(word in name.lower() for word in _DATE_WORDS):
         # The name has decided; the table still vouches for the column.
         return df.agg(F.lit(DATETIME).alias("logical_type")).select(
             F.lit(name).alias("column_name"), "logical_type"
         )
+    words = ", ".join(f"'{word}'" for word in _TRUTH_WORDS)
     tests = {
-        "truth": F.lower(text).isin(*_TRUTH_WORDS),
-        "whole": text.rlike(_WHOLE),
-        "real": text.rlike(_REAL),
+        "truth": f"lower(x) in ({words})",
+        "whole": f"x rlike r'{_WHOLE}'",
+        "real": f"x rlike r'{_REAL}'",
     }
-    empty = text == ""
     values = (
-        df.select(
-            v.shuffle_key(text, T.StringType()).alias("k"),
-            *[(empty | test).alias(label) for label, test in tests.items()],
+        df.select(v.as_text(df, name).alias("x"))
+        .filter("x is not null")
+        .selectExpr(
+            f"{v.key_sql('x', T.StringType())} as k",
+            *[f"x = '' or {test} as {label}" for label, test in tests.items()],
         )
-        .filter(F.col("k").isNotNull())
         .groupBy("k")
         .agg(
             F.count(F.lit(1)).alias("n"),

@@ -118,7 +118,7 @@ def read_delimited(
         targets = [f.dataType.simpleString() for f in wanted.fields]
     return cleaned.select(
         *[
-            _converted(F.col(c), target).alias(name)
+            _converted(c, target).alias(name)
             for c, name, target in zip(raw.columns, names, targets, strict=True)
         ]
     )
@@ -136,40 +136,46 @@ _DAY = r"^\d{4}-\d{2}-\d{2}$"
 _MOMENT = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}(:\d{2}(:\d{2}(\.\d{1,9})?)?)?$"
 
 
-def _tests(c: Column) -> dict[str, Column]:
+def _tests(x: str) -> dict[str, str]:
+    day = f"({x} rlike r'{_DAY}' and try_cast({x} as date) is not null)"
+    moment = f"({x} rlike r'{_MOMENT}' and try_cast({x} as timestamp_ntz) is not null)"
+    truth = ", ".join(f"'{word}'" for word in _TRUTH)
     return {
-        "bigint": c.rlike(_WHOLE) & c.try_cast("bigint").isNotNull(),
-        "boolean": c.isin(*_TRUTH),
-        "date": c.rlike(_DAY) & c.try_cast("date").isNotNull(),
-        "timestamp_ntz": c.rlike(_MOMENT) & c.try_cast("timestamp_ntz").isNotNull(),
-        "double": v.double_expr(c, T.StringType()).isNotNull(),
+        "bigint": f"{x} rlike r'{_WHOLE}' and try_cast({x} as bigint) is not null",
+        "boolean": f"{x} in ({truth})",
+        "date": day,
+        # A timestamp column may hold bare dates among its moments.
+        "timestamp_ntz": f"{moment} or {day}",
+        "double": f"{v.double_sql(x, T.StringType())} is not null",
     }
 
 
 def _found_types(df: DataFrame) -> list[str]:
     """The type of each column; one row of verdicts comes back, never data."""
     verdicts = []
-    for c in df.columns:
-        tests = _tests(F.col(c))
-        # A timestamp column may hold bare dates among its moments.
-        tests["timestamp_ntz"] = tests["timestamp_ntz"] | tests["date"]
-        verdict = F.when(F.count(c) == 0, "string")
-        for target, test in tests.items():
-            verdict = verdict.when(F.bool_and(test), target)
-        verdicts.append(verdict.otherwise("string").alias(c))
+    for x in df.columns:
+        # NULL cells fit every type.
+        branches = " ".join(
+            f"when bool_and(if({x} is null, null, {test})) then '{target}'"
+            for target, test in _tests(x).items()
+        )
+        verdicts.append(
+            F.expr(f"case when count({x}) = 0 then 'string' {branches} else 'string' end").alias(x)
+        )
     return list(df.agg(*verdicts).head())
 
 
-def _converted(c: Column, target: str) -> Column:
+def _converted(x: str, target: str) -> Column:
     if target == "string":
-        return c
-    value = (
-        v.double_expr(c, T.StringType()).cast(target)
-        if target in {"double", "float"}
-        else F.trim(c).try_cast(target)
+        return F.col(x)
+    value = f"try_cast(trim({x}) as {target})"
+    if target in {"double", "float"}:
+        value = f"cast({v.double_sql(x, T.StringType())} as {target})"
+    return F.expr(
+        f"""case when {x} is not null and ({value}) is null
+              then cast(raise_error(concat('not a {target}: ', {x})) as {target})
+              else {value} end"""
     )
-    complaint = F.raise_error(F.concat(F.lit("not a " + target + ": "), c))
-    return F.when(c.isNotNull() & value.isNull(), complaint.cast(target)).otherwise(value)
 
 
 def preview(df: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:

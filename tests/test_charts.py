@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections import Counter
 
 import pytest
@@ -111,7 +112,8 @@ def test_histogram_of_constant_and_of_infinite_values(spark):
 def test_histogram_agrees_with_brute_force(spark):
     values = [((i * 37) % 1001) / 7 for i in range(2000)]
     low, high = min(values), max(values)
-    expected = Counter(min(20, int((x - low) // ((high - low) / 20)) + 1) for x in values)
+    width = (high - low) / 20
+    expected = Counter(min(20, math.floor((x - low) / width) + 1) for x in values)
     df = spark.createDataFrame([(x,) for x in values], "v double")
     assert {r.bin_id: r.value for r in c.histogram(df, "v").collect()} == dict(expected)
 

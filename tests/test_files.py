@@ -188,7 +188,7 @@ def test_csv_export(spark, table, tmp_path):
     tabular.write_csv(table, path)
     back = delimited.read_delimited(spark, path, delimiter=",")
     assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in table.collect())
-    assert "10000000.0" in spark.read.text(path).agg(F.max("value")).head()[0]
+    assert any("10000000.0" in r.value for r in spark.read.text(path).collect())
 
 
 def test_json_export(spark, table, tmp_path):
