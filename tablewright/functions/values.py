@@ -124,7 +124,8 @@ def double_sql(x: str, data_type: T.DataType) -> str:
     if isinstance(data_type, (T.NumericType, T.BooleanType)):
         return f"cast({x} as double)"
     if isinstance(data_type, T.StringType):
-        return rf"if({x} rlike r'(?i)([0-9.]\s*[df]\s*$)|0x', null, try_cast({x} as double))"
+        suffixed = f"right(rtrim(' \\t\\r\\n', {x}), 1) in ('d', 'f', 'D', 'F') and not {x} ilike '%inf%'"
+        return f"if(contains(lower({x}), 'x') or {suffixed}, null, try_cast({x} as double))"
     return "cast(null as double)"
 
 

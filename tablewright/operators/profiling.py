@@ -42,6 +42,9 @@ SAMPLE_VALUES = 5
 # Name of the working column that carries the means and deviations of all numeric columns.
 _MOMENTS = "_moments"
 
+# Name of the working column that carries a row's place in the order of sample values.
+_POSITION = "_position"
+
 
 def is_number(df: DataFrame, name: str) -> bool:
     return logical_type(dtype(df, name)) in {INTEGER, FLOAT}
@@ -110,16 +113,19 @@ def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 # --- distinct values ------------------------------------------------------------------------
 
 
-def distinct_counts(df: DataFrame, approximate: bool = False) -> DataFrame:
+def distinct_counts(
+    df: DataFrame, approximate: bool = False, single_pass: bool | None = None
+) -> DataFrame:
     """Per column: ``column_name`` and ``distinct_count``, exact unless asked otherwise.
 
     Exact counts group by value first and count the groups next, so both steps combine before they
-    shuffle and a value that fills a third of the table costs one row per task.
+    shuffle and a value that fills a third of the table costs one row per task.  Columns are scanned
+    one by one, or all in a ``single_pass`` when the table is wide or small.
     """
     names = visible(df)
     if approximate:
         return _approximate_counts(df, names)
-    if len(names) > COLUMNWISE_LIMIT:
+    if len(names) > COLUMNWISE_LIMIT if single_pass is None else single_pass:
         return _unpivoted_counts(df, names)
     return reduce(DataFrame.unionByName, [_own_count(df, n) for n in names])
 
@@ -186,42 +192,54 @@ def _approximate_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def sample_values(
-    df: DataFrame, order_by: str | None = None, count: int = SAMPLE_VALUES
+    df: DataFrame,
+    order_by: str | None = None,
+    count: int = SAMPLE_VALUES,
+    single_pass: bool | None = None,
 ) -> DataFrame:
     """Per column and rank: ``column_name``, ``sample_no``, ``sample_value``.
 
-    These are the first non-NULL values by ``order_by``, or by arrival.  Each column first finds
-    where its last wanted value stands, moving nothing but positions; then only the rows up to that
-    position are read for their values, which Parquet statistics keep to a few row groups.
+    These are the first non-NULL values by ``order_by``, or by arrival.  Column by column, the place
+    of the last wanted value is found first, which moves nothing but positions; then only the rows up
+    to there are read for their values, which Parquet statistics keep to a few row groups.  Wide or
+    small tables are ranked in a ``single_pass`` instead.  Either way every task sends at most
+    ``count`` rows per column to the shuffle.
     """
     names = visible(df)
     if order_by is None and ORDINAL in df.columns:
         order_by = ORDINAL
-    position = "_position"
     place = col(df, order_by) if order_by else F.monotonically_increasing_id()
-    placed = df.withColumn(position, place)
-    firsts = []
-    for name in names:
-        present = placed.filter(F.col(position).isNotNull() & col(df, name).isNotNull())
-        last = present.select(position).orderBy(position).limit(count).agg(F.max(position)).scalar()
-        firsts.append(
-            present.filter(F.col(position) <= last).select(
-                F.lit(name).alias("column_name"),
-                position,
-                v.as_text(df, name).alias("sample_value"),
-            )
+    placed = df.withColumn(_POSITION, place).filter(F.col(_POSITION).isNotNull())
+    if len(names) > COLUMNWISE_LIMIT if single_pass is None else single_pass:
+        cells = ", ".join(
+            f"struct({sql_text(n)} as column_name, "
+            f"{v.text_sql(quoted(n), dtype(df, n))} as sample_value)"
+            for n in names
+        )
+        values = placed.selectExpr(_POSITION, f"inline(array({cells}))")
+        values = values.filter("sample_value is not null")
+    else:
+        values = reduce(
+            DataFrame.unionByName, [_first_values(placed, df, n, count) for n in names]
         )
     rank = F.row_number().over(
-        Window.partitionBy("column_name").orderBy(position, "sample_value")
+        Window.partitionBy("column_name").orderBy(_POSITION, "sample_value")
     )
     return (
-        reduce(DataFrame.unionByName, firsts)
-        .withColumn("sample_no", rank)
+        values.withColumn("sample_no", rank)
         .filter(F.col("sample_no") <= count)
         .select("column_name", "sample_no", "sample_value")
     )
 
 
+def _first_values(placed: DataFrame, df: DataFrame, name: str, count: int) -> DataFrame:
+    present = placed.filter(col(df, name).isNotNull())
+    last = present.select(_POSITION).orderBy(_POSITION).limit(count)
+    return present.filter(F.col(_POSITION) <= last.agg(F.max(_POSITION)).scalar()).select(
+        F.lit(name).alias("column_name"), _POSITION, v.as_text(df, name).alias("sample_value")
+    )
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row with ``duplicate_count``: the rows beyond the first of each set of equal rows.
 
@@ -248,7 +266,8 @@ def profile_columns(
     cannot show that.  The parts are a few rows each and meet in one small grouping.
     """
     basic = basic_statistics(df, outliers)
-    distinct = distinct_counts(df, approximate)
+    # A sample is small enough to take all its columns at once.
+    distinct = distinct_counts(df, approximate, single_pass=sampled or None)
     merged = (
         basic.unionByName(distinct, allowMissingColumns=True)
         .groupBy("column_name")
@@ -318,7 +337,7 @@ def _inferred(df: DataFrame, name: str) -> DataFrame:
         )
     words = ", ".join(f"'{word}'" for word in _TRUTH_WORDS)
     tests = {
-        "truth": f"lower(x) in ({words})",
+        "truth": f"octet_length(x) <= 5 and lower(x) in ({words})",
         "whole": f"x rlike r'{_WHOLE}'",
         "real": f"x rlike r'{_REAL}'",
     }

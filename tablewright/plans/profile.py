@@ -46,7 +46,7 @@ def profile_report(
     ]
     names = F.create_map(*[F.lit(part) for pair in types for part in pair])
     samples = (
-        profiling.sample_values(basis, order_by)
+        profiling.sample_values(basis, order_by, single_pass=sampled or None)
         .groupBy("column_name")
         .agg(F.sort_array(F.collect_list(F.struct("sample_no", "sample_value"))).alias("s"))
         .select("column_name", F.col("s.sample_value").alias("sample_values"))

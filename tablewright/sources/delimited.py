@@ -129,40 +129,44 @@ def _delimiter_of(spark: SparkSession, path: str) -> str:
     return found["delimiter"] if found else ","
 
 
-# What the cells of a typed column look like.
-_WHOLE = r"^[ \t]*-?\d+[ \t]*$"
-_TRUTH = ("true", "True", "TRUE", "false", "False", "FALSE", "0", "1")
-_DAY = r"^\d{4}-\d{2}-\d{2}$"
+# The words of truth columns, and what a point in time looks like.
+_TRUTH = ("true", "True", "TRUE", "false", "False", "FALSE")
 _MOMENT = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}(:\d{2}(:\d{2}(\.\d{1,9})?)?)?$"
 
-
-def _tests(x: str) -> dict[str, str]:
-    day = f"({x} rlike r'{_DAY}' and try_cast({x} as date) is not null)"
-    moment = f"({x} rlike r'{_MOMENT}' and try_cast({x} as timestamp_ntz) is not null)"
-    truth = ", ".join(f"'{word}'" for word in _TRUTH)
-    return {
-        "bigint": f"{x} rlike r'{_WHOLE}' and try_cast({x} as bigint) is not null",
-        "boolean": f"{x} in ({truth})",
-        "date": day,
-        # A timestamp column may hold bare dates among its moments.
-        "timestamp_ntz": f"{moment} or {day}",
-        "double": f"{v.double_sql(x, T.StringType())} is not null",
-    }
+# The kinds of cells, one bit each, and the column types with the kinds each of them can hold, the
+# narrowest first.  Every cell is of the first kind it meets, so most cells take a single test.
+_BIT, _WHOLE, _WORD, _DAY, _TIME, _REAL, _OTHER = (1 << i for i in range(7))
+_COLUMN_TYPES = {
+    "bigint": _BIT | _WHOLE,
+    "boolean": _BIT | _WORD,
+    "date": _DAY,
+    "timestamp_ntz": _DAY | _TIME,
+    "double": _BIT | _WHOLE | _REAL,
+}
+
+
+def _kind(x: str) -> str:
+    """The kind of a cell; NULL for NULL, which fits every type."""
+    words = ", ".join(f"'{word}'" for word in _TRUTH)
+    dashed = f"substr({x}, 5, 1) = '-' and substr({x}, 8, 1) = '-'"
+    return f"""case when {x} is null then null
+        when {x} in ('0', '1') then {_BIT}
+        when try_cast({x} as bigint) is not null and not contains({x}, '+') then {_WHOLE}
+        when {x} in ({words}) then {_WORD}
+        when {dashed} and length({x}) = 10 and try_cast({x} as date) is not null then {_DAY}
+        when {dashed} and {x} rlike r'{_MOMENT}' and try_cast({x} as timestamp_ntz) is not null
+          then {_TIME}
+        when {v.double_sql(x, T.StringType())} is not null then {_REAL}
+        else {_OTHER} end"""
 
 
 def _found_types(df: DataFrame) -> list[str]:
-    """The type of each column; one row of verdicts comes back, never data."""
-    verdicts = []
-    for x in df.columns:
-        # NULL cells fit every type.
-        branches = " ".join(
-            f"when bool_and(if({x} is null, null, {test})) then '{target}'"
-            for target, test in _tests(x).items()
-        )
-        verdicts.append(
-            F.expr(f"case when count({x}) = 0 then 'string' {branches} else 'string' end").alias(x)
-        )
-    return list(df.agg(*verdicts).head())
+    """The type of each column; one row of kinds comes back, never data."""
+    kinds = df.agg(*[F.expr(f"bit_or({_kind(x)})").alias(x) for x in df.columns]).head()
+    return [
+        next((t for t, holds in _COLUMN_TYPES.items() if seen and not seen & ~holds), "string")
+        for seen in kinds
+    ]
 
 
 def _converted(x: str, target: str) -> Column:

@@ -127,9 +127,11 @@ def test_samples_are_the_first_values(spark):
                        if r.column_name == name]
     assert by("n") == ["999", "998", "997", "996", "995"]
     assert by("even") == ["0", "2", "4", "6", "8"]
-    rows = profiling.sample_values(df, order_by="n").collect()
-    assert by("n") == ["0", "1", "2", "3", "4"]
-    assert by("even") == ["998", "996", "994", "992", "990"]
+    assert rows and sorted(rows) == sorted(profiling.sample_values(df, single_pass=True).collect())
+    for single_pass in (False, True):
+        rows = profiling.sample_values(df, order_by="n", single_pass=single_pass).collect()
+        assert by("n") == ["0", "1", "2", "3", "4"]
+        assert by("even") == ["998", "996", "994", "992", "990"]
 
 
 def test_samples_with_equal_positions(spark):
