@@ -7,20 +7,29 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.workspace import written
+
 # Tables with more rows than the threshold are profiled on a sample of this size.
 SAMPLE_THRESHOLD = 500_000
 SAMPLE_ROWS = 100_000
 
+_DRAW = "_draw"
+
 
 def exact_sample(df: DataFrame, rows: int, total: int, seed: int = 42) -> DataFrame:
     """``rows`` rows of ``df``, which has ``total``, every row being equally likely.
 
-    A Bernoulli pass keeps a little more than is needed; of those, the rows with the smallest random
-    numbers stay.  Only about ``rows`` rows ever leave the scan, however large the table is.
+    A Bernoulli pass keeps a little more than is needed and writes it to the shared folder with a
+    random number beside each row; the rows with the smallest numbers are the sample.  The table is
+    read once, only about ``rows`` rows leave the scan, and of those nothing but the random numbers
+    is ever gathered to find the last one to keep.
     """
     if rows >= total:
         return df
     wanted = rows + 10 * math.sqrt(rows) + 100
     fraction = min(1.0, wanted / total)
-    candidates = df.sample(fraction=fraction, seed=seed) if fraction < 1.0 else df
-    return candidates.withColumn("_r", F.rand(seed + 1)).orderBy("_r").limit(rows).drop("_r")
+    kept = df.sample(fraction=fraction, seed=seed) if fraction < 1.0 else df
+    candidates = written(kept.withColumn(_DRAW, F.rand(seed + 1)), "sample")
+    smallest = candidates.select(_DRAW).orderBy(_DRAW).limit(rows)
+    last = smallest.agg(F.max(_DRAW)).scalar()
+    return candidates.filter(F.col(_DRAW) <= last).drop(_DRAW)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tablewright.functions.columns import ORDINAL, field_logical_type
 from tablewright.operators import profiling
 from tablewright.operators.sampling import SAMPLE_ROWS, SAMPLE_THRESHOLD, exact_sample
-from tablewright.workspace import written
 
 
 @dataclass(frozen=True)
@@ -40,7 +39,7 @@ def profile_report(
     """
     total = df.count()
     sampled = total > threshold and not force_full
-    basis = written(exact_sample(df, sample_rows, total, seed), "sample") if sampled else df
+    basis = exact_sample(df, sample_rows, total, seed) if sampled else df
     types = [
         (f.name, field_logical_type(f)) for f in df.schema.fields if f.name != ORDINAL
     ]

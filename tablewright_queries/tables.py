@@ -56,19 +56,19 @@ def page_desc(t: Tables) -> DataFrame:
     return paging.sorted_page(t.orders, "o_orderdate", descending=True, ties=["o_orderkey"])
 
 
-@query("SELECT * FROM orders ORDER BY o_totalprice NULLS LAST, o_orderkey LIMIT 50 OFFSET 9000")
+@query("SELECT * FROM orders ORDER BY o_totalprice NULLS LAST, o_orderkey LIMIT 50 OFFSET 1400")
 def page_deep(t: Tables) -> DataFrame:
     """A page beyond what one task should sort: read by position from a sorted copy."""
     return paging.sorted_page(
-        t.orders, "o_totalprice", 9000, 50, ties=["o_orderkey"], shallow_rows=5000
+        t.orders, "o_totalprice", 1400, 50, ties=["o_orderkey"], shallow_rows=1000
     )
 
 
-@query("SELECT * FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 9000")
+@query("SELECT * FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 1400")
 def page_ordinal(t: Tables) -> DataFrame:
     """A page by order of arrival from a stored table."""
     store = RevisionStore(t.spark, new_folder(t.spark, "store"))
-    return store.page(store.import_table(t.orders, "Orders").revision_id, 9000, 50)
+    return store.page(store.import_table(t.orders, "Orders").revision_id, 1400, 50)
 
 
 @query("SELECT * FROM orders")
