@@ -129,8 +129,9 @@ def _delimiter_of(spark: SparkSession, path: str) -> str:
     return found["delimiter"] if found else ","
 
 
-# The words of truth columns, and what a point in time looks like.
+# The words of truth columns, and what integers and points in time look like.
 _TRUTH = ("true", "True", "TRUE", "false", "False", "FALSE")
+_INTEGER = r"^[ \t]*-?\d+[ \t]*$"
 _MOMENT = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}(:\d{2}(:\d{2}(\.\d{1,9})?)?)?$"
 
 # The kinds of cells, one bit each, and the column types with the kinds each of them can hold, the
@@ -151,7 +152,7 @@ def _kind(x: str) -> str:
     dashed = f"substr({x}, 5, 1) = '-' and substr({x}, 8, 1) = '-'"
     return f"""case when {x} is null then null
         when {x} in ('0', '1') then {_BIT}
-        when try_cast({x} as bigint) is not null and not contains({x}, '+') then {_WHOLE}
+        when {x} rlike r'{_INTEGER}' and try_cast({x} as bigint) is not null then {_WHOLE}
         when {x} in ({words}) then {_WORD}
         when {dashed} and length({x}) = 10 and try_cast({x} as date) is not null then {_DAY}
         when {dashed} and {x} rlike r'{_MOMENT}' and try_cast({x} as timestamp_ntz) is not null
@@ -161,12 +162,25 @@ def _kind(x: str) -> str:
 
 
 def _found_types(df: DataFrame) -> list[str]:
-    """The type of each column; one row of kinds comes back, never data."""
-    kinds = df.agg(*[F.expr(f"bit_or({_kind(x)})").alias(x) for x in df.columns]).head()
-    return [
-        next((t for t, holds in _COLUMN_TYPES.items() if seen and not seen & ~holds), "string")
-        for seen in kinds
-    ]
+    """The type of each column; one row of kinds per column comes back, never data.
+
+    Cells are unpivoted, so that a single small expression is compiled however wide the file is.
+    """
+    cells = ", ".join(f"struct({i} as position, {x} as x)" for i, x in enumerate(df.columns))
+    found = (
+        df.selectExpr(f"inline(array({cells}))")
+        .filter("x is not null")
+        .groupBy("position")
+        .agg(F.expr(f"bit_or({_kind('x')})").alias("kinds"))
+        .collect()
+    )
+    kinds = {row["position"]: row["kinds"] for row in found}
+    return [_column_type(kinds.get(i, 0)) for i in range(len(df.columns))]
+
+
+def _column_type(kinds: int) -> str:
+    fitting = (t for t, holds in _COLUMN_TYPES.items() if kinds and not kinds & ~holds)
+    return next(fitting, "string")
 
 
 def _converted(x: str, target: str) -> Column:
