@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tablewright.llm import pfair as m
 from tablewright.llm import url_terms as u
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -53,3 +54,71 @@ SELECT page_id, host, path, n_strict::INTEGER AS n_strict, n_soft::INTEGER AS n_
        CASE {verdicts} WHEN n_strict > 0 OR n_soft >= {u.SOFT_HITS} THEN 'block' ELSE 'allow' END AS verdict
 FROM hits
 """
+
+
+def _pfair() -> str:
+    """Earliest deadline first, slot by slot, until every class has all its blocks."""
+    names = sorted(m.WEIGHTS)
+    shares = [*[m.WEIGHTS[n] for n in names], m.OTHER_WEIGHT]
+    total = sum(shares)
+    classes = ", ".join(f"({k}, {w})" for k, w in enumerate(shares))
+    which = " ".join(f"WHEN source = '{n}' THEN {k}" for k, n in enumerate(names))
+    return f"""
+WITH RECURSIVE classes(k, w) AS (VALUES {classes}), ranked AS (
+  SELECT doc_id, source, k, row_number() OVER (PARTITION BY k ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS n
+  FROM (SELECT doc_id, source, CASE {which} ELSE {len(names)} END AS k FROM documents)
+), blocks AS (
+  SELECT doc_id, source, k, w, n, n // {m.BLOCK} AS b FROM ranked JOIN classes USING (k)
+), bounds AS (SELECT max((b // w + 1) * {total}) AS horizon FROM blocks
+), slots(t, k, i, done) AS (
+  SELECT 0, -1, 0, list_transform(range({len(shares)}), lambda x: 0)
+  UNION ALL
+  SELECT t + 1, best, done[best + 1], list_transform(range({len(shares)}), lambda x: done[x + 1] + (x = best)::INTEGER)
+  FROM (
+    SELECT t, done, (
+      SELECT c.k FROM classes c WHERE done[c.k + 1] * {total} // c.w <= t
+      ORDER BY ((done[c.k + 1] + 1) * {total} + c.w - 1) // c.w, c.k LIMIT 1
+    ) AS best
+    FROM slots WHERE t < (SELECT horizon FROM bounds)
+  )
+)
+SELECT doc_id, source, (w / {total}.0)::DOUBLE AS share, b::BIGINT AS block, (b * {total} // w)::BIGINT AS release,
+       (((b + 1) * {total} + w - 1) // w)::BIGINT AS deadline, (t - 1)::BIGINT AS slot,
+       (row_number() OVER (ORDER BY t, n) - 1)::BIGINT AS position
+FROM blocks JOIN slots ON slots.k = blocks.k AND slots.i = blocks.b
+"""
+
+
+PFAIR = _pfair()
+
+_FINITE = """
+  SELECT * FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+"""
+
+TOP_PRODUCTS = f"""
+WITH used AS ({_FINITE}), whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM used WHERE vec_id IS NOT NULL
+), scored AS (
+  SELECT q.vec_id AS query_id, k.vec_id, list_dot_product(q.v, k.v)::BIGINT AS score
+  FROM whole q JOIN whole k ON q.vec_id % 50 = 0 AND k.vec_id <> q.vec_id AND len(k.v) = len(q.v)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+NEAR_VECTORS = f"""
+WITH RECURSIVE used AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM ({_FINITE})
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM used a JOIN used b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), components AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+), counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM components LEFT JOIN counts USING (vec_id)
+"""

@@ -10,8 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import oracles
+from tablewright.llm.additive_quality import AdditiveModel, fit_quality, score_quality
+from tablewright.llm.ball_tree import top_products
 from tablewright.llm.binary_packing import pack_documents
+from tablewright.llm.lattice_dedup import near_vectors
 from tablewright.llm.line_dedup import drop_repeated_lines
+from tablewright.llm.pfair import mix_sources
+from tablewright.llm.prob_minhash import near_duplicates
 from tablewright.llm.shared import importable
 from tablewright.llm.trie_counts import count_tokens
 from tablewright.llm.url_terms import judge_urls
@@ -57,11 +62,42 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), BYTE_RANKS, BYTE_PATTERN, with_ids=False)
 
 
+def quality_model(spark: SparkSession, folder: str) -> AdditiveModel:
+    """The classifier as the query and the pipeline use it, fitted on the given labels."""
+    return fit_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return score_quality(docs, quality_model(spark, folder)).drop("text")
+
+
+@query()
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+@query(oracles.PFAIR)
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(table(spark, folder, "documents").select("doc_id", "source"))
+
+
 @query()
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents").select("doc_id", "text"), PIECE_MODEL).drop("text")
 
 
+@query(oracles.TOP_PRODUCTS)
+def op8_top_products(spark: SparkSession, folder: str) -> DataFrame:
+    return top_products(table(spark, folder, "embeddings"))
+
+
+@query(oracles.NEAR_VECTORS)
+def op9_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"))
+
+
 @query(oracles.url_terms())
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages").select("page_id", "url")).drop("url")
