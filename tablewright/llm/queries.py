@@ -13,6 +13,7 @@ from tablewright.llm import oracles
 from tablewright.llm.additive_quality import AdditiveModel, fit_quality, score_quality
 from tablewright.llm.ball_tree import top_products
 from tablewright.llm.binary_packing import pack_documents
+from tablewright.llm.disclosure import KINDS, all_spans, find_personal, joined_spans
 from tablewright.llm.lattice_dedup import near_vectors
 from tablewright.llm.line_dedup import drop_repeated_lines
 from tablewright.llm.pfair import mix_sources
@@ -57,6 +58,19 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query()
+def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_personal(table(spark, folder, "documents"))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[number(kind).alias(f"n_{kind}") for kind in KINDS],
+        F.sha2(joined_spans(F.col("spans")), 256).alias("base_sha256"),
+        joined_spans(all_spans(F.col("spans"), F.col("added"))).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
+
+
 @query()
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), BYTE_RANKS, BYTE_PATTERN, with_ids=False)
