@@ -40,6 +40,14 @@ def col(df: DataFrame, name: str) -> Column:
     return F.col(quoted(name))
 
 
+def unused_name(df: DataFrame, wish: str) -> str:
+    """``wish``, lengthened until no column of ``df`` is called so (case aside)."""
+    taken = {n.lower() for n in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
 def require(df: DataFrame, names: Sequence[str]) -> None:
     """Raise when ``df`` lacks one of ``names``."""
     missing = [n for n in names if n not in df.columns]

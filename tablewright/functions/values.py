@@ -8,6 +8,8 @@ operators themselves stay plain.
 from __future__ import annotations
 
 import datetime as dt
+import decimal
+import math
 import re
 from typing import Any
 
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.errors import RequestError
-from tablewright.functions.columns import col, dtype, quoted
+from tablewright.functions.columns import col, dtype, quoted, sql_text
 
 # Texts up to this length are shuffled as they are; longer ones travel as a digest.
 _LONG_TEXT = 64
@@ -224,6 +226,25 @@ def typed_literal(value: Any, data_type: T.DataType) -> Column:
         ) from exc
 
 
+def exact_literal(value: Any, data_type: T.DataType) -> Column:
+    """``value`` as a constant of exactly the column's type, or an error when it would change."""
+    if isinstance(data_type, (T.IntegralType, T.DecimalType)) and value is not None:
+        try:
+            number = decimal.Decimal(str(int(value) if isinstance(value, bool) else value).strip())
+            scale = data_type.scale if isinstance(data_type, T.DecimalType) else 0
+            whole = number.scaleb(scale)
+            bits = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}.get(data_type.simpleString())
+            limit = 2 ** (bits - 1) if bits else 10**data_type.precision
+            if whole != whole.to_integral_value() or not -limit <= whole < limit:
+                raise ValueError(value)
+        except (ValueError, ArithmeticError) as exc:
+            raise RequestError(
+                f"{value!r} is not a {data_type.simpleString()} value", code="bad_literal"
+            ) from exc
+        return F.lit(f"{number:f}").cast(data_type)
+    return typed_literal(value, data_type).cast(data_type)
+
+
 def _typed_literal(value: Any, data_type: T.DataType) -> Column:
     if isinstance(data_type, T.StringType):
         return F.lit(literal_text(value))
@@ -297,4 +318,16 @@ def text_equals(df: DataFrame, name: str, value: Any) -> Column:
             except ValueError:
                 return never
             return c == F.lit(text).cast("timestamp_ntz")
+    if isinstance(data_type, (T.DoubleType, T.DecimalType)):
+        # A text that prints like the column also reads back as its number, and that test reaches
+        # the files; the text itself still decides.
+        try:
+            finite = math.isfinite(float(text))
+        except ValueError:
+            return never
+        if finite:
+            number = F.lit(float(text)) if isinstance(data_type, T.DoubleType) else F.expr(
+                f"try_cast({sql_text(text)} as {data_type.simpleString()})"
+            )
+            return (c == number) & (as_text(df, name) == text)
     return as_text(df, name) == text

@@ -21,6 +21,7 @@ from tablewright.functions.columns import (
     dtype,
     require,
     select_all,
+    unused_name,
     visible,
 )
 
@@ -48,15 +49,15 @@ def cast_column(df: DataFrame, column: str, target: str) -> DataFrame:
 
 
 def fill_null(df: DataFrame, column: str, value: Any) -> DataFrame:
-    """Replace NULL by a constant."""
-    literal = v.typed_literal(value, dtype(df, column))
+    """Replace NULL by a constant, which must have a form in the column's own type."""
+    literal = v.exact_literal(value, dtype(df, column))
     return _rewritten(df, column, F.coalesce(col(df, column), literal))
 
 
 def drop_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Keep the rows in which none of the columns is NULL (NaN is a value)."""
     if not columns:
-        raise RequestError("drop_nulls needs at least one column", code="drop_nulls_cols")
+        raise RequestError("drop_nulls needs at least one column", code="no_columns")
     for name in columns:
         df = df.filter(col(df, name).isNotNull())
     return df
@@ -95,7 +96,7 @@ def dedupe(
     first = Window.partitionBy(*select_all(keys)).orderBy(
         *[col(df, name).asc_nulls_last() for name in order_by]
     )
-    rank = "_rank"
+    rank = unused_name(df, "rank")
     return df.withColumn(rank, F.row_number().over(first)).filter(F.col(rank) == 1).drop(rank)
 
 
@@ -117,7 +118,7 @@ def filter_rows(df: DataFrame, column: str, operator: str, value: Any) -> DataFr
             return df.filter(F.lit(False))
         return df.filter(v.like(v.as_text(df, column), v.literal_text(value)))
     if operator not in COMPARISONS:
-        raise RequestError(f"unknown filter operator: {operator}", code="bad_filter")
+        raise RequestError(f"unknown filter operator: {operator}", code="filter_sign")
     literal = v.typed_literal(value, dtype(df, column))
     return df.filter(COMPARISONS[operator](col(df, column), literal))
 
@@ -141,27 +142,46 @@ class StepKind:
     validate: Callable[[Params], None] = lambda params: None
 
 
+def _needs(*names: str) -> Callable[[Params], None]:
+    """A check that parameters are there; what they hold is checked where they are used."""
+
+    def check(params: Params) -> None:
+        missing = [n for n in names if params.get(n) is None]
+        if missing:
+            raise RequestError(f"missing parameter: {', '.join(missing)}", code="no_parameter")
+
+    return check
+
+
 def _names(params: Params) -> list[str]:
     return [str(n) for n in params.get("columns") or []]
 
 
+# The names of the stored steps and of their parameters.
 _BUILT_IN: dict[str, StepKind] = {
     "drop_columns": StepKind(lambda df, p: drop_columns(df, _names(p))),
-    "rename_column": StepKind(lambda df, p: rename_column(df, str(p["from"]), str(p["to"]))),
+    "rename_column": StepKind(
+        lambda df, p: rename_column(df, str(p["from"]), str(p["to"])), _needs("from", "to")
+    ),
     "cast_column": StepKind(
-        lambda df, p: cast_column(df, str(p["column"]), str(p["duck_type"]))
+        lambda df, p: cast_column(df, str(p["column"]), str(p["duck_type"])),
+        _needs("column", "duck_type"),
+    ),
+    "fill_null": StepKind(
+        lambda df, p: fill_null(df, str(p["column"]), p.get("value")), _needs("column")
     ),
-    "fill_null": StepKind(lambda df, p: fill_null(df, str(p["column"]), p.get("value"))),
     "drop_nulls": StepKind(lambda df, p: drop_nulls(df, _names(p))),
-    "trim_column": StepKind(lambda df, p: trim_column(df, str(p["column"]))),
+    "trim_column": StepKind(lambda df, p: trim_column(df, str(p["column"])), _needs("column")),
     "replace_values": StepKind(
-        lambda df, p: replace_values(df, str(p["column"]), p.get("old"), p.get("new"))
+        lambda df, p: replace_values(df, str(p["column"]), p.get("old"), p.get("new")),
+        _needs("column"),
     ),
     "dedupe": StepKind(lambda df, p: dedupe(df, _names(p), p.get("order_by"))),
     "filter_rows": StepKind(
         lambda df, p: filter_rows(
             df, str(p["column"]), str(p.get("operator", "=")), p.get("value")
-        )
+        ),
+        _needs("column"),
     ),
 }
 _CUSTOM: dict[str, StepKind] = {}
@@ -181,5 +201,5 @@ def register_step(
 def step_kind(name: str) -> StepKind:
     kind = _BUILT_IN.get(name) or _CUSTOM.get(name)
     if kind is None:
-        raise RequestError(f"unknown cleaning step: {name}", code="unknown_clean_op")
+        raise RequestError(f"unknown cleaning step: {name}", code="no_such_step")
     return kind

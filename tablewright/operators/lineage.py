@@ -17,30 +17,39 @@ def revision_lineage(revisions: DataFrame, max_rounds: int = 64) -> DataFrame:
     short and the work safe from lost executors.  A parent that does not exist makes a root.
     """
     ids = revisions.select(F.col("revision_id").alias("known"))
-    state = revisions.join(ids, F.col("parent_id") == F.col("known"), "left").select(
+    start = revisions.join(ids, F.col("parent_id") == F.col("known"), "left").select(
         "revision_id",
         "parent_id",
         F.coalesce("known", "revision_id").alias("ancestor"),
         F.when(F.col("known").isNotNull(), 1).otherwise(0).cast("bigint").alias("depth"),
-        F.col("known").isNotNull().alias("moved"),
     )
+    state = written(start, "lineage")
+    done = state.filter("depth = 0")
+    moving = state.filter("depth > 0")
+    finished = moving.limit(0)
     for _ in range(max_rounds):
-        state = written(state, "lineage")
-        if state.filter("moved").isEmpty():
-            return state.select(
+        if moving.isEmpty():
+            return done.unionByName(finished).select(
                 "revision_id", "parent_id", F.col("ancestor").alias("root_id"), "depth"
             )
-        # Roots have nothing above them, so they never take part as the upper side.
-        above = state.filter(F.col("depth") > 0).select(
+        # Roots have nothing above them, so they never take part as the upper side; what points at
+        # one is finished and never again takes part as the lower.
+        above = moving.unionByName(finished).select(
             F.col("revision_id").alias("via"),
             F.col("ancestor").alias("next"),
             F.col("depth").alias("more"),
         )
-        state = state.join(above, F.col("ancestor") == F.col("via"), "left").select(
-            "revision_id",
-            "parent_id",
-            F.coalesce("next", "ancestor").alias("ancestor"),
-            (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-            F.col("via").isNotNull().alias("moved"),
+        joined = moving.join(above, F.col("ancestor") == F.col("via"), "left")
+        state = written(
+            joined.select(
+                "revision_id",
+                "parent_id",
+                F.coalesce("next", "ancestor").alias("ancestor"),
+                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+                F.col("via").isNotNull().alias("moved"),
+            ),
+            "lineage",
         )
+        finished = finished.unionByName(state.filter("not moved").drop("moved"))
+        moving = state.filter("moved").drop("moved")
     raise RuntimeError("the revision history has a cycle")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import ORDINAL, col
+from tablewright.functions.columns import ORDINAL, col, unused_name
 from tablewright.workspace import written
 
 # Up to here a sorted page is found by keeping the best rows of every task; a page further down is
@@ -36,6 +36,38 @@ def part_starts(df: DataFrame) -> DataFrame:
     return counts.withColumn("start", before)
 
 
+def numbered(df: DataFrame, keys: Sequence[Column], name: str, first: int = 0) -> DataFrame:
+    """``df`` with the place of each row in the order of ``keys`` as ``name``, from ``first`` on.
+
+    The sorted rows are written once to the shared folder; then the counts of their parts, one row
+    each, say where every part begins.  No task holds more than its own part.
+    """
+    copy = written(with_ordinal(df.orderBy(*keys)), "numbered")
+    part, start = unused_name(copy, "part"), unused_name(copy, "start")
+    starts = part_starts(copy).select(F.col("part").alias(part), F.col("start").alias(start))
+    place = F.col(ORDINAL) - F.shiftleft(F.col(part), _PLACE_BITS)
+    return (
+        copy.withColumn(part, F.shiftright(F.col(ORDINAL), _PLACE_BITS).cast("bigint"))
+        .join(starts, part)
+        .withColumn(name, (F.col(start) + place + first).cast("bigint"))
+        .drop(part, start, ORDINAL)
+    )
+
+
+def first_rows(df: DataFrame, count: int) -> DataFrame:
+    """``count`` rows of ``df``, those of its first parts, still in as many parts as they were.
+
+    A plain limit would move all of them to one task.  The rows are written once to the shared
+    folder, and a filter on their ids keeps the wanted ones.
+    """
+    if count <= 0:
+        return df.limit(0)
+    copy = written(with_ordinal(df.drop(ORDINAL)), "first-rows")
+    last = _row_id(part_starts(copy), count - 1, clamp=True)
+    # With fewer rows than that there is no such row, and all of them are wanted.
+    return copy.filter(F.col(ORDINAL) <= F.coalesce(last, F.lit(2**63 - 1))).drop(ORDINAL)
+
+
 def page_by_position(df: DataFrame, starts: DataFrame, offset: int, limit: int) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` of a stored table, in order of arrival.
 

@@ -1,8 +1,8 @@
 """Column statistics.
 
-Each function takes a table and gives one row per column.  A full profile reads the table three
-times in all: once for the moments of its numeric columns, once for counts, extremes and outliers,
-and once, column by column, for distinct values.
+Each function takes a table and gives one row per column.  A profile reads the table once for the
+moments of its numeric columns, once for counts, extremes and outliers, once for sample values, once
+for duplicate rows, and once more, column by column, for distinct values.
 """
 
 from __future__ import annotations
@@ -28,23 +28,20 @@ from tablewright.functions.columns import (
     dtype,
     logical_type,
     quoted,
+    require,
     select_all,
     sql_text,
+    unused_name,
     visible,
 )
 
 # Up to this many columns each is counted by a scan of its own, which reads only its own pages;
-# beyond it the table is unpivoted, so that the number of tasks stays that of one scan.
+# beyond it the table is unpivoted, so that the number of tasks stays that of one scan.  The counts
+# are the same.
 COLUMNWISE_LIMIT = 48
 
 SAMPLE_VALUES = 5
 
-# Name of the working column that carries the means and deviations of all numeric columns.
-_MOMENTS = "_moments"
-
-# Name of the working column that carries a row's place in the order of sample values.
-_POSITION = "_position"
-
 
 def is_number(df: DataFrame, name: str) -> bool:
     return logical_type(dtype(df, name)) in {INTEGER, FLOAT}
@@ -66,7 +63,8 @@ def basic_statistics(df: DataFrame, outliers: bool = True) -> DataFrame:
     """
     names = visible(df)
     numeric = [n for n in names if is_number(df, n)] if outliers else []
-    basis = df.withColumn(_MOMENTS, _moments(df, numeric)) if numeric else df
+    moments = unused_name(df, "moments")
+    basis = df.withColumn(moments, _moments(df, numeric)) if numeric else df
     aggregates = ["count(1) as rows"]
     rows = []
     for i, name in enumerate(names):
@@ -74,7 +72,7 @@ def basic_statistics(df: DataFrame, outliers: bool = True) -> DataFrame:
         ends = [f"{end}({x})" if _orderable(data_type) else "null" for end in ("min", "max")]
         far = "cast(0 as bigint)"
         if name in numeric:
-            mean, deviation = f"{_MOMENTS}.mean{i}", f"{_MOMENTS}.dev{i}"
+            mean, deviation = f"{moments}.mean{i}", f"{moments}.dev{i}"
             distance = f"abs({v.double_sql(x, data_type)} - {mean})"
             far = f"count_if({deviation} > 0 and {distance} > 3 * {deviation})"
         aggregates += [
@@ -171,6 +169,9 @@ def _typed_cell(df: DataFrame, name: str) -> str:
     cell["text"] = "cast(null as string)"
     if isinstance(data_type, (T.IntegralType, T.BooleanType)):
         cell["whole"] = f"cast({x} as bigint)"
+    elif isinstance(data_type, T.TimestampType):
+        # Two instants may print alike when clocks are put back.
+        cell["whole"] = f"unix_micros({x})"
     elif isinstance(data_type, (T.DoubleType, T.FloatType)):
         cell["real"] = f"cast({x} as double)"
     else:
@@ -195,48 +196,34 @@ def sample_values(
     df: DataFrame,
     order_by: str | None = None,
     count: int = SAMPLE_VALUES,
-    single_pass: bool | None = None,
 ) -> DataFrame:
     """Per column and rank: ``column_name``, ``sample_no``, ``sample_value``.
 
-    These are the first non-NULL values by ``order_by``, or by arrival.  Column by column, the place
-    of the last wanted value is found first, which moves nothing but positions; then only the rows up
-    to there are read for their values, which Parquet statistics keep to a few row groups.  Wide or
-    small tables are ranked in a ``single_pass`` instead.  Either way every task sends at most
-    ``count`` rows per column to the shuffle.
+    These are the first non-NULL values by ``order_by``, or by arrival; rows whose place is NULL
+    come last.  The table is read once for all columns, and every task keeps its own ``count`` best
+    rows per column before the shuffle.
     """
     names = visible(df)
     if order_by is None and ORDINAL in df.columns:
         order_by = ORDINAL
-    place = col(df, order_by) if order_by else F.monotonically_increasing_id()
-    placed = df.withColumn(_POSITION, place).filter(F.col(_POSITION).isNotNull())
-    if len(names) > COLUMNWISE_LIMIT if single_pass is None else single_pass:
-        cells = ", ".join(
-            f"struct({sql_text(n)} as column_name, "
-            f"{v.text_sql(quoted(n), dtype(df, n))} as sample_value)"
-            for n in names
-        )
-        values = placed.selectExpr(_POSITION, f"inline(array({cells}))")
-        values = values.filter("sample_value is not null")
-    else:
-        values = reduce(
-            DataFrame.unionByName, [_first_values(placed, df, n, count) for n in names]
-        )
+    # Rows without a place in the order come last.
+    place = "monotonically_increasing_id()" if order_by is None else quoted(order_by)
+    if order_by is not None:
+        require(df, [order_by])
+    cells = ", ".join(
+        f"struct({i} as column_no, {v.text_sql(quoted(n), dtype(df, n))} as sample_value)"
+        for i, n in enumerate(names)
+    )
+    values = df.selectExpr(f"{place} as place", f"inline(array({cells}))")
     rank = F.row_number().over(
-        Window.partitionBy("column_name").orderBy(_POSITION, "sample_value")
+        Window.partitionBy("column_no").orderBy(F.col("place").asc_nulls_last(), "sample_value")
     )
+    labels = ", ".join(map(sql_text, names))
     return (
-        values.withColumn("sample_no", rank)
+        values.filter("sample_value is not null")
+        .withColumn("sample_no", rank)
         .filter(F.col("sample_no") <= count)
-        .select("column_name", "sample_no", "sample_value")
-    )
-
-
-def _first_values(placed: DataFrame, df: DataFrame, name: str, count: int) -> DataFrame:
-    present = placed.filter(col(df, name).isNotNull())
-    last = present.select(_POSITION).orderBy(_POSITION).limit(count)
-    return present.filter(F.col(_POSITION) <= last.agg(F.max(_POSITION)).scalar()).select(
-        F.lit(name).alias("column_name"), _POSITION, v.as_text(df, name).alias("sample_value")
+        .selectExpr(f"element_at(array({labels}), column_no + 1) as column_name", "sample_no", "sample_value")
     )
 
 

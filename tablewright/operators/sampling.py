@@ -2,34 +2,28 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.columns import require, unused_name, visible
+from tablewright.functions.values import shuffle_key
 from tablewright.workspace import written
 
-# Tables with more rows than the threshold are profiled on a sample of this size.
-SAMPLE_THRESHOLD = 500_000
-SAMPLE_ROWS = 100_000
 
-_DRAW = "_draw"
+def exact_sample(df: DataFrame, rows: int, keys: Sequence[str] = (), seed: int = 42) -> DataFrame:
+    """``rows`` rows of ``df`` (all, if it has no more), every row being equally likely.
 
-
-def exact_sample(df: DataFrame, rows: int, total: int, seed: int = 42) -> DataFrame:
-    """``rows`` rows of ``df``, which has ``total``, every row being equally likely.
-
-    A Bernoulli pass keeps a little more than is needed and writes it to the shared folder with a
-    random number beside each row; the rows with the smallest numbers are the sample.  The table is
-    read once, only about ``rows`` rows leave the scan, and of those nothing but the random numbers
-    is ever gathered to find the last one to keep.
+    A row's draw is a hash of ``keys`` (all columns, if there are none) and the seed, so a sample of
+    a table with unique keys can be drawn again, anywhere.  Only draws are gathered to find the last
+    one to keep; the rows up to it are written once to the shared folder.  Rows that draw alike
+    because their keys are equal are told apart by a second, random number.
     """
-    if rows >= total:
-        return df
-    wanted = rows + 10 * math.sqrt(rows) + 100
-    fraction = min(1.0, wanted / total)
-    kept = df.sample(fraction=fraction, seed=seed) if fraction < 1.0 else df
-    candidates = written(kept.withColumn(_DRAW, F.rand(seed + 1)), "sample")
-    smallest = candidates.select(_DRAW).orderBy(_DRAW).limit(rows)
-    last = smallest.agg(F.max(_DRAW)).scalar()
-    return candidates.filter(F.col(_DRAW) <= last).drop(_DRAW)
+    require(df, keys)
+    draw, tie = unused_name(df, "draw"), unused_name(df, "tie")
+    parts = [F.coalesce(shuffle_key(df, n).cast("string"), F.lit("\0")) for n in keys or visible(df)]
+    drawn = df.withColumn(draw, F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *parts)))
+    last = drawn.select(draw).orderBy(draw).limit(rows).agg(F.max(draw)).scalar()
+    kept = written(drawn.filter(F.col(draw) <= last).withColumn(tie, F.rand(seed)), "sample")
+    return kept.orderBy(draw, tie).limit(rows).drop(draw, tie)

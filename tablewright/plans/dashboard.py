@@ -6,22 +6,18 @@ JSON text, of a text row the text itself.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.errors import RequestError
 from tablewright.functions.columns import ORDINAL, col, require, select_all, visible
-from tablewright.operators.charts import ChartData, ChartSpec, chart
-
-# The rows of a table section and the texts standing in for missing parts.
-SECTION_ROWS = 200
-MISSING_CHART = "(Missing chart reference)"
-
+from tablewright.operators.charts import ChartData, ChartSpec, chart, filtered, histogram
+from tablewright.operators.paging import numbered
 
 @dataclass(frozen=True)
 class Dashboard:
@@ -52,7 +48,10 @@ class Dashboard:
 
 @dataclass(frozen=True)
 class ReportSection:
-    """One section: ``heading``, ``notes``, ``chart`` or ``dataset``."""
+    """One section: ``heading``, ``notes``, ``chart`` or ``dataset``.
+
+    ``rows`` limits a dataset section to its first rows; without it all are listed.
+    """
 
     kind: str
     title: str = ""
@@ -60,6 +59,7 @@ class ReportSection:
     chart: str | None = None
     dataset: str | None = None
     order_by: tuple[str, ...] = ()
+    rows: int | None = None
 
 
 @dataclass(frozen=True)
@@ -130,38 +130,130 @@ def dashboard_values(board: Dashboard, charts: Mapping[str, BoundChart]) -> Data
         if data.category_column
     ]
     if not parts:
-        raise RequestError("the dashboard has no category chart", code="chart_missing")
+        raise RequestError("the dashboard has no category chart", code="no_chart")
     return reduce(DataFrame.unionByName, parts)
 
 
+# --- sections as rows -----------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Block:
+    """What one section shows: a text, or the rows of a table in an order."""
+
+    kind: str
+    title: str
+    text: str | None = None
+    table: DataFrame | None = None
+    order_by: tuple[str, ...] = ()
+    # Shown in place of a table without rows.
+    when_empty: str | None = None
+
+
+def section_rows(spark: SparkSession, blocks: Sequence[Block]) -> DataFrame:
+    """All blocks, numbered from 1, as one table.  A table's rows are sorted over all tasks."""
+    parts = []
+    for number, block in enumerate(blocks, 1):
+        rows = _text_row(spark, block.text) if block.table is None else _table_rows(block)
+        head = [F.lit(x).alias(n) for x, n in ((number, "section_no"), (block.kind, "kind"), (block.title, "title"))]
+        parts.append(rows.select(*head, "row_no", "payload"))
+        if block.when_empty is not None:
+            found = block.table.limit(1).agg(F.count(F.lit(1))).scalar()
+            none = _text_row(spark, block.when_empty).filter(found == 0)
+            parts.append(none.select(head[0], F.lit("text").alias("kind"), head[2], "row_no", "payload"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _text_row(spark: SparkSession, text: str | None) -> DataFrame:
+    return spark.range(1).select(
+        F.lit(1).cast("bigint").alias("row_no"), F.lit(text).cast("string").alias("payload")
+    )
+
+
+def _table_rows(block: Block) -> DataFrame:
+    df = block.table
+    require(df, block.order_by)
+    payload = F.to_json(F.struct(*select_all(visible(df))), {"ignoreNullFields": "false"})
+    keys = [col(df, n).alias(f"k{i}") for i, n in enumerate(block.order_by)]
+    rows = df.select(*keys, payload.alias("payload"))
+    order = [F.col(f"k{i}").asc_nulls_last() for i in range(len(keys))] or [F.monotonically_increasing_id()]
+    return numbered(rows, order, "row_no", first=1).select("row_no", "payload")
+
+
+def _chart_block(title: str, bound: BoundChart, filters: Sequence[Mapping[str, Any]] = ()) -> Block:
+    spec = linked(bound.spec, filters)
+    if spec.chart_type == "histogram":
+        # A field without numbers is only seen when the rows are read, so it must not raise there.
+        field_ = (spec.encoding("x") or spec.encoding("y"))
+        if field_ is None:
+            raise RequestError("a histogram needs an x field", code="no_field")
+        rows = histogram(filtered(bound.table, spec.options.get("filters")), field_.field, strict=False)
+        return Block("chart", title, table=rows.drop("bin_id"), order_by=("category",), when_empty=_failed(f"no numbers in '{field_.field}'"))
+    data = chart(bound.table, spec, order_by=bound.order_by).rows
+    order = tuple(n for n in ("category", "series") if n in data.columns)
+    return Block("chart", title, table=data, order_by=order or tuple(n for n in bound.order_by if n in data.columns))
+
+
+def _failed(why: object) -> str:
+    return f"This chart could not be drawn: {why}"
+
+
 def dashboard_sections(
     spark: SparkSession,
     board: Dashboard,
     charts: Mapping[str, BoundChart],
     apply_filters: bool = True,
 ) -> DataFrame:
-    """Heading, notes and one block of rows per chart.
+    """The title, the notes and one block of rows per chart.
 
-    Missing charts are left out; a chart whose request cannot be met becomes a text.  The charts
-    show what the screen shows, under the dashboard's filters, unless ``apply_filters`` is off.
+    Names without a chart are left out.  A chart that cannot be drawn becomes a text saying why,
+    and so does a histogram that turns out to have no numbers.  The charts show what the screen
+    shows, under the dashboard's filters, unless ``apply_filters`` is off.
     """
-    shown = board if apply_filters else replace(board, filters=())
-    sections = _Sections(spark)
-    sections.text("heading", board.title)
-    if board.notes:
-        sections.text("text", "Notes", board.notes)
-    for name in board.charts:
-        if name not in charts:
-            continue
-        bound = charts[name]
-        title = bound.spec.title or name
+    filters = board.filters if apply_filters else ()
+
+    def drawn(name: str) -> Block:
+        title = charts[name].spec.title or name
         try:
-            data = chart(bound.table, linked(bound.spec, shown.filters), order_by=bound.order_by)
-        except RequestError as exc:
-            sections.text("text", title, f"(Chart render failed: {exc})")
-            continue
-        sections.chart(title, data, bound.order_by)
-    return sections.frame()
+            return _chart_block(title, charts[name], filters)
+        except RequestError as why:
+            return Block("text", title, _failed(why))
+
+    notes = [Block("text", "Notes", board.notes)] if board.notes else []
+    shown = [drawn(name) for name in board.charts if name in charts]
+    return section_rows(spark, [Block("heading", board.title), *notes, *shown])
+
+
+_Lookup = Callable[[ReportSection, Mapping[str, BoundChart], Mapping[str, DataFrame]], Block | None]
+
+
+def _report_chart(part: ReportSection, charts: Mapping[str, BoundChart], _: Any) -> Block:
+    bound = charts.get(part.chart or "")
+    if bound is None:
+        return Block("text", part.title or "Chart", "There is no such chart.")
+    return _chart_block(part.title or bound.spec.title, bound)
+
+
+def _report_table(part: ReportSection, _: Any, datasets: Mapping[str, DataFrame]) -> Block | None:
+    if part.dataset is None:
+        return None
+    if part.dataset not in datasets:
+        raise RequestError(f"no such dataset: {part.dataset}", code="no_dataset")
+    table = datasets[part.dataset]
+    order = part.order_by or ((ORDINAL,) if ORDINAL in table.columns else ())
+    if part.rows is not None:
+        keys = [col(table, n).asc_nulls_last() for n in order]
+        table = (table.orderBy(*keys) if keys else table).limit(part.rows)
+    return Block("table", part.title or part.dataset, table=table, order_by=tuple(order))
+
+
+# How each kind of report section is made; other kinds are shown as text.
+SECTION_KINDS: dict[str, _Lookup] = {
+    "heading": lambda part, *_: Block("heading", part.title or part.body),
+    "notes": lambda part, *_: Block("text", part.title, part.body),
+    "chart": _report_chart,
+    "dataset": _report_table,
+}
 
 
 def report_sections(
@@ -170,90 +262,18 @@ def report_sections(
     charts: Mapping[str, BoundChart],
     datasets: Mapping[str, DataFrame],
 ) -> DataFrame:
-    """The sections of a report in order; a table section holds the first 200 rows.
+    """The sections of a report in order.
 
-    A missing chart becomes a text and a section of unknown kind is shown as text.  A dataset
-    section that names no dataset is left out; a chart that cannot be drawn fails the report.
+    A chart that does not exist becomes a text; a section of a kind that is not in SECTION_KINDS
+    shows its body.  A dataset section that names no dataset is left out; a chart whose request
+    cannot be met fails the report.
     """
-    sections = _Sections(spark)
-    sections.text("heading", report.title)
-    if report.notes:
-        sections.text("text", "Notes", report.notes)
-    for part in report.sections:
-        if part.kind == "heading":
-            sections.text("heading", part.title or part.body)
-        elif part.kind == "notes":
-            sections.text("text", part.title, part.body)
-        elif part.kind == "chart":
-            bound = charts.get(part.chart or "")
-            if bound is None:
-                sections.text("text", part.title or "Chart", MISSING_CHART)
-                continue
-            data = chart(bound.table, bound.spec, order_by=bound.order_by)
-            sections.chart(part.title or bound.spec.title, data, bound.order_by)
-        elif part.kind == "dataset":
-            if part.dataset is None:
-                continue
-            if part.dataset not in datasets:
-                raise RequestError(f"no such dataset: {part.dataset}", code="dataset_missing")
-            table = datasets[part.dataset]
-            order = part.order_by or ((ORDINAL,) if ORDINAL in table.columns else ())
-            sections.rows("table", part.title or part.dataset, table, order, SECTION_ROWS)
-        else:
-            body = part.body or f"(Unknown section kind: {part.kind})"
-            sections.text("text", part.title, body)
-    return sections.frame()
-
-
-class _Sections:
-    """Numbered sections collected into one DataFrame."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self._spark = spark
-        self._parts: list[DataFrame] = []
-
-    def text(self, kind: str, title: str, body: str | None = None) -> None:
-        row = self._spark.range(1).select(
-            F.lit(1).cast("bigint").alias("row_no"),
-            F.lit(body).cast("string").alias("payload"),
-        )
-        self._add(kind, title, row)
-
-    def chart(self, title: str, data: ChartData, order_by: Sequence[str]) -> None:
-        order = [n for n in ("category", "series") if n in data.rows.columns] or [
-            n for n in order_by if n in data.rows.columns
-        ]
-        self.rows("chart", title, data.rows, order, None)
-
-    def rows(
-        self, kind: str, title: str, df: DataFrame, order_by: Sequence[str], cap: int | None
-    ) -> None:
-        """Rows in order as JSON.  The rows are few: a chart's cap or ``cap`` bounds them."""
-        require(df, order_by)
-        keys = [col(df, n).asc_nulls_last() for n in order_by]
-        first = df.orderBy(*keys) if keys else df
-        if cap is not None:
-            first = first.limit(cap)
-        number = F.row_number().over(Window.orderBy(*(keys or [F.monotonically_increasing_id()])))
-        payload = F.to_json(
-            F.struct(*select_all(visible(df))), {"ignoreNullFields": "false"}
-        )
-        self._add(
-            kind,
-            title,
-            first.select(number.cast("bigint").alias("row_no"), payload.alias("payload")),
-        )
 
-    def _add(self, kind: str, title: str, rows: DataFrame) -> None:
-        self._parts.append(
-            rows.select(
-                F.lit(len(self._parts) + 1).alias("section_no"),
-                F.lit(kind).alias("kind"),
-                F.lit(title).alias("title"),
-                "row_no",
-                "payload",
-            )
-        )
+    def other(part: ReportSection, *_: Any) -> Block:
+        return Block("text", part.title, part.body or f"A section of the kind '{part.kind}' cannot be shown.")
 
-    def frame(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, self._parts)
+    blocks = [Block("heading", report.title)]
+    if report.notes:
+        blocks.append(Block("text", "Notes", report.notes))
+    made = (SECTION_KINDS.get(part.kind, other)(part, charts, datasets) for part in report.sections)
+    return section_rows(spark, [*blocks, *(block for block in made if block is not None)])

@@ -1,7 +1,8 @@
-"""The profile of a whole table: one report, computed on all rows or on one fixed sample."""
+"""The profile of a whole table: one report on all rows, or on a sample that is asked for."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,43 +10,50 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import ORDINAL, field_logical_type
 from tablewright.operators import profiling
-from tablewright.operators.sampling import SAMPLE_ROWS, SAMPLE_THRESHOLD, exact_sample
+from tablewright.operators.catalog import describe_columns, relationship_hints
+from tablewright.operators.sampling import exact_sample
 
 
 @dataclass(frozen=True)
 class ProfileReport:
-    """``columns`` has one row per column, ``summary`` one row for the table."""
+    """``columns`` has one row per column, ``summary`` one row for the table.
+
+    ``hints`` has a row for each column name the table shares with another one, if others were
+    given.
+    """
 
     columns: DataFrame
     summary: DataFrame
     sampled: bool
+    hints: DataFrame | None = None
 
 
 def profile_report(
     df: DataFrame,
     *,
-    force_full: bool = False,
-    threshold: int = SAMPLE_THRESHOLD,
-    sample_rows: int = SAMPLE_ROWS,
+    sample_rows: int | None = None,
+    sample_keys: Sequence[str] = (),
     order_by: str | None = None,
     approximate: bool = False,
     outliers: bool = True,
     seed: int = 42,
+    name: str | None = None,
+    others: Mapping[str, DataFrame] | None = None,
 ) -> ProfileReport:
-    """Profile ``df``; above ``threshold`` rows a sample stands in unless ``force_full``.
+    """Profile all rows of ``df``, or a sample of ``sample_rows`` of them.
 
-    The row count comes from file footers.  A sample is drawn once and written to the shared folder,
-    so that all statistics describe the same rows and the large table is read a single time.
+    A sample is drawn once and written to the shared folder, so that all statistics describe the
+    same rows.  ``others`` are tables by name, among which ``name`` is this one.
     """
     total = df.count()
-    sampled = total > threshold and not force_full
-    basis = exact_sample(df, sample_rows, total, seed) if sampled else df
+    sampled = sample_rows is not None and total > sample_rows
+    basis = exact_sample(df, sample_rows, sample_keys, seed) if sampled else df
     types = [
         (f.name, field_logical_type(f)) for f in df.schema.fields if f.name != ORDINAL
     ]
     names = F.create_map(*[F.lit(part) for pair in types for part in pair])
     samples = (
-        profiling.sample_values(basis, order_by, single_pass=sampled or None)
+        profiling.sample_values(basis, order_by)
         .groupBy("column_name")
         .agg(F.sort_array(F.collect_list(F.struct("sample_no", "sample_value"))).alias("s"))
         .select("column_name", F.col("s.sample_value").alias("sample_values"))
@@ -64,4 +72,10 @@ def profile_report(
         F.col("duplicate_count").alias("duplicate_row_count"),
         F.lit(sampled).alias("sampled"),
     )
-    return ProfileReport(columns, summary, sampled)
+    hints = None
+    if others is not None and name is not None:
+        described = describe_columns(df.sparkSession, {**others, name: df})
+        hints = relationship_hints(described).filter(
+            (F.col("left_table") == name) | (F.col("right_table") == name)
+        )
+    return ProfileReport(columns, summary, sampled, hints)

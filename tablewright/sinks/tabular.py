@@ -7,42 +7,44 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import values as v
 from tablewright.functions.columns import dtype, quoted, select_all, visible
+from tablewright.operators.paging import first_rows
 
-# Fixed value: the most rows an export holds unless told otherwise.
-MAX_EXPORT_ROWS = 1_000_000
 
 
-def capped(df: DataFrame, cap: int | None = MAX_EXPORT_ROWS) -> DataFrame:
-    """The visible columns of at most ``cap`` rows; ``None`` exports everything."""
+def capped(df: DataFrame, cap: int | None = None) -> DataFrame:
+    """The visible columns of all rows, or of the first ``cap`` of them when a cap is asked for.
+
+    A capped export is written by as many tasks as hold its rows.
+    """
     rows = df.select(*select_all(visible(df)))
-    return rows if cap is None else rows.limit(cap)
+    return rows if cap is None else first_rows(rows, cap)
 
 
 def export_summary(
-    df: DataFrame, cap: int = MAX_EXPORT_ROWS, exact_truncation: bool = False
+    df: DataFrame, cap: int | None = None, exact_truncation: bool = False
 ) -> DataFrame:
     """One row: ``row_count`` of the export and whether it is ``truncated``.
 
-    A table that just fills the cap counts as truncated, unless ``exact_truncation`` looks one row
-    further.
+    A table that just fills the cap counts as truncated, unless ``exact_truncation`` is asked for.
+    The count comes from file footers where the table is made of files.
     """
     seen = F.count(F.lit(1))
-    # One row more than the cap is enough to tell, so no more than that is counted.
-    probe = df.select(F.lit(1).alias("x")).limit(cap + 1)
-    return probe.agg(
+    if cap is None:
+        return df.agg(seen.alias("row_count"), F.lit(False).alias("truncated"))
+    return df.agg(
         F.least(seen, F.lit(cap)).cast("bigint").alias("row_count"),
         (seen > cap if exact_truncation else seen >= cap).alias("truncated"),
     )
 
 
-def write_csv(df: DataFrame, path: str, cap: int | None = MAX_EXPORT_ROWS) -> None:
+def write_csv(df: DataFrame, path: str, cap: int | None = None) -> None:
     """UTF-8 CSV with a header in every part; numbers and nested values in their text form."""
     rows = capped(df, cap)
     texts = [v.as_text(rows, n).alias(n) for n in rows.columns]
     rows.select(*texts).write.option("header", True).option("escape", '"').csv(path)
 
 
-def write_json(df: DataFrame, path: str, cap: int | None = MAX_EXPORT_ROWS) -> None:
+def write_json(df: DataFrame, path: str, cap: int | None = None) -> None:
     """JSON lines; values JSON has no form for, such as timestamps, are written as text."""
     rows = capped(df, cap)
     rows.select(*[_json_value(rows, n) for n in rows.columns]).write.option(

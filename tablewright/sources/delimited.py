@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import csv
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.errors import RequestError
 from tablewright.functions import values as v
 from tablewright.sources.headers import normalised_names
 
 PREVIEW_ROWS = 200
 
-# File suffixes, the number of leading characters that decide on the delimiter, and
-# the cell texts that mean NULL, in text columns as well as in numeric ones.
+# File suffixes, and the cell texts that mean NULL, in text columns as well as in
+# numeric ones.
 SUFFIXES = (".csv", ".tsv", ".txt")
-_DETECTION_CHARS = 4096
 NULL_TOKENS = (
     "",
     "#N/A",
@@ -37,41 +39,32 @@ NULL_TOKENS = (
 
 
 def detect_delimiters(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: ``file`` and the ``delimiter`` its first 4096 characters speak for.
+    """One row per file: ``file``, the ``delimiter`` its text speaks for, and its first line.
 
     A tab if there are more tabs than commas, else a semicolon if there are more semicolons than
-    commas, else a comma.  Files are read as splittable lines and only the first block of each is
-    looked at: 4096 characters are at most 4096 lines, which bounds the work per file.
+    commas, else a comma.  Files are read as splittable lines and counted where they are; one row
+    per file and task is shuffled.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.concat("value", F.lit("\n")).alias("line"),
+        "value",
         F.monotonically_increasing_id().alias("at"),
     )
-    by_file = Window.partitionBy("file").orderBy("at")
-    before = F.sum(F.length("line")).over(by_file) - F.length("line")
-    head = (
-        lines.filter(F.col("block") == 0)
-        .withColumn("n", F.row_number().over(by_file))
-        .filter(F.col("n") <= _DETECTION_CHARS)
-        .withColumn("before", before)
-        .filter(F.col("before") < _DETECTION_CHARS)
-        .select(
-            "file", F.expr(f"substring(line, 1, {_DETECTION_CHARS} - before)").alias("line")
-        )
-    )
 
     def count(sign: str) -> Column:
-        return F.sum(F.length("line") - F.length(F.replace(F.col("line"), F.lit(sign)))).alias(sign)
+        length, without = F.length("value"), F.length(F.replace(F.col("value"), F.lit(sign)))
+        return F.sum(length - without).alias(sign)
 
-    counts = head.groupBy("file").agg(count("\t"), count(","), count(";"))
+    first = F.when((F.col("block") == 0) & (F.trim("value") != ""), F.struct("at", "value"))
+    counts = lines.groupBy("file").agg(count("\t"), count(","), count(";"), F.min(first).alias("first"))
     return counts.select(
         "file",
         F.when(F.col("\t") > F.col(","), "\t")
         .when(F.col(";") > F.col(","), ";")
         .otherwise(",")
         .alias("delimiter"),
+        F.col("first.value").alias("header"),
     )
 
 
@@ -85,31 +78,30 @@ def read_delimited(
 ) -> DataFrame:
     """Read files with a header row into typed columns.
 
+    Files may differ in their delimiters and in the order of their columns, which are matched by
+    name; the file whose name sorts first gives the order.  Files that lack columns or have others
+    are refused.
+
     Without a ``schema`` one aggregation over the files finds, for each column, the narrowest of
     integer, boolean, date, timestamp and float that all of its cells have; large inputs should come
     with a schema, which saves that pass.  A cell that does not fit its column fails the query.
     """
-    sep = delimiter or _delimiter_of(spark, path)
-    reader = (
-        spark.read.option("sep", sep).option("quote", '"').option("escape", '"')
-    )
-    header = reader.option("header", False).csv(path).head()
-    if header is None:
+    groups = _header_groups(spark, path, delimiter)
+    if not groups:
         return spark.createDataFrame([], T.StructType([]))
-    cells = list(header)
-    names = normalised_names(cells) if normalise_header else [str(c) for c in cells]
-    raw_schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
-    raw = (
-        reader.option("header", True)
-        .option("enforceSchema", True)
-        .option("mode", "FAILFAST")
-        .schema(raw_schema)
-        .csv(path)
-    )
-    tokens = list(NULL_TOKENS)
-    cleaned = raw.select(
-        *[F.when(~F.col(c).isin(tokens), F.col(c)).alias(c) for c in raw.columns]
-    )
+    names: list[str] = []
+    cleaned: DataFrame | None = None
+    for sep, header, _ in groups:
+        cells = [x or None for x in next(csv.reader([header.lstrip("\ufeff")], delimiter=sep))]
+        own = normalised_names(cells) if normalise_header else [str(x) for x in cells]
+        names = names or own
+        if sorted(own) != sorted(names):
+            raise RequestError(f"files with different columns: {names} and {own}", code="headers_differ")
+        where = path if len(groups) == 1 else _files(spark, path, delimiter, sep, header)
+        rows = _cells(spark, where, sep, len(own))
+        rows = rows.select(*[F.col(f"_c{own.index(n)}").alias(f"_c{i}") for i, n in enumerate(names)])
+        cleaned = rows if cleaned is None else cleaned.unionByName(rows)
+    columns = cleaned.columns
     if schema is None:
         targets = _found_types(cleaned)
     else:
@@ -117,16 +109,41 @@ def read_delimited(
         names = [f.name for f in wanted.fields]
         targets = [f.dataType.simpleString() for f in wanted.fields]
     return cleaned.select(
-        *[
-            _converted(c, target).alias(name)
-            for c, name, target in zip(raw.columns, names, targets, strict=True)
-        ]
+        *[_converted(c, target).alias(name) for c, name, target in zip(columns, names, targets, strict=True)]
     )
 
 
-def _delimiter_of(spark: SparkSession, path: str) -> str:
-    found = detect_delimiters(spark, path).orderBy("file").head()
-    return found["delimiter"] if found else ","
+def _described(spark: SparkSession, path: str, delimiter: str | None) -> DataFrame:
+    found = detect_delimiters(spark, path).filter(F.col("header").isNotNull())
+    return found if delimiter is None else found.withColumn("delimiter", F.lit(delimiter))
+
+
+def _header_groups(spark: SparkSession, path: str, delimiter: str | None) -> list[tuple[str, str, str]]:
+    """``(delimiter, header line, first file)`` of the kinds of files there are, by first file."""
+    kinds = _described(spark, path, delimiter).groupBy("delimiter", "header").agg(F.min("file").alias("file"))
+    return [tuple(r) for r in kinds.orderBy("file").collect()]
+
+
+def _files(spark: SparkSession, path: str, delimiter: str | None, sep: str, header: str) -> list[str]:
+    """The names of the files of one kind, of which the driver makes its list of splits anyway."""
+    own = _described(spark, path, delimiter).filter((F.col("delimiter") == sep) & (F.col("header") == header))
+    return [r["file"] for r in own.select("file").orderBy("file").collect()]
+
+
+def _cells(spark: SparkSession, path: str | list[str], sep: str, width: int) -> DataFrame:
+    """The cells of files as text, NULL where they say so."""
+    raw = (
+        spark.read.option("sep", sep)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("header", True)
+        .option("enforceSchema", True)
+        .option("mode", "FAILFAST")
+        .schema(T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)]))
+        .csv(path)
+    )
+    tokens = list(NULL_TOKENS)
+    return raw.select(*[F.when(~F.col(c).isin(tokens), F.col(c)).alias(c) for c in raw.columns])
 
 
 # The words of truth columns, and what integers and points in time look like.

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.errors import RequestError
 from tablewright.functions.columns import quoted
+from tablewright.workspace import new_folder
 
 # The fields of a root object that may hold its list of records, in order.
 WRAPPERS = ("data", "records", "items", "rows")
@@ -18,47 +18,39 @@ def read_json(
 ) -> DataFrame:
     """Read JSON files as records.
 
-    A root array gives one row per object; so does an array below ``data``, ``records``, ``items``
-    or ``rows`` of a root object; any other root object is one row, and values that are no objects
-    become the column ``value``.  Columns are the union of all records' keys in alphabetical order.
+    Every file is looked at for itself.  A root array gives one row per item; a root object gives
+    one row, unless one of ``data``, ``records``, ``items`` or ``rows`` holds an array, whose items
+    are its rows then.  Items that are no objects become the column ``value``.  Columns are the
+    union of all records' keys in alphabetical order.  What is no JSON fails the query.
 
-    A file holding one JSON array cannot be split, so it is one task; with ``lines`` files hold one
-    record per line and split like any text, which is the form to use for large inputs.
+    A file holding one JSON value cannot be split, so it is one task, which writes its records as
+    lines to the shared folder; with ``lines`` files hold one record per line and split like any
+    text, which is the form to use for large inputs.
     """
-    if lines:
-        records = spark.read.json(path)
-    else:
-        records = _unwrapped(spark, path)
+    source = path if lines else _record_lines(spark, path)
+    records = spark.read.option("mode", "FAILFAST").json(source)
     return flattened(records) if flatten else records
 
 
-def _unwrapped(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("text"))
-    scalars = r"^\[\s*[^\s{\[\]]"
-    kinds = whole.agg(
-        F.coalesce(F.bool_or(F.col("text").rlike(scalars)), F.lit(False)).alias("scalars"),
-        F.coalesce(F.bool_and(F.col("text").rlike(r"^[\[{]")), F.lit(True)).alias("records"),
-    ).head()
-    if not kinds["records"]:
-        raise RequestError("a JSON root must be an array or an object", code="json_root")
-    if kinds["scalars"]:
-        return _scalars(whole, F.parse_json("text"))
-    root = spark.read.option("multiLine", True).json(path)
+def _record_lines(spark: SparkSession, path: str) -> str:
+    """The records of all files, one a line, in a new folder."""
+    # parse_json tells what a file is; whatever it holds below its root stays as it is.
+    root = spark.read.text(path, wholetext=True).select(F.trim("value").alias("text"))
+    root = root.select("text", F.parse_json("text").alias("root"))
+    items = F.when(F.col("text").startswith("["), F.expr("cast(root as array<variant>)"))
     for name in WRAPPERS:
-        field = next((f for f in root.schema.fields if f.name == name), None)
-        if field is not None and isinstance(field.dataType, T.ArrayType):
-            if isinstance(field.dataType.elementType, T.StructType):
-                return root.select(F.inline(F.col(quoted(name))))
-            return root.select(F.explode(F.col(quoted(name))).alias("value"))
-    return root
-
-
-def _scalars(whole: DataFrame, root: Column) -> DataFrame:
-    """Arrays of plain values; their common type is asked of the data, one row of answer."""
-    items = whole.select(F.explode(root.cast("array<variant>")).alias("item"))
-    found = items.agg(F.schema_of_variant_agg("item").alias("s")).head()["s"]
-    target = "string" if found in {"VOID", "VARIANT"} or "OBJECT" in found else found
-    return items.select(F.try_variant_get("item", "$", target).alias("value"))
+        inner = F.try_variant_get("root", f"$.{name}", "array<variant>")
+        wrapped = F.col("text").startswith("{") & inner.isNotNull()
+        items = items.when(wrapped, inner)
+    plain = F.when(~F.col("text").startswith("{"), F.raise_error(F.lit("a JSON root must be an array or an object")))
+    items = items.otherwise(F.array(F.coalesce(plain.cast("variant"), F.col("root"))))
+    item = F.to_json(F.col("item"))
+    record = F.when(item.startswith("{"), item).otherwise(
+        F.concat(F.lit('{"value":'), F.coalesce(item, F.lit("null")), F.lit("}"))
+    )
+    folder = new_folder(spark, "json-lines")
+    root.select(F.explode(items).alias("item")).select(record.alias("value")).write.text(folder)
+    return folder
 
 
 def flattened(df: DataFrame) -> DataFrame:

@@ -19,9 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.errors import RequestError
-from tablewright.functions.columns import ORDINAL, field_logical_type, quoted, visible
+from tablewright.functions.columns import (
+    ORDINAL,
+    field_logical_type,
+    quoted,
+    unused_name,
+    visible,
+)
 from tablewright.operators import lineage, paging
-from tablewright.operators.sampling import SAMPLE_ROWS, SAMPLE_THRESHOLD
 from tablewright.plans.pipeline import CleaningPipeline
 from tablewright.plans.profile import profile_report
 
@@ -61,7 +66,12 @@ class RevisionStore:
     # --- writing ---------------------------------------------------------------------------
 
     def import_table(self, df: DataFrame, alias: str = "Dataset") -> Revision:
-        """Store a table as the first revision of a new dataset."""
+        """Store a table as the first revision of a new dataset.
+
+        A column with the name under which stored tables keep the order of arrival gets another.
+        """
+        for taken in [n for n in df.columns if n.lower() == ORDINAL]:
+            df = df.withColumnRenamed(taken, unused_name(df, ORDINAL))
         return self._add(df, uuid.uuid4().hex, alias, None, "import", None)
 
     def apply_cleaning(self, dataset_id: str, pipeline: CleaningPipeline) -> Revision:
@@ -177,23 +187,17 @@ class RevisionStore:
         self,
         revision_id: str,
         *,
-        force_full: bool = False,
-        threshold: int = SAMPLE_THRESHOLD,
-        sample_rows: int = SAMPLE_ROWS,
+        sample_rows: int | None = None,
     ) -> tuple[DataFrame, DataFrame]:
         """Column profiles and table summary, computed once per revision and then re-read.
 
-        A full profile on request is computed anew and kept beside the sampled one.
+        A profile of a sample is kept beside the full one, for each size that was asked for.
         """
-        place = self._path("profiles", revision_id) + ("/full" if force_full else "/default")
+        kind = "full" if sample_rows is None else f"sample_{sample_rows}"
+        place = f"{self._path('profiles', revision_id)}/{kind}"
         kept = self._kept_profile(place)
         if kept is None:
-            report = profile_report(
-                self.read(revision_id, ordinal=True),
-                force_full=force_full,
-                threshold=threshold,
-                sample_rows=sample_rows,
-            )
+            report = profile_report(self.read(revision_id, ordinal=True), sample_rows=sample_rows)
             report.columns.coalesce(1).write.mode("overwrite").parquet(f"{place}/columns")
             report.summary.coalesce(1).write.mode("overwrite").parquet(f"{place}/summary")
             kept = self._kept_profile(place)

@@ -146,14 +146,14 @@ def chart_histogram_const(t: Tables) -> DataFrame:
 
 
 @query("""
-    SELECT CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part ORDER BY p_partkey LIMIT 10000
+    SELECT CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part
 """)
 def chart_scatter(t: Tables) -> DataFrame:
     spec = _spec("scatter", ("x", "p_size"), ("y", "p_retailprice"))
     return c.chart(t.part, spec, order_by=["p_partkey"]).rows
 
 
-@query("SELECT * FROM orders ORDER BY o_orderkey LIMIT 10000")
+@query("SELECT * FROM orders")
 def chart_table(t: Tables) -> DataFrame:
     return c.chart(t.orders, _spec("table"), order_by=["o_orderkey"]).rows
 
@@ -243,7 +243,7 @@ def _by_date(t: Tables) -> c.ChartData:
     return c.chart(
         orders,
         _spec("line", ("x", "day"), ("y", "o_totalprice")),
-        max_categories=c.category_cap(c.MAX_POINTS),
+        max_categories=c.category_cap(10_000),
     )
 
 
@@ -260,13 +260,33 @@ def chart_top_n(t: Tables) -> DataFrame:
 
 @query("""
     SELECT CAST(o_custkey AS VARCHAR) AS category, COUNT(*) AS value
-    FROM orders GROUP BY 1 ORDER BY 1 DESC LIMIT 500
+    FROM orders GROUP BY 1
 """)
 def chart_sorted(t: Tables) -> DataFrame:
     spec = _spec("bar", ("x", "o_custkey"), sort="Category Z→A")
     return c.chart(t.orders, spec, apply_options=True).rows
 
 
+@query("""
+    SELECT CAST(o_orderkey AS VARCHAR) AS category, o_orderstatus AS series, o_totalprice AS value
+    FROM orders
+""")
+def chart_series_many(t: Tables) -> DataFrame:
+    """A series chart with as many points as there are orders; none is cut."""
+    spec = _spec("line", ("x", "o_orderkey"), ("series", "o_orderstatus"), ("y", "o_totalprice"))
+    return c.chart(t.orders, spec).rows
+
+
+@query("""
+    SELECT ROW_NUMBER() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) - 1 AS x,
+           CAST(o_custkey AS VARCHAR) AS category, COUNT(*)::DOUBLE AS y
+    FROM orders GROUP BY 2
+""")
+def chart_line_points(t: Tables) -> DataFrame:
+    """The points of a line over all customers that ordered."""
+    return c.line_points(c.category_aggregate(t.orders, "o_custkey"))
+
+
 _PARTLY_NULL = """
     (SELECT NULLIF(c_mktsegment, 'BUILDING') AS segment,
             CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_acctbal END AS balance

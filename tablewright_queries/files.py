@@ -78,14 +78,78 @@ def src_json_flatten(t: Tables) -> DataFrame:
     return documents.read_json(t.spark, path, lines=True)
 
 
+def _as_arrays(df: DataFrame, path: str, before: str, after: str) -> None:
+    """Write a table as files that hold one JSON value each, a list of records within a text."""
+    lines = df.select(F.spark_partition_id().alias("part"), F.to_json(F.struct("*")).alias("record"))
+    whole = lines.groupBy("part").agg(F.array_join(F.collect_list("record"), ",").alias("records"))
+    text = F.concat(F.lit(before), "records", F.lit(after)).alias("value")
+    whole.select(text).write.option("lineSep", "\n").text(path)
+
+
+@query("SELECT c_custkey, c_name, {'balance': c_acctbal} AS items FROM customer")
+def src_json_array(t: Tables) -> DataFrame:
+    """A root array, whose records have a field with the name of a wrapper."""
+    path = new_folder(t.spark, "json")
+    records = t.customer.select("c_custkey", "c_name", F.struct(F.col("c_acctbal").alias("balance")).alias("items"))
+    _as_arrays(records, path, "[", "]")
+    return documents.read_json(t.spark, path, flatten=False)
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def src_json_wrapped(t: Tables) -> DataFrame:
+    """The same records below a field of a root object and in a root array, side by side."""
+    path = new_folder(t.spark, "json")
+    records = t.supplier.select("s_suppkey", "s_name", "s_acctbal")
+    _as_arrays(records, f"{path}/form=wrapped", '{"n": 1, "records": [', "]}")
+    _as_arrays(records, f"{path}/form=plain", "[", "]")
+    return documents.read_json(t.spark, path + "/*")
+
+
+@query("SELECT p_partkey, NULL::BIGINT AS value FROM part UNION ALL SELECT NULL, 7 FROM part")
+def src_json_mixed(t: Tables) -> DataFrame:
+    """An array of records with a plain value after each."""
+    path = new_folder(t.spark, "json")
+    lines = t.part.select(F.spark_partition_id().alias("part"), F.to_json(F.struct("p_partkey")).alias("record"))
+    whole = lines.groupBy("part").agg(F.array_join(F.collect_list("record"), ",7,").alias("records"))
+    whole.select(F.concat(F.lit("["), "records", F.lit(",7]"))).write.text(path)
+    return documents.read_json(t.spark, path)
+
+
+@query("SELECT * FROM supplier UNION ALL SELECT * FROM supplier")
+def src_csv_reordered(t: Tables) -> DataFrame:
+    """Files that differ in their delimiter and in the order of their columns."""
+    path = new_folder(t.spark, "csv")
+    names = t.supplier.columns
+    for order, sign in ((names, ","), (names[::-1], ";")):
+        part = t.supplier.select(*order).write.option("header", True).option("sep", sign)
+        part.csv(f"{path}/form={len(sign)}{ord(sign)}")
+    read = delimited.read_delimited(t.spark, path + "/*").select(*names)
+    return read.withColumn("s_nationkey", F.col("s_nationkey").cast("int"))
+
+
+@query("""
+    SELECT r_regionkey::BIGINT AS a, r_name AS a_1, r_regionkey::BIGINT AS a_1_1, r_name AS col_3
+    FROM region
+""")
+def src_headers(t: Tables) -> DataFrame:
+    """Repeated and missing header cells."""
+    path = new_folder(t.spark, "csv")
+    cells = F.concat_ws(",", "r_regionkey", "r_name", "r_regionkey", "r_name")
+    rows = t.region.select(F.lit(1).alias("at"), cells.alias("value"))
+    header = t.spark.range(1).select(F.lit(0).alias("at"), F.lit("a,a,a_1,").alias("value"))
+    header.unionByName(rows).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    return delimited.read_delimited(t.spark, path)
+
+
 @query("SELECT * FROM orders LIMIT 200")
 def src_preview(t: Tables) -> DataFrame:
     return delimited.preview(t.orders)
 
 
-@query("SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000000")
+@query("SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000")
 def export_capped(t: Tables) -> DataFrame:
-    return tabular.capped(t.orders)
+    """The cap is the feature: the first rows of the table, by as many tasks as hold them."""
+    return tabular.capped(t.orders, cap=1000)
 
 
 @query("""

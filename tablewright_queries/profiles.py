@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators import catalog, profiling
-from tablewright.operators.sampling import SAMPLE_ROWS, SAMPLE_THRESHOLD
+from tablewright.operators.sampling import exact_sample
 from tablewright.plans.profile import profile_report
 from tablewright_queries.registry import TABLES, Tables, query
 
@@ -150,21 +150,21 @@ def profile_samples(t: Tables) -> DataFrame:
 
 @query("""
     SELECT 'documents' AS table_name,
-           COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT text, lang FROM documents))
+           COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM documents))
              AS duplicate_count
     FROM documents
     UNION ALL
     SELECT 'lineitem',
            COUNT(*) - (SELECT COUNT(*) FROM (
-             SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem))
+             SELECT DISTINCT * FROM lineitem))
     FROM lineitem
     UNION ALL
     SELECT 'orders', COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM orders)) FROM orders
 """)
 def profile_duplicates(t: Tables) -> DataFrame:
     tables = {
-        "documents": t.documents.select("text", "lang"),
-        "lineitem": t.lineitem.select("l_returnflag", "l_linestatus", "l_linenumber"),
+        "documents": t.documents,
+        "lineitem": t.lineitem,
         "orders": t.orders,
     }
     parts = [
@@ -244,22 +244,36 @@ def profile_infer_types(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, [profiling.infer_text_types(df) for df in tables])
 
 
-@query()
+_DRAWN = """
+    (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders
+     ORDER BY md5('42' || chr(31) || o_orderkey::VARCHAR) LIMIT 1000)
+"""
+_ORDERS = {"o_orderkey": True, "o_custkey": True, "o_orderstatus": False, "o_totalprice": True}
+
+
+@query(f"""
+    SELECT * REPLACE (FALSE AS is_candidate_key) FROM ({_profile_sql(_DRAWN, _ORDERS)})
+""")
 def profile_sampled(t: Tables) -> DataFrame:
-    """The report with its default sampling: above 500,000 rows a random sample is described."""
-    columns = profile_report(t.lineitem).columns.drop("position")
-    return columns.withColumn("sample_values", F.array_join("sample_values", " | "))
+    """The report on a sample of a size that is asked for; its rows follow from their keys."""
+    orders = t.orders.select(*_ORDERS)
+    report = profile_report(orders, sample_rows=1000, sample_keys=["o_orderkey"])
+    columns = report.columns.drop("position", "logical_type", "sample_values")
+    return columns.withColumn("null_ratio", F.round("null_ratio", 6))
+
+
+@query("SELECT * FROM lineitem ORDER BY md5('7' || chr(31) || l_orderkey || chr(31) || l_linenumber) LIMIT 500")
+def sample_exact(t: Tables) -> DataFrame:
+    return exact_sample(t.lineitem, 500, ["l_orderkey", "l_linenumber"], seed=7)
 
 
 @query(f"""
-    SELECT column_name, table_rows, table_rows > {SAMPLE_THRESHOLD} AS sampled,
-           CASE WHEN table_rows > {SAMPLE_THRESHOLD} THEN {SAMPLE_ROWS} ELSE table_rows END
-             AS profiled_rows
+    SELECT column_name, table_rows, FALSE AS sampled, table_rows AS profiled_rows
     FROM (SELECT COUNT(*) AS table_rows FROM lineitem),
          (SELECT UNNEST({list(_LINEITEM)}) AS column_name)
 """)
 def profile_sample_size(t: Tables) -> DataFrame:
-    """How many rows the default report looks at."""
+    """How many rows the default report looks at: all of them."""
     report = profile_report(t.lineitem)
     return report.columns.select(
         "column_name",
@@ -284,7 +298,7 @@ def profile_sample_size(t: Tables) -> DataFrame:
 """, name="profile_report")
 def _profile_report(t: Tables) -> DataFrame:
     """The whole report, its table summary beside every column."""
-    report = profile_report(t.customer, order_by="c_custkey", force_full=True)
+    report = profile_report(t.customer, order_by="c_custkey")
     return report.columns.drop("position").select(
         "*",
         report.summary.select("duplicate_row_count").scalar().alias("duplicate_row_count"),

@@ -136,6 +136,38 @@ def test_series_and_dense_series(spark):
     ]
 
 
+def test_nothing_is_cut_unless_asked(spark):
+    df = spark.range(12_000).selectExpr("id", "cast(id as string) as k", "cast(id % 3 as string) as s")
+    assert c.chart(df, _spec("bar", ("x", "k"))).rows.count() == 12_000
+    assert c.chart(df, _spec("bar", ("x", "k"), ("series", "s"))).rows.count() == 12_000
+    assert c.chart(df, _spec("scatter", ("x", "id"), ("y", "id"))).rows.count() == 12_000
+    assert c.chart(df, _spec("table")).rows.count() == 12_000
+    points = c.line_points(c.category_aggregate(df, "k")).collect()
+    assert [r.category for r in sorted(points)] == sorted(str(i) for i in range(12_000))
+    assert sorted(r.x for r in points) == list(range(12_000))
+
+
+def test_grid_with_null_and_its_text(spark):
+    rows = spark.createDataFrame([("a", "None", 1.0), ("a", None, 2.0)], "category string, series string, value double")
+    assert [tuple(r) for r in c.dense_series(rows).collect()] == [("a", "None", 2.0)]
+    with pytest.raises(Exception, match="more than 1 series"):
+        c.dense_series(spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0)], rows.schema), most=1).collect()
+
+
+def test_dashboard_histogram_without_numbers_is_a_text(spark, sales):
+    charts = {"h": d.BoundChart(_spec("histogram", ("x", "region")), sales), "bar": d.BoundChart(_spec("bar", *SUM), sales)}
+    rows = d.dashboard_sections(spark, d.Dashboard("B", ("h", "bar")), charts).orderBy("section_no").collect()
+    assert [(r.kind, r.title) for r in rows] == [("heading", "B"), ("text", "h"), *[("chart", "bar")] * 3]
+
+
+def test_number_filters_reach_the_files(spark, tmp_path):
+    path = str(tmp_path / "n")
+    spark.createDataFrame([(0.05,), (0.5,)], "d double").write.parquet(path)
+    found = c.filtered(spark.read.parquet(path), [{"field": "d", "value": "0.05"}])
+    assert [r.d for r in found.collect()] == [0.05]
+    assert "EqualTo(d,0.05)" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_line_points_draw_null_as_zero(spark):
     df = spark.createDataFrame([("b", None), ("a", 2.0)], "k string, v double")
     points = c.line_points(c.category_aggregate(df, "k", c.Encoding("y", "v")))
@@ -172,7 +204,7 @@ def test_category_caps():
 
 
 def test_capped_chart_sorts_no_more_than_the_cap(sales):
-    rows = c.chart(sales, _spec("bar", *SUM)).rows
+    rows = c.chart(sales, _spec("bar", *SUM), max_categories=2).rows
     assert "TakeOrderedAndProject" in rows._jdf.queryExecution().executedPlan().toString()
 
 
@@ -207,7 +239,7 @@ def test_dashboard_sections_turn_bad_charts_into_text(spark, sales):
     assert [(r.kind, r.title) for r in rows] == [
         ("heading", "B"), ("text", "Notes"), ("text", "bad"), ("chart", "good"),
     ]
-    assert rows[2].payload.startswith("(Chart render failed:")
+    assert rows[2].payload.startswith("This chart could not be drawn:")
     assert json.loads(rows[3].payload) == {"category": "C", "value": 100.0}
     unlinked = d.dashboard_sections(spark, board, charts, apply_filters=False)
     assert unlinked.filter(F.col("kind") == "chart").count() == 3
@@ -222,6 +254,7 @@ def test_report_sections(spark, sales):
             d.ReportSection("notes", "N", "text"),
             d.ReportSection("chart"),
             d.ReportSection("dataset", dataset="many", order_by=("n",)),
+            d.ReportSection("dataset", "first", dataset="many", order_by=("n",), rows=200),
             d.ReportSection("dataset"),
             d.ReportSection("other"),
         ),
@@ -230,11 +263,12 @@ def test_report_sections(spark, sales):
     texts = rows.filter(F.col("kind") != "table").orderBy("section_no").collect()
     assert [(r.kind, r.title, r.payload) for r in texts] == [
         ("heading", "R", None), ("heading", "H", None), ("text", "N", "text"),
-        ("text", "Chart", "(Missing chart reference)"),
-        ("text", "", "(Unknown section kind: other)"),
+        ("text", "Chart", "There is no such chart."),
+        ("text", "", "A section of the kind 'other' cannot be shown."),
     ]
-    table = rows.filter(F.col("kind") == "table").orderBy("row_no").collect()
-    assert [json.loads(r.payload)["n"] for r in table] == list(range(200))
+    tables = rows.filter(F.col("kind") == "table").orderBy("section_no", "row_no").collect()
+    assert [json.loads(r.payload)["n"] for r in tables] == [*range(500), *range(200)]
+    assert [r.row_no for r in tables] == [*range(1, 501), *range(1, 201)]
     bad = d.Report("R", (d.ReportSection("chart", chart="bad"),))
     charts = {"bad": d.BoundChart(_spec("bar"), sales)}
     with pytest.raises(RequestError):

@@ -55,7 +55,7 @@ def test_drop_nulls_keeps_nan(spark):
     assert [r.s for r in s.drop_nulls(df, ["d", "s"]).collect()] == ["a", "b"]
     with pytest.raises(RequestError) as failure:
         s.drop_nulls(df, [])
-    assert failure.value.code == "drop_nulls_cols"
+    assert failure.value.code == "no_columns"
 
 
 def test_replace_never_matches_null(people):
@@ -64,8 +64,14 @@ def test_replace_never_matches_null(people):
 
 
 def test_fill_with_another_type(people):
-    filled = s.fill_null(people, "value", 1.5)
-    assert sorted(r.value for r in filled.collect()) == [1.0, 1.5, 2.0]
+    with pytest.raises(RequestError):
+        s.fill_null(people, "value", 1.5)
+    money = people.selectExpr("name", "cast(value as decimal(10, 2)) as value")
+    filled = s.fill_null(money, "value", 1.5)
+    assert filled.dtypes[-1] == ("value", "decimal(10,2)")
+    assert sorted(float(r.value) for r in filled.collect()) == [1.0, 1.5, 2.0]
+    with pytest.raises(RequestError):
+        s.fill_null(money, "value", "0.125")
     assert [r.value for r in s.fill_null(people, "value", "7").orderBy("name").collect()] == [1, 7, 2]
     with pytest.raises(RequestError) as failure:
         s.fill_null(people, "value", "many")
@@ -92,7 +98,7 @@ def test_filter_rows(people, operator, value, expected):
 def test_filter_rejects_other_operators(people):
     with pytest.raises(RequestError) as failure:
         s.filter_rows(people, "value", "IN", 1)
-    assert failure.value.code == "bad_filter"
+    assert failure.value.code == "filter_sign"
 
 
 def test_dedupe_keeps_the_first_by_order(spark):
@@ -121,7 +127,7 @@ def test_dedupe_trims_groups_before_the_shuffle(spark):
 def test_unknown_steps_are_rejected(people):
     with pytest.raises(RequestError) as failure:
         CleaningPipeline.of(("explode", {})).apply(people)
-    assert failure.value.code == "unknown_clean_op"
+    assert failure.value.code == "no_such_step"
 
 
 def test_custom_step_validates_its_parameters(people):
@@ -167,3 +173,14 @@ def test_pipeline_is_one_projection_over_the_scan(spark, tmp_path):
     assert plan.count("Project") == 1 and "Exchange" not in plan
     assert "GreaterThan(id,3)" in plan
     assert "ReadSchema: struct<id:bigint,s:string>" in plan
+
+
+def test_missing_parameters_are_named():
+    with pytest.raises(RequestError, match="duck_type"):
+        CleaningPipeline.of(("cast_column", {"column": "a"})).apply(None)
+
+
+def test_dedupe_keeps_a_column_called_rank(spark):
+    df = spark.createDataFrame([(1, 5), (1, 6), (2, 7)], "rank int, _rank int")
+    kept = s.dedupe(df, ["rank"], ["_rank"])
+    assert kept.columns == ["rank", "_rank"] and sorted(r["_rank"] for r in kept.collect()) == [5, 7]

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 
 from tablewright.errors import RequestError
 from tablewright.sinks import tabular
-from tablewright.sources import delimited, documents, live, sqlite
+from tablewright.sources import delimited, documents, live
 from tablewright.sources.headers import normalised_names
 
 
@@ -71,8 +70,8 @@ def test_csv_with_header_only(spark, tmp_path):
     [
         ("a,b\n1,2\n", ","), ("a;b\n1;2\n", ";"), ("a\tb\n", "\t"), ("abc\n", ","), ("", None),
         ("a;b,c\n", ","), ("a\tb,c\n", ","), ("a\tb;c;d\n", "\t"), ("a,b\r\nx;y;z;w\r\n", ";"),
-        ("a" * 4095 + ",;;;", ","), ("," + ";" * 2 + "x" * 5000 + "," * 50, ";"),
-        ("é" * 4095 + ";;;,,,,,", ";"),
+        ("a" * 4095 + ",;;;", ";"), ("," + ";" * 2 + "x" * 5000 + "," * 50, ","),
+        ("é" * 4095 + ";;;,,,,,", ","),
     ],
 )
 def test_delimiters(spark, tmp_path, text, expected):
@@ -81,6 +80,21 @@ def test_delimiters(spark, tmp_path, text, expected):
     assert found == ([expected] if expected else [])
 
 
+def test_files_are_matched_by_column_name(spark, tmp_path):
+    _file(tmp_path / "a.csv", "a,b\n1,2\n")
+    _file(tmp_path / "b.csv", "b;a\n10;20\n")
+    df = delimited.read_delimited(spark, str(tmp_path))
+    assert sorted((r.a, r.b) for r in df.collect()) == [(1, 2), (20, 10)]
+    _file(tmp_path / "c.csv", "a,c\n1,2\n")
+    with pytest.raises(RequestError):
+        delimited.read_delimited(spark, str(tmp_path))
+
+
+def test_delimiter_detection_has_no_window(spark, tmp_path):
+    found = delimited.detect_delimiters(spark, _file(tmp_path / "a.csv", "a,b\n"))
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_delimiters_of_many_files(spark, tmp_path):
     for i, sign in enumerate([",", ";", "\t"] * 5):
         _file(tmp_path / f"{i:02d}.txt", f"a{sign}b\n1{sign}2\n")
@@ -106,8 +120,25 @@ def test_json_roots(spark, tmp_path):
     assert [r.value for r in read([1, 2, None, 4]).collect()] == [1, 2, None, 4]
     assert [r.value for r in read(["a", "b"]).collect()] == ["a", "b"]
     assert [r.value for r in read({"items": [1.5, 2.5]}).collect()] == [1.5, 2.5]
-    with pytest.raises(RequestError):
-        read("text")
+    # A field of a record in a root array is no list of records.
+    kept = read([{"id": 1, "items": [{"a": 1}, {"a": 2}]}, {"id": 2, "items": []}])
+    assert [(r.id, len(r["items"])) for r in kept.collect()] == [(1, 2), (2, 0)]
+    mixed = sorted((r.a or 0, r.value or 0) for r in read([5, {"a": 1}]).collect())
+    assert mixed == [(0, 5), (1, 0)]
+    with pytest.raises(Exception, match="array or an object"):
+        read("text").collect()
+
+
+def test_json_files_are_unwrapped_one_by_one(spark, tmp_path):
+    _file(tmp_path / "a.json", json.dumps({"data": [{"x": 1}]}))
+    _file(tmp_path / "b.json", json.dumps([{"x": 2}, {"x": 3}]))
+    assert sorted(r.x for r in documents.read_json(spark, str(tmp_path)).collect()) == [1, 2, 3]
+
+
+def test_broken_json_fails(spark, tmp_path):
+    path = _file(tmp_path / "a.json", '{"a": 1}\n{"a": \n')
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        documents.read_json(spark, path, lines=True).collect()
 
 
 def test_json_flatten(spark, tmp_path):
@@ -125,50 +156,6 @@ def test_json_lines(spark, tmp_path):
     assert [r["a.b"] for r in df.collect()] == [1, 2]
 
 
-@pytest.fixture
-def database(tmp_path):
-    path = str(tmp_path / "t.db")
-    with sqlite3.connect(path) as connection:
-        connection.execute("create table t(a INTEGER, b TEXT, c, d NUMERIC, e BLOB)")
-        connection.executemany(
-            "insert into t values (?, ?, ?, ?, ?)",
-            [(i, f"b{i}", i / 2, None, b"x") for i in range(1000)],
-        )
-        connection.execute("delete from t where a between 100 and 499")
-        connection.execute("create view v as select a, b from t where a < 5")
-        connection.execute("create table empty(a INTEGER)")
-        connection.execute("create table w(k TEXT PRIMARY KEY, n INTEGER) without rowid")
-        connection.execute("insert into w values ('x', 1)")
-        connection.execute("create table loose(a INTEGER)")
-        connection.execute("insert into loose values (1), ('word')")
-    return path
-
-
-def test_database_discovery(spark, database):
-    rows = sqlite.discover(spark, database).collect()
-    assert [(r["name"], r.kind) for r in rows] == [
-        ("empty", "table"), ("loose", "table"), ("t", "table"), ("v", "view"), ("w", "table"),
-    ]
-
-
-def test_database_scan(spark, database):
-    df = sqlite.read_table(spark, database, "t", partitions=4)
-    assert df.dtypes == [
-        ("a", "bigint"), ("b", "string"), ("c", "double"), ("d", "string"), ("e", "binary"),
-    ]
-    assert df.rdd.getNumPartitions() == 4
-    expected = [i for i in range(1000) if not 100 <= i <= 499]
-    assert sorted(r.a for r in df.collect()) == expected
-    assert sqlite.read_table(spark, database, "v").count() == 5
-    assert sqlite.read_table(spark, database, "empty").count() == 0
-    assert tuple(sqlite.read_table(spark, database, "w").head()) == ("x", 1)
-
-
-def test_database_values_must_fit_their_column(spark, database):
-    with pytest.raises(Exception, match="does not fit"):
-        sqlite.read_table(spark, database, "loose").collect()
-
-
 def test_preview(spark):
     assert delimited.preview(spark.range(1000)).count() == 200
     assert delimited.preview(spark.range(1000), 3).count() == 3
@@ -209,6 +196,16 @@ def test_export_caps(spark):
     assert tuple(tabular.export_summary(df, 9, exact_truncation=True).head()) == (9, True)
 
 
+def test_capped_export_stays_parallel(spark, tmp_path):
+    df = spark.range(0, 1000, 1, 8)
+    tabular.write_csv(df, str(tmp_path / "all"))
+    tabular.write_csv(df, str(tmp_path / "some"), cap=600)
+    parts = [len(list((tmp_path / n).glob("part-*.csv"))) for n in ("all", "some")]
+    assert parts[0] == 8 and parts[1] > 3
+    back = delimited.read_delimited(spark, str(tmp_path / "some"), delimiter=",")
+    assert sorted(r.id for r in back.collect()) == list(range(600))
+
+
 def test_live_queries(spark):
     live.expose({"numbers": spark.range(10).withColumn("_ordinal", F.col("id"))})
     assert live.live_query(spark, "select * from numbers", 3).columns == ["id"]

@@ -127,11 +127,23 @@ def test_samples_are_the_first_values(spark):
                        if r.column_name == name]
     assert by("n") == ["999", "998", "997", "996", "995"]
     assert by("even") == ["0", "2", "4", "6", "8"]
-    assert rows and sorted(rows) == sorted(profiling.sample_values(df, single_pass=True).collect())
-    for single_pass in (False, True):
-        rows = profiling.sample_values(df, order_by="n", single_pass=single_pass).collect()
-        assert by("n") == ["0", "1", "2", "3", "4"]
-        assert by("even") == ["998", "996", "994", "992", "990"]
+    rows = profiling.sample_values(df, order_by="n").collect()
+    assert by("n") == ["0", "1", "2", "3", "4"]
+    assert by("even") == ["998", "996", "994", "992", "990"]
+
+
+def test_samples_of_rows_without_a_place(spark):
+    df = spark.createDataFrame([(None, "x"), (2, "b"), (1, "a")], "o int, v string")
+    rows = profiling.sample_values(df, order_by="o").filter("column_name = 'v'").collect()
+    assert [r.sample_value for r in sorted(rows, key=lambda r: r.sample_no)] == ["a", "b", "x"]
+
+
+def test_columns_called_like_working_columns(spark):
+    names = ["_rank", "_position", "_moments", "moments", "draw", "tie", "rank", "place"]
+    df = spark.range(20).select(*[(F.col("id") + i).alias(n) for i, n in enumerate(names)])
+    report = profile_report(df, order_by="place")
+    assert {r.distinct_count for r in report.columns.collect()} == {20}
+    assert exact_sample(df, 5).columns == names and exact_sample(df, 5).count() == 5
 
 
 def test_samples_with_equal_positions(spark):
@@ -142,22 +154,24 @@ def test_samples_with_equal_positions(spark):
 
 def test_exact_sample(spark):
     df = spark.range(0, 20_000, numPartitions=9)
-    sample = [r.id for r in exact_sample(df, 1000, 20_000).collect()]
+    sample = [r.id for r in exact_sample(df, 1000).collect()]
     assert len(sample) == len(set(sample)) == 1000
     # Every tenth of the table should be about equally represented.
     assert all(50 < n < 160 for n in Counter(i // 2000 for i in sample).values())
-    assert exact_sample(df, 50_000, 20_000) is df
+    assert exact_sample(df, 50_000).count() == 20_000
+    assert sorted(sample) == sorted(r.id for r in exact_sample(df.repartition(3), 1000, ["id"]).collect())
 
 
 def test_sampled_report_describes_one_sample(spark):
     df = spark.range(0, 5000, numPartitions=5).select("id", (F.col("id") % 3).alias("m"))
-    report = profile_report(df, threshold=1000, sample_rows=400)
+    report = profile_report(df, sample_rows=400)
     rows = _by_column(report.columns)
     assert report.sampled and tuple(report.summary.head()) == (5000, 0, True)
     assert {r.row_count for r in rows.values()} == {400}
     assert rows["id"].distinct_count == 400 and not rows["id"].is_candidate_key
-    full = profile_report(df, threshold=1000, force_full=True)
+    full = profile_report(df, name="a", others={"b": df.select("id")})
     assert not full.sampled and _by_column(full.columns)["id"].is_candidate_key
+    assert {(r.left_table, r.right_table) for r in full.hints.collect()} == {("a", "b"), ("b", "a")}
 
 
 @pytest.mark.parametrize(

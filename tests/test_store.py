@@ -159,3 +159,23 @@ def test_lineage_with_a_cycle_is_an_error(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "a")], "revision_id string, parent_id string")
     with pytest.raises(RuntimeError, match="cycle"):
         lineage.revision_lineage(df, max_rounds=4)
+
+
+def test_a_column_called_like_the_ordinal_is_kept(spark, store):
+    df = spark.createDataFrame([(7, "a")], "_ordinal int, v string")
+    revision = store.import_table(df).revision_id
+    assert [tuple(r) for r in store.read(revision).collect()] == [(7, "a")]
+
+
+def test_profiles_of_different_samples_are_kept_apart(spark, store):
+    revision = store.import_table(spark.range(300).toDF("n")).revision_id
+    assert store.profile(revision, sample_rows=40)[0].head().row_count == 40
+    assert store.profile(revision)[0].head().row_count == 300
+
+
+def test_finished_revisions_leave_the_rounds(spark):
+    rows = [("root", None), *[(f"c{i}", "root") for i in range(50)], ("g", "c1"), ("h", "g"), ("lost", "gone")]
+    df = spark.createDataFrame(rows, "revision_id string, parent_id string")
+    found = {r.revision_id: (r.root_id, r.depth) for r in lineage.revision_lineage(df).collect()}
+    assert found["h"] == ("root", 3) and found["c7"] == ("root", 1) and found["lost"] == ("lost", 0)
+    assert len(found) == 54
