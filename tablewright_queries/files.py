@@ -86,13 +86,13 @@ def _as_arrays(df: DataFrame, path: str, before: str, after: str) -> None:
     whole.select(text).write.option("lineSep", "\n").text(path)
 
 
-@query("SELECT c_custkey, c_name, {'balance': c_acctbal} AS items FROM customer")
+@query('SELECT c_custkey, c_name, c_acctbal AS "items.balance" FROM customer')
 def src_json_array(t: Tables) -> DataFrame:
     """A root array, whose records have a field with the name of a wrapper."""
     path = new_folder(t.spark, "json")
     records = t.customer.select("c_custkey", "c_name", F.struct(F.col("c_acctbal").alias("balance")).alias("items"))
     _as_arrays(records, path, "[", "]")
-    return documents.read_json(t.spark, path, flatten=False)
+    return documents.read_json(t.spark, path)
 
 
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier")

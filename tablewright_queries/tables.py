@@ -115,15 +115,15 @@ def live_query(t: Tables) -> DataFrame:
     SELECT 4, 'chart', 'Status', ROW_NUMBER() OVER (ORDER BY category),
            to_json({'category': category, 'value': value})::VARCHAR
     FROM (SELECT o_orderstatus AS category, COUNT(*) AS value FROM orders GROUP BY 1)
-    UNION ALL SELECT 5, 'text', 'Gone', 1, '(Missing chart reference)'
+    UNION ALL SELECT 5, 'text', 'Gone', 1, 'There is no such chart.'
     UNION ALL
     SELECT 6, 'table', 'Labels', doc, to_json({'doc_id': doc_id, 'quality': quality, 'toxic': toxic})::VARCHAR
-    FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY doc_id) AS doc FROM labels) WHERE doc <= 200
+    FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY doc_id) AS doc FROM labels)
     UNION ALL
     SELECT 7, 'table', 'nation', n_nationkey + 1,
            to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey})::VARCHAR
     FROM nation
-    UNION ALL SELECT 8, 'text', 'Odd', 1, '(Unknown section kind: map)'
+    UNION ALL SELECT 8, 'text', 'Odd', 1, 'A section of the kind ''map'' cannot be shown.'
 """, name="report_sections")
 def _report_sections(t: Tables) -> DataFrame:
     by_status = ChartSpec("bar", (Encoding("x", "o_orderstatus"),), title="Status")

@@ -175,9 +175,9 @@ def test_pipeline_is_one_projection_over_the_scan(spark, tmp_path):
     assert "ReadSchema: struct<id:bigint,s:string>" in plan
 
 
-def test_missing_parameters_are_named():
+def test_missing_parameters_are_named(spark):
     with pytest.raises(RequestError, match="duck_type"):
-        CleaningPipeline.of(("cast_column", {"column": "a"})).apply(None)
+        CleaningPipeline.of(("cast_column", {"column": "a"})).apply(spark.range(1))
 
 
 def test_dedupe_keeps_a_column_called_rank(spark):
