@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -25,6 +26,8 @@ HEADLINE = (
     "chart_histogram",
     "chart_capped",
     "chart_top_n",
+    "chart_series_many",
+    "chart_line_points",
     "dashboard_filtered",
     "clean_pipeline",
     "clean_dedupe",
@@ -42,7 +45,9 @@ HEADLINE = (
     "page_ordinal",
     "src_import",
     "src_csv",
+    "src_csv_reordered",
     "src_json",
+    "src_json_array",
     "export_csv",
     "revision_lineage",
 )
@@ -61,6 +66,7 @@ def main() -> None:
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

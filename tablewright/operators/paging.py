@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import ORDINAL, col, unused_name
+from tablewright.functions.columns import ORDINAL, col, quoted, unused_name
 from tablewright.workspace import written
 
-# Up to here a sorted page is found by keeping the best rows of every task; a page further down is
-# read from a sorted copy, because its predecessors would not fit one task.
+# Up to here a sorted page is found by keeping the best rows of every task; for a page further down,
+# whose predecessors would not fit one task, keys are sorted over all tasks.  The rows are the same.
 SHALLOW_ROWS = 10_000
 
 # A row id made by ``monotonically_increasing_id`` holds the task in its upper and the place within
@@ -113,5 +113,19 @@ def sorted_page(
     keys += [col(df, name).asc_nulls_last() for name in ties]
     if offset + limit <= shallow_rows:
         return df.orderBy(*keys).offset(offset).limit(limit)
-    copy = written(with_ordinal(df.orderBy(*keys).drop(ORDINAL)), "sorted")
-    return page_by_position(copy, part_starts(copy), offset, limit).drop(ORDINAL)
+    if ORDINAL not in df.columns:
+        copy = written(with_ordinal(df.orderBy(*keys)), "sorted")
+        return page_by_position(copy, part_starts(copy), offset, limit).drop(ORDINAL)
+    # Stored rows have ids, so only the keys and ids are sorted; the page's ids, at most ``limit``
+    # of them, then fetch its rows.
+    row, place = unused_name(df, "row"), unused_name(df, "place")
+    named = {n: col(df, n) for n in dict.fromkeys([order_by, *ties]) if n != ORDINAL}
+    narrow = df.select(F.col(ORDINAL).alias(row), *[c.alias(f"k{i}") for i, c in enumerate(named.values())])
+    slot = {n: F.col(f"k{i}") for i, n in enumerate(named)} | {ORDINAL: F.col(row)}
+    first = slot[order_by]
+    order = [first.desc_nulls_last() if descending else first.asc_nulls_last()]
+    order += [slot[n].asc_nulls_last() for n in ties]
+    ids = written(with_ordinal(narrow.orderBy(*order).select(row)), "sorted-ids")
+    page = page_by_position(ids, part_starts(ids), offset, limit).withColumnRenamed(ORDINAL, place)
+    found = df.join(F.broadcast(page), F.col(ORDINAL) == F.col(row)).orderBy(place).limit(max(limit, 0))
+    return found.select(*[F.col(quoted(n)) for n in df.columns if n != ORDINAL])
