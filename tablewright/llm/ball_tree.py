@@ -64,11 +64,17 @@ class BallTree:
             cut = np.arange(len(rows)) % 2 == 0
         return _Node(centre, radius, None, (self._build(rows[~cut]), self._build(rows[cut])))
 
-    def products(self, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    def products(self, own: np.ndarray, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Products of queries with some rows; those with a query's own id count as none."""
         real = queries.astype(float)
         if self.most * float(np.sqrt((real**2).sum(1)).max(initial=0)) < 2.0**52:
-            return (real @ self.real[rows].T).astype(np.int64)
-        return (queries.astype(object) @ self.vectors[rows].astype(object).T).astype(np.int64)
+            out = real @ self.real[rows].T
+        else:
+            out = queries.astype(object) @ self.vectors[rows].astype(object).T
+        out[self.ids[rows][None, :] == own[:, None]] = 0
+        out = out.astype(np.int64)
+        out[self.ids[rows][None, :] == own[:, None]] = _NONE
+        return out
 
     def search(self, own: np.ndarray, queries: np.ndarray, least: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
         """``(scores, ids)`` of the best of this shard for each query, best first.
@@ -99,9 +105,8 @@ class BallTree:
                 # The better of the two is popped first.
                 waiting += sorted(below, key=lambda x: float(np.maximum(x[0][live], floor[live]).sum()))
                 continue
-            got = self.products(queries[live], node.rows)
+            got = self.products(own[live], queries[live], node.rows)
             ids = self.ids[node.rows]
-            got[ids[None, :] == own[live, None]] = _NONE
             better = np.flatnonzero(got.max(1) >= floor[live])
             live, got = live[better], got[better]
             all_scores = np.concatenate([scores[live], got], axis=1)
@@ -177,7 +182,7 @@ def top_products(
 
     Components become floor(``scale`` * x) in double precision, and a score is an exact integer.
     Queries are the rows whose id is divisible by ``every``; their candidates are all rows with
-    another id and a vector of the same length.  Equal scores go to the smaller id; a query with
+    another id and a vector of the same length; a score that is no long fails the query.  Equal scores go to the smaller id; a query with
     fewer candidates has fewer rows.  Null vectors and those that hold null or a number that is not
     finite take no part, nor do null ids.  Of rows that repeat an id and a vector one takes part;
     rows that repeat an id with other vectors each take part.  Other columns are not read, and an
