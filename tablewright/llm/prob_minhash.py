@@ -28,10 +28,13 @@ SIMILARITY = 0.8
 REGISTERS = 128  # a power of two
 BANDS = 25
 ROWS = 5
-#: Rounds in which groups of candidates are compared with one of their own documents each.
-STAR_ROUNDS = 3
+#: After the first comparison with one document of each group, rounds until all is compared: in all
+#: but the last, groups still in several classes meet another of their own documents.
+STAR_ROUNDS = 2
 #: Documents that meet one copy of the text they are compared with.
 CHUNK = 256
+#: Bytes of text whose shingles a task holds at a time.
+SLICE = 4 << 20
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _NO_WORD = r"[^\p{L}\p{N}\p{M}_]+"
@@ -144,7 +147,7 @@ def _sketch(words: int):
     weights = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
 
     def sketch(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in text_batches(tables):
+        for table in text_batches(tables, most=SLICE):
             hashes, counts = word_hashes(table.column(1))
             text, shingle, weight = weighted_shingles(hashes, counts, words)
             held = signatures(text, shingle, weight, len(counts))[:, : BANDS * ROWS] * weights
@@ -174,7 +177,7 @@ def _verifier(words: int, similarity: float):
 
     def verify(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, own, fresh = None, [], False  # fresh: no text has been compared with it yet
-        for table in text_batches(tables, column=3):
+        for table in text_batches(tables, column=3, most=SLICE):
             a, b = [], []
             rows = zip(table.column(0).to_pylist(), table.column(2).to_pylist(), shingles(table.column(3).to_pylist()), strict=True)
             for lead, member, found in rows:
@@ -228,10 +231,12 @@ def near_duplicates(
 
     Candidates share a band of the signature.  Texts with the same words in the same order are
     compared as one.  Of every group that shares a band, all texts are first compared with one of
-    them, then those still in other classes with others drawn at random; where a group is still in
-    several classes after that, each two of its texts from different classes are compared.  So no
-    link between classes is left out, and a group of thousands of alike texts costs comparisons in
-    proportion to its size.
+    them.  Texts of groups that are then in several classes, but have over 1 - ``similarity`` of
+    their weight in shingles that no other such text has, can have no link and leave.  The others
+    are compared with another one drawn at random, and where a group is still in several classes
+    after that, each two of its texts from different classes are compared.  So no link between
+    classes is left out, and a group of thousands of alike texts costs comparisons in proportion
+    to its size unless its texts share most of their shingles without being linked.
 
     Texts without words, null among them, have no link; texts with fewer words than a shingle are
     one shingle.  Rows with the same id are one document, linked by any of its texts.  Null ids
@@ -263,6 +268,10 @@ def near_duplicates(
         open_groups = _open_groups(members, roots)
         if open_groups.isEmpty():
             break
+        if round_ == 1:
+            lone = _without_partner(open_groups, texts, words, similarity)
+            members = written(open_groups.select("key", "id").join(lone, "id", "left_anti"), "members")
+            open_groups = _open_groups(members, roots)
         if round_ < STAR_ROUNDS:
             drawn = F.min(F.struct(F.xxhash64("id", F.lit(round_)), F.col("id").alias("id"), F.col("root").alias("root")))
             leads = open_groups.groupBy("key").agg(drawn.alias("lead"))
@@ -294,6 +303,39 @@ def _open_groups(members: DataFrame, roots: DataFrame) -> DataFrame:
     return written(named.join(several.select("key"), "key"), "open-groups")
 
 
+def _without_partner(groups: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``(id)`` of texts that can be similar to no other text of the groups.
+
+    A probability Jaccard similarity is at most the share of a text's weight that the other text
+    has too.  Shingles are counted with a combine in the task.  An id with k texts has no partner
+    if its lone shares sum to more than what one text may have and all the others can.
+    """
+    own = texts.join(groups.select("id").distinct(), "id", "left_semi").select("id", "text")
+    shares = own.mapInArrow(_shares(words), "id long, shingle long, share double")
+    lone = (
+        shares.groupBy("shingle")
+        .agg(F.min("id").alias("id"), F.max("id").alias("other"), F.sum("share").alias("share"))
+        .filter("id = other")
+        .groupBy("id")
+        .agg(F.sum("share").alias("share"))
+    )
+    rows = own.groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+    return lone.join(rows, "id").filter(F.col("share") > F.col("k") - similarity + 1e-9).select("id")
+
+
+def _shares(words: int):
+    def shares(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in text_batches(tables, most=SLICE):
+            text, shingle, weight = weighted_shingles(*word_hashes(table.column(1)), words)
+            total = np.bincount(text, weight, table.num_rows)
+            ids = table.column(0).take(pa.array(text))
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(shingle.view(np.int64)), pa.array(weight / total[text])], ["id", "shingle", "share"]
+            )
+
+    return shares
+
+
 def _between_classes(groups: DataFrame, heads: DataFrame) -> DataFrame:
     """All pairs of a group from different classes, each in the first group that has it."""
     some = groups.join(heads.select(F.col("head").alias("id"), "bands"), "id")
