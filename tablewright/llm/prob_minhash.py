@@ -33,6 +33,8 @@ ROWS = 5
 STAR_ROUNDS = 2
 #: Documents that meet one copy of the text they are compared with.
 CHUNK = 256
+#: Texts of a group in one block, in the last comparison.
+BLOCK = 256
 #: Bytes of text whose shingles a task holds at a time.
 SLICE = 4 << 20
 
@@ -167,19 +169,20 @@ def _content(hashes: np.ndarray) -> bytes:
     return hashlib.md5(hashes.tobytes(), usedforsecurity=False).digest()
 
 
+def _shingles(texts: pa.Array, words: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    text, shingle, weight = weighted_shingles(*word_hashes(texts), words)
+    ends = np.searchsorted(text, np.arange(len(texts) + 1))
+    return [(shingle[a:b], weight[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def _verifier(words: int, similarity: float):
     """Compares texts with the leader that comes before them in the rows of a chunk."""
 
-    def shingles(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        text, shingle, weight = weighted_shingles(*word_hashes(pa.array(texts, pa.string())), words)
-        ends = np.searchsorted(text, np.arange(len(texts) + 1))
-        return [(shingle[a:b], weight[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-
     def verify(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, own, fresh = None, [], False  # fresh: no text has been compared with it yet
         for table in text_batches(tables, column=3, most=SLICE):
             a, b = [], []
-            rows = zip(table.column(0).to_pylist(), table.column(2).to_pylist(), shingles(table.column(3).to_pylist()), strict=True)
+            rows = zip(table.column(0).to_pylist(), table.column(2).to_pylist(), _shingles(table.column(3), words), strict=True)
             for lead, member, found in rows:
                 if member is None:
                     own = [*own, found] if leader == lead and fresh else [found]
@@ -262,7 +265,8 @@ def near_duplicates(
     members = written(spread.join(shared.select("key", "low"), "key").select("key", "low", "id"), "members")
     texts = written(rows.join(members.select("id").distinct(), "id", "left_semi"), "texts")
     pairs = members.filter("low <> id").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    links, tested = written(links.unionByName(_verified(pairs, texts, words, similarity)), "links"), pairs
+    tested = pairs
+    links = written(links.unionByName(_verified(pairs, texts, words, similarity)), "links")
     roots = components(links)
     for round_ in range(1, STAR_ROUNDS + 1):
         open_groups = _open_groups(members, roots)
@@ -281,11 +285,11 @@ def near_duplicates(
                 .select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
                 .distinct()
             )
+            pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            found = _verified(pairs, texts, words, similarity)
         else:
-            pairs = _between_classes(open_groups, heads)
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
-        links = written(links.unionByName(_verified(pairs, texts, words, similarity)), "links")
+            found = _between_classes(open_groups, heads, texts, words, similarity)
+        links = written(links.unionByName(found), "links")
         roots = components(links)
     named = own.groupBy("id").agg(F.min("head").alias("head")).join(
         roots.withColumnRenamed("id", "head"), "head", "left"
@@ -336,18 +340,70 @@ def _shares(words: int):
     return shares
 
 
-def _between_classes(groups: DataFrame, heads: DataFrame) -> DataFrame:
-    """All pairs of a group from different classes, each in the first group that has it."""
-    some = groups.join(heads.select(F.col("head").alias("id"), "bands"), "id")
-    a, b = some.alias("a"), some.alias("b")
-    first = "element_at(filter(zip_with(a.bands, b.bands, (x, y) -> if(x = y, x, null)), z -> z IS NOT NULL), 1) = a.key"
+def _between_classes(groups: DataFrame, heads: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links between texts of a group that are in different classes.
+
+    A group is dealt into blocks of about BLOCK texts, and each two of its blocks meet in one task,
+    where all pairs are compared and only links come out: a text is sent once for each block of
+    its groups.  A pair is compared in the first group that has it.
+    """
+    sizes = groups.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = (
+        groups.join(sizes, "key")
+        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root")
+    )
+    rows = (
+        dealt.join(heads.groupBy(F.col("head").alias("id")).agg(F.collect_list("bands").alias("bands")), "id")
+        .join(texts.select("id", "text"), "id")
+        .select("key", "i", "j", "own", "id", "root", F.flatten("bands").alias("bands"), "text")
+    )
     return (
-        a.join(b, F.expr(f"a.key = b.key AND a.id < b.id AND a.root <> b.root AND {first}"))
-        .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        .distinct()
+        rows.repartition("key", "i", "j")
+        .sortWithinPartitions("key", "i", "j")
+        .mapInArrow(_block_verifier(words, similarity), "a long, b long")
     )
 
 
+def _block_verifier(words: int, similarity: float):
+    def verify(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for table in text_batches(tables, column=7, most=SLICE):
+            place = list(zip(*(table.column(k).to_pylist() for k in range(3)), strict=True))
+            more = zip(*(table.column(k).to_pylist() for k in (3, 4, 5, 6)), _shingles(table.column(7), words), strict=True)
+            for own, row in zip(place, more, strict=True):
+                if own != at:
+                    yield _pairs_of(at, held, similarity)
+                    at, held = own, []
+                held.append(row)
+        yield _pairs_of(at, held, similarity)
+
+    return verify
+
+
+def _pairs_of(at: tuple[int, int, int] | None, held: list[tuple], similarity: float) -> pa.RecordBatch:
+    """The links of one pair of blocks, whose rows are (block, id, class, bands, shingles)."""
+    a, b = [], []
+    if len({row[2] for row in held}) > 1:
+        key, i, j = at
+        blocks, ids, roots = (np.array([row[k] for row in held]) for k in range(3))
+        size = max(len(row[3]) for row in held)
+        bands = np.array([row[3] + row[3][:1] * (size - len(row[3])) for row in held])
+        for x in range(len(held)):
+            others = (ids > ids[x]) & (roots != roots[x])
+            if i != j:
+                others &= blocks != blocks[x]
+            if size == BANDS:  # in the first group they share
+                same = bands == bands[x]
+                others &= np.where(same.any(1), bands[x][same.argmax(1)], 0) == key
+            for y in np.flatnonzero(others).tolist():
+                if probability_jaccard(held[x][4], held[y][4]) >= similarity:
+                    a.append(int(ids[x]))
+                    b.append(int(ids[y]))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each class: that with the smallest id.
 
