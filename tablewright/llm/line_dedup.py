@@ -202,7 +202,8 @@ def drop_repeated_lines(
         index.add(lines.filter(F.col("batch") == b).select("key", "doc_id"))
     repeated = written(index.repeated(min_docs), "repeated-lines")
     index.drop()
-    salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # Their estimated size leaves the copies out, so they must not be broadcast by it.
+    salted = repeated.hint("merge").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     gone = (
         lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)).cast("int"))
         .join(salted, ["key", "salt"])
