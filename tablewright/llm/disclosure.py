@@ -29,8 +29,9 @@ ADDED = ("generalise", "remove")
 
 #: Words on either side of an entity that may reveal it.
 WINDOW = 8
-#: Documents in which a word must accompany an entity before it counts as evidence.
-SUPPORT = 3
+#: Documents in which an entity is thought to have been seen besides its own, with the words of the
+#: whole corpus: what few documents show is trusted less.
+SMOOTHING = 0.5
 #: Shares of an entity's information from which a word is generalised, and removed.
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
@@ -167,13 +168,20 @@ def _filter_bits(terms: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def told(both: Column, of_entity: Column, of_term: Column, total: int, smoothing: float) -> Column:
+    """The share of an entity's information that a word tells, from counts of documents."""
+    of_all = of_term / F.lit(float(total))
+    of_own = (both + smoothing * of_all) / (of_entity + smoothing)
+    return F.log(of_own / of_all) / F.log(F.lit(float(total)) / of_entity)
+
+
 def find_personal(
     docs: DataFrame,
     *,
     doc_id: str = "doc_id",
     text: str = "text",
     window: int = WINDOW,
-    support: int = SUPPORT,
+    smoothing: float = SMOOTHING,
     generalise_at: float = GENERALISE_AT,
     remove_at: float = REMOVE_AT,
 ) -> DataFrame:
@@ -184,9 +192,12 @@ def find_personal(
     is ``row_key`` of the id and the text.
 
     Every distinct value found is a protected entity c, with the information IC(c) = -log p(c), p
-    being shares of documents.  For a word t within ``window`` words of it in at least ``support``
-    documents, log(p(c, t) / (p(c) p(t))) is what t tells of c.  From ``generalise_at`` times IC(c)
-    on, t is added with the kind ``generalise``, from ``remove_at`` times with ``remove``: in the
+    being shares of documents.  For a word t within ``window`` words of it in any document,
+    log(p(t | c) / p(t)) is what t tells of c.  p(t | c) is smoothed: to the n(c) documents of c
+    come ``smoothing`` documents with the words of the whole corpus, so p(t | c) is
+    (n(c, t) + smoothing p(t)) / (n(c) + smoothing), and words of an entity that one document holds
+    need to be rarer than those of one that many hold.  From ``generalise_at`` times IC(c) on, t is
+    added with the kind ``generalise``, from ``remove_at`` times with ``remove``: in the
     windows around c, so documents without personal data are left as they are.  Words have four
     letters or more and are compared in lower case; those inside personal data are not looked at.
 
@@ -195,7 +206,7 @@ def find_personal(
     empty one.
 
     Texts are read twice and never shuffled.  The counts of words are taken only for words that
-    accompany an entity often enough, which a filter of fixed size lets through (it lets through a
+    accompany an entity, which a filter of fixed size lets through (it lets through a
     few others, whose counts are not used).  Pairs of entities and words are counted with a combine
     in the task, and an entity that many documents share is dealt by its words.
     """
@@ -210,7 +221,7 @@ def find_personal(
     total = base.count()
     together = (
         near.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
-    ).filter(F.col("both") >= support)
+    )
     together = written(together, "together")
     entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
     terms = (
@@ -219,9 +230,7 @@ def find_personal(
         .groupBy("term")
         .agg(F.sum("n").alias("of_term"))
     )
-    log = F.log
-    information = F.lit(float(total)) / F.col("of_entity")
-    share = (log("both") + log(information) - log("of_term")) / log(information)
+    share = told(F.col("both"), F.col("of_entity"), F.col("of_term"), total, smoothing)
     telling = (
         together.join(entities.filter(F.col("of_entity") < total), "entity")
         .join(terms, "term")

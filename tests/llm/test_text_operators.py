@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -19,10 +20,11 @@ from tablewright.llm import additive_quality as aq
 from tablewright.llm import binary_packing as bp
 from tablewright.llm import disclosure as di
 from tablewright.llm import line_dedup as ld
-from tablewright.llm import pfair, shared
+from tablewright.llm import pfair, queries, shared
 from tablewright.llm import trie_counts as tc
 from tablewright.llm import url_terms as ut
 
+GIVEN = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -139,6 +141,29 @@ def test_revealing_words_are_found_near_their_entity_only(spark):
     assert safe[10].text == texts[10] and safe[35].text == "" and safe[0].lang == "en"
 
 
+def test_words_of_a_single_document_are_evidence(spark):
+    texts = ["mail zyxwv about it: ann.lee@mail.example.com"] + [f"mail about number{i}" for i in range(200)]
+    found = {r.id: r for r in di.find_personal(_docs(spark, texts)).collect()}
+    assert {texts[0][s.start : s.end]: s.kind for s in found[0].added}.get("zyxwv") in di.ADDED
+    assert not any(texts[0][s.start : s.end] in ("mail", "about") for s in found[0].added)
+    # The same word tells less of an entity when fewer documents show it.
+    total, term = 1000, 5
+    often, once = [
+        di.told(F.lit(n), F.lit(n), F.lit(max(n, term)), total, di.SMOOTHING) * F.log(F.lit(total / n)) for n in (5, 1)
+    ]
+    row = spark.range(1).select(often.alias("often"), once.alias("once"), F.log(F.lit(total / term)).alias("most")).first()
+    assert row.once < row.often < row.most
+
+
+@pytest.mark.skipif(not os.path.exists(GIVEN), reason="no test tables")
+def test_words_are_added_on_a_given_table(spark):
+    rows = queries.REGISTRY["op2_personal_data"].run(spark, GIVEN).collect()
+    personal = [r for r in rows if r.n_email + r.n_ip + r.n_card + r.n_phone]
+    assert sum(r.n_added > 0 for r in personal) > len(personal) / 2
+    assert all(r.n_added == 0 for r in rows if r not in personal)
+    assert all(sum(x.split(":")[0] in di.ADDED for x in r.spans.split(",") if x) == r.n_added for r in rows)
+
+
 def test_personal_data_of_an_empty_table(spark):
     assert di.find_personal(_docs(spark, [])).collect() == []
 
