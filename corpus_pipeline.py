@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from tablewright.llm.additive_quality import fit_quality, keep_good
 from tablewright.llm.binary_packing import pack_documents
 from tablewright.llm.line_dedup import drop_repeated_lines
-from tablewright.llm.pfair import in_order, mix_sources
+from tablewright.llm.pfair import in_order, mix_sources, with_written_place
 from tablewright.llm.prob_minhash import keep_one
 from tablewright.llm.queries import BYTE_PATTERN, BYTE_RANKS, LlmQuery, table
 from tablewright.llm.queries import REGISTRY as _QUERIES
-from tablewright.llm.shared import importable
+from tablewright.llm.shared import free_name, importable
 from tablewright.workspace import written
 
 
@@ -48,9 +48,15 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sequences, with their ids."""
+    """The sequences, with their ids, numbered in the order in which mixing wrote the documents.
+
+    Documents that come from no files are numbered as they come.
+    """
     importable(spark)
-    return pack_documents(docs, BYTE_RANKS, BYTE_PATTERN, with_ids=True)
+    if not docs.inputFiles():
+        return pack_documents(docs, BYTE_RANKS, BYTE_PATTERN, with_ids=True)
+    place = free_name(docs, "mix_place")
+    return pack_documents(with_written_place(docs, place), BYTE_RANKS, BYTE_PATTERN, with_ids=True, place=place)
 
 
 STAGES = [

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tablewright.llm.shared import c, text_batches, whole_text
 
@@ -19,6 +20,8 @@ END_ID = 1
 #: Words whose ids a worker remembers; the memory this takes is the only thing it bounds.
 CACHED = 300_000
 _LONG_WORD = 64
+#: Bits for the number of a piece within its document: more than a text of 2 GB can have.
+_PIECE_BITS = 21
 
 # A space before a character that is not white space always begins a new pre-token, so a text may
 # be cut there without changing its ids.  Texts with other spaces are tokenised in one go.
@@ -116,14 +119,17 @@ def binary_pieces(tokens: int, sequence: int) -> Iterator[tuple[int, int]]:
         start, rest = start + length, rest - length
 
 
-def _packer(ranks: str, pattern: str, sequence: int, end_id: int, with_ids: bool):
+def _packer(ranks: str, pattern: str, sequence: int, end_id: int, with_ids: bool, placed: bool):
     def pack(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordIds.of(ranks, pattern)
         end = np.asarray([end_id], "<u4").tobytes()
         next_id = TaskContext.get().partitionId() << 33
         for table in text_batches(tables):
             rows: list[tuple] = []
-            for doc, ids in zip(table.column(0).to_pylist(), encode(table.column(1)), strict=True):
+            docs, places = table.column(0).to_pylist(), table.column(2).to_pylist()
+            for doc, ids, place in zip(docs, encode(table.column(1)), places, strict=True):
+                if placed:
+                    next_id = place << _PIECE_BITS
                 ids += end
                 tokens = len(ids) // 4
                 for start, length in binary_pieces(tokens, sequence):
@@ -165,6 +171,7 @@ def pack_documents(
     sequence: int = SEQUENCE,
     end_id: int = END_ID,
     with_ids: bool = True,
+    place: str | None = None,
 ) -> DataFrame:
     """One row per piece of a document, each a sequence of its own.
 
@@ -179,15 +186,18 @@ def pack_documents(
     is packed for itself.  Other columns are not read.  An empty table gives no rows.
 
     Documents are independent, so there is no shuffle; memory is one batch of rows and the worker's
-    bounded store of ids.  Sequence ids are unique: a task's number, then a count.
+    bounded store of ids.  Sequence ids are unique: a task's number, then a count.  With ``place``,
+    a column of whole numbers from 0 that no two rows share, they rise with it, then within the
+    document, however the rows are dealt over tasks.
     """
     if sequence < 1 or sequence & (sequence - 1):
         raise ValueError("sequence must be a power of two")
     schema = (
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
     ) + (", ids array<int>" if with_ids else "")
-    return docs.select(c(doc_id).cast("long"), whole_text(text)).mapInArrow(
-        _packer(ranks, pattern, sequence, end_id, with_ids), schema
+    at = F.lit(0) if place is None else c(place)
+    return docs.select(c(doc_id).cast("long"), whole_text(text), at.cast("long").alias("place")).mapInArrow(
+        _packer(ranks, pattern, sequence, end_id, with_ids, place is not None), schema
     )
 
 

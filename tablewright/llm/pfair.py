@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,3 +153,26 @@ def in_order(mixed: DataFrame, columns: list[str], rows: int) -> DataFrame:
         .sortWithinPartitions("position")
         .select(*[c(n) for n in columns])
     )
+
+
+def with_written_place(docs: DataFrame, name: str) -> DataFrame:
+    """Rows read from the files that ``in_order`` was written to, with ``name``: their place in it, from 0.
+
+    A reader packs files into partitions by their sizes, so the order is taken from the files: by
+    the number of the task that wrote each, its files in their order, and the row within a file.
+    Only the sizes of files, one row for each, are brought together.
+    """
+    meta = docs.metadataColumn("_metadata")
+    file, row, count, before = (free_name(docs, x) for x in ("mix_file", "mix_row", "mix_rows", "mix_before"))
+    path = meta.getField("file_path")
+    files = docs.select(path.alias(file)).groupBy(file).agg(F.count(F.lit(1)).alias(count))
+    number = lambda pattern: F.regexp_extract(file, pattern, 1).try_cast("int")
+    earlier = Window.orderBy(number(r"/part-(\d+)[^/]*$"), number(r"-c(\d+)\.[^/]*$"), file)
+    files = files.select(
+        file, (F.sum(count).over(earlier.rowsBetween(Window.unboundedPreceding, 0)) - c(count)).alias(before)
+    )
+    return (
+        docs.select("*", path.alias(file), meta.getField("row_index").alias(row))
+        .join(F.broadcast(files), file)
+        .select(*[c(n) for n in docs.columns], (c(before) + c(row)).alias(name))
+    )

@@ -86,3 +86,26 @@ def test_the_pipeline_agrees_with_a_plain_one(spark):
     packed = corpus_pipeline.packing(spark, docs, FOLDER).collect()
     assert {(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in packed} == expected
     assert len(packed) == len(expected)
+
+
+def test_sequences_of_a_run_come_in_the_order_of_the_mixture(spark):
+    folder = "/root/testdata/sf0.01"
+    packed = corpus_pipeline.run(spark, folder).select("doc_id", "start", "sequence_id").collect()
+    packed.sort(key=lambda r: r.sequence_id)
+    assert len({r.sequence_id for r in packed}) == len(packed)
+    order = [r.doc_id for r in packed if r.start == 0]
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    plain = _plain_mix([{"doc_id": i, "source": source[i]} for i in order])
+    assert order == [r["doc_id"] for r in plain]
+    starts: dict = {}
+    for r in packed:
+        assert r.start >= starts.setdefault(r.doc_id, 0)
+        starts[r.doc_id] = r.start
+    # The shares hold from the first sequence on, to within a block, until a source has run out.
+    kinds = [source[i] if source[i] in pfair.WEIGHTS else None for i in order]
+    weights = {**pfair.WEIGHTS, None: pfair.OTHER_WEIGHT}
+    total = sum(weights.values())
+    whole = min(kinds.count(k) // pfair.BLOCK * total // w for k, w in weights.items()) * pfair.BLOCK
+    assert whole >= 10 * pfair.BLOCK
+    for end in range(0, whole + 1, pfair.BLOCK):
+        assert all(abs(kinds[:end].count(k) - end * w / total) < pfair.BLOCK for k, w in weights.items())
