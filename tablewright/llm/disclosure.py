@@ -1,7 +1,7 @@
 """Personal data and the terms that give it away.
 
 Patterns find personal data.  Each distinct value is a protected entity, and the corpus tells how
-strongly the words around an entity reveal it: the pointwise mutual information of word and entity,
+strongly the words of its documents reveal it: the pointwise mutual information of word and entity,
 as a share of the entity's own information.  Words over a threshold are generalised, those over a
 higher one removed.
 """
@@ -27,8 +27,6 @@ KINDS = ("email", "ip", "card", "phone")
 #: The kinds of terms that give an entity away.
 ADDED = ("generalise", "remove")
 
-#: Words on either side of an entity that may reveal it.
-WINDOW = 8
 #: Documents in which an entity is thought to have been seen besides its own, with the words of the
 #: whole corpus: what few documents show is trusted less.
 SMOOTHING = 0.5
@@ -38,7 +36,7 @@ REMOVE_AT = 0.95
 #: Bits of the filter that tells which words need counting: its size is fixed.
 FILTER_BITS = 1 << 22
 
-_WORD = re.compile(r"\w{4,}")
+_WORD = re.compile(r"\w+")
 # The part of an address from the sign on; what precedes it is found going backwards, so that no
 # character is looked at once for every place where an address might begin.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -90,47 +88,59 @@ def personal_spans(text: str) -> list[tuple[int, str, int]]:
     return [(a, KINDS[k], b) for a, k, b in sorted(spans)]
 
 
-def _neighbours(text: str, spans: list[tuple[int, str, int]], window: int) -> list[tuple[bytes, str, int, int]]:
-    """The words around each entity that are no part of personal data."""
-    if not spans:
-        return []
-    words = [
-        (m.start(), m.end())
-        for m in _WORD.finditer(text)
-        if not any(a < m.end() and m.start() < b for a, _, b in spans)
-    ]
-    out = []
+def _entities(text: str, spans: list[tuple[int, str, int]]) -> list[bytes]:
+    """The distinct entities among the personal data of a text."""
+    out = set()
     for start, kind, end in spans:
         value = text[start:end].lower() if kind == "email" else _digits(text[start:end]) if kind != "ip" else text[start:end]
-        entity = hashlib.md5(f"{kind}:{value}".encode("utf-8", "replace"), usedforsecurity=False).digest()
-        before = [w for w in words if w[1] <= start][-window:]
-        after = [w for w in words if w[0] >= end][:window]
-        out += [(entity, text[a:b].lower(), a, b) for a, b in before + after]
+        out.add(hashlib.md5(f"{kind}:{value}".encode("utf-8", "replace"), usedforsecurity=False).digest())
+    return sorted(out)
+
+
+def _places(text: str, spans: list[tuple[int, str, int]]) -> dict[str, tuple[list[int], list[int]]]:
+    """Where each word of a text begins and ends that is no part of personal data."""
+    out: dict[str, tuple[list[int], list[int]]] = {}
+    covered, at = sorted((a, b) for a, _, b in spans), 0
+    last = 0  # where the spans that begin before the end of the word end
+    for found in _WORD.finditer(text):
+        start, end = found.span()
+        while at < len(covered) and covered[at][0] < end:
+            last = max(last, covered[at][1])
+            at += 1
+        if last <= start:
+            starts, ends = out.setdefault(found.group().lower(), ([], []))
+            starts.append(start)
+            ends.append(end)
     return out
 
 
 _SPAN = "struct<start: long, kind: string, end: long>"
-_NEAR = "struct<entity: binary, term: string, start: long, end: long>"
-
-
-def _base_scanner(window: int):
-    def scan(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())])
-        near = pa.struct([("entity", pa.binary()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-        for table in text_batches(tables, column=2):
-            spans, around = [], []
-            for text in table.column(2):
-                text = text.as_py()
-                own = personal_spans(text)
-                spans.append([dict(zip(("start", "kind", "end"), x, strict=True)) for x in own])
-                words = _neighbours(text, own, window)
-                around.append([dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in words])
-            yield pa.RecordBatch.from_arrays(
-                [table.column(0), table.column(1), pa.array(spans, pa.list_(span)), pa.array(around, pa.list_(near))],
-                ["id", "row", "spans", "near"],
-            )
-
-    return scan
+_TERM = "struct<term: string, starts: array<long>, ends: array<long>>"
+
+
+def _base_scanner(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    span = pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())])
+    places = pa.list_(pa.int64())
+    term = pa.struct([("term", pa.string()), ("starts", places), ("ends", places)])
+    for table in text_batches(tables, column=2, most=2 << 20):
+        spans, entities, terms = [], [], []
+        for text in table.column(2):
+            text = text.as_py()
+            own = personal_spans(text)
+            spans.append([dict(zip(("start", "kind", "end"), x, strict=True)) for x in own])
+            entities.append(_entities(text, own))
+            found = _places(text, own) if own else {}
+            terms.append([{"term": t, "starts": a, "ends": b} for t, (a, b) in found.items()])
+        yield pa.RecordBatch.from_arrays(
+            [
+                table.column(0),
+                table.column(1),
+                pa.array(spans, pa.list_(span)),
+                pa.array(entities, pa.list_(pa.binary())),
+                pa.array(terms, pa.list_(term)),
+            ],
+            ["id", "row", "spans", "entities", "terms"],
+        )
 
 
 def _term_counter(bits: bytes):
@@ -180,7 +190,6 @@ def find_personal(
     *,
     doc_id: str = "doc_id",
     text: str = "text",
-    window: int = WINDOW,
     smoothing: float = SMOOTHING,
     generalise_at: float = GENERALISE_AT,
     remove_at: float = REMOVE_AT,
@@ -192,14 +201,15 @@ def find_personal(
     is ``row_key`` of the id and the text.
 
     Every distinct value found is a protected entity c, with the information IC(c) = -log p(c), p
-    being shares of documents.  For a word t within ``window`` words of it in any document,
+    being shares of documents.  For a word t anywhere in a document of it,
     log(p(t | c) / p(t)) is what t tells of c.  p(t | c) is smoothed: to the n(c) documents of c
     come ``smoothing`` documents with the words of the whole corpus, so p(t | c) is
     (n(c, t) + smoothing p(t)) / (n(c) + smoothing), and words of an entity that one document holds
     need to be rarer than those of one that many hold.  From ``generalise_at`` times IC(c) on, t is
-    added with the kind ``generalise``, from ``remove_at`` times with ``remove``: in the
-    windows around c, so documents without personal data are left as they are.  Words have four
-    letters or more and are compared in lower case; those inside personal data are not looked at.
+    added with the kind ``generalise``, from ``remove_at`` times with ``remove``:
+    wherever it stands in the documents of c, so documents without personal data are left as they
+    are.  Words are of any length and compared in lower case; those that touch personal data are
+    not looked at.
 
     Null and empty texts have no spans.  Rows that repeat an id and a text are one document when
     documents are counted, and each gets the same spans.  Ids may be null; an empty table gives an
@@ -208,22 +218,31 @@ def find_personal(
     Texts are read twice and never shuffled.  The counts of words are taken only for words that
     accompany an entity, which a filter of fixed size lets through (it lets through a
     few others, whose counts are not used).  Pairs of entities and words are counted with a combine
-    in the task, and an entity that many documents share is dealt by its words.
+    in the task, and an entity that many documents share is dealt by its words.  Only documents with personal data have
+    their words written, each word once with its places.
     """
     ident, whole = c(doc_id).cast("long"), whole_text(text)
     keyed = docs.select(ident.alias("id"), row_key(ident, whole).alias("row"), whole.alias("text"))
     base = written(
-        keyed.mapInArrow(_base_scanner(window), f"id long, row string, spans array<{_SPAN}>, near array<{_NEAR}>"),
+        keyed.mapInArrow(
+            _base_scanner,
+            f"id long, row string, spans array<{_SPAN}>, entities array<binary>, terms array<{_TERM}>",
+        ),
         "personal",
     )
-    near = base.select("row", F.explode("near").alias("near")).select("row", "near.*").distinct()
-    near = written(near, "near-terms")
+    own = base.filter(F.size("entities") > 0).select("row", "entities", "terms").dropDuplicates(["row"])
+    own = written(own, "personal-terms")
     total = base.count()
     together = (
-        near.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
+        own.select(F.explode("entities").alias("entity"), F.col("terms.term").alias("terms"))
+        .select("entity", F.explode("terms").alias("term"))
+        .groupBy("entity", "term")
+        .agg(F.count(F.lit(1)).alias("both"))
     )
     together = written(together, "together")
-    entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
+    entities = (
+        own.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
+    )
     terms = (
         docs.select(whole.alias("text"))
         .mapInArrow(_term_counter(_filter_bits(together.select("term"))), "term string, n long")
@@ -239,9 +258,14 @@ def find_personal(
         .select("entity", "term", F.when(F.col("share") >= remove_at, ADDED[1]).otherwise(ADDED[0]).alias("kind"))
     )
     added = (
-        near.join(telling, ["entity", "term"])
-        .groupBy("row", "start", "end")
+        own.select("row", F.explode("entities").alias("entity"), "terms")
+        .select("row", "entity", F.explode("terms.term").alias("term"))
+        .join(telling, ["entity", "term"])
+        .groupBy("row", "term")
         .agg(F.max("kind").alias("kind"))
+        .join(own.select("row", F.explode("terms").alias("at")).select("row", "at.*"), ["row", "term"])
+        .select("row", "kind", F.explode(F.arrays_zip("starts", "ends")).alias("at"))
+        .select("row", F.col("at.starts").alias("start"), "kind", F.col("at.ends").alias("end"))
         .groupBy("row")
         .agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))
     )

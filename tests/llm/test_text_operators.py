@@ -155,6 +155,19 @@ def test_words_of_a_single_document_are_evidence(spark):
     assert row.once < row.often < row.most
 
 
+def test_words_anywhere_in_the_documents_of_an_entity_are_evidence(spark):
+    filler = " ".join(f"common{k}" for k in range(30))
+    secret = f"Kim 金明 zyxwv {filler} ann.lee@mail.example.com {filler} Zyxwv"
+    texts = [secret] * 2 + [filler] * 60
+    found = {r.id: r for r in di.find_personal(_docs(spark, texts)).collect()}
+    for i in (0, 1):
+        assert [texts[i][s.start : s.end] for s in found[i].added] == ["Kim", "金明", "zyxwv", "Zyxwv"]
+    assert all(not found[i].added for i in range(2, 62))
+    assert sorted(di._places("a 1.2.3.4 b a+1", [(2, "ip", 9)]).items()) == [
+        ("1", ([14], [15])), ("a", ([0, 12], [1, 13])), ("b", ([10], [11])),
+    ]
+
+
 @pytest.mark.skipif(not os.path.exists(GIVEN), reason="no test tables")
 def test_words_are_added_on_a_given_table(spark):
     rows = queries.REGISTRY["op2_personal_data"].run(spark, GIVEN).collect()
