@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tablewright.llm import merkle_strings as k
 from tablewright.llm import pfair as m
 from tablewright.llm import url_terms as u
 
@@ -122,3 +123,64 @@ WITH RECURSIVE used AS (
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM components LEFT JOIN counts USING (vec_id)
 """
+
+
+def _crc32(text: str) -> str:
+    """Bit by bit over the bytes of a text of digits."""
+    bits = "list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), xor(crc, b))"
+    read = f"list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)"
+    return f"xor(list_reduce({read}, lambda crc, b: {bits}, 4294967295), 4294967295)"
+
+
+def _leaf(fields: tuple[str, ...]) -> str:
+    parts = (f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in fields)
+    return f"sha256({' || '.join(parts)})"
+
+
+def _levels(name: str, leaves: str) -> str:
+    """All levels of trees, and for each node what stands left and right of it in its run."""
+    return f"""
+{name}(level, tree, pos, node, total) AS (
+  SELECT 0, tree, pos, node, total FROM {leaves}
+  UNION ALL
+  SELECT level + 1, tree, pos // {k.ARITY}, sha256(string_agg(node, '' ORDER BY pos)), (total + {k.ARITY - 1}) // {k.ARITY}
+  FROM {name} WHERE total > 1 GROUP BY level, tree, pos // {k.ARITY}, total
+), {name}_steps AS (
+  SELECT level, tree, pos, coalesce(string_agg(node, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(node, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name} WHERE total > 1 WINDOW run AS (PARTITION BY level, tree, pos // {k.ARITY} ORDER BY pos)
+)"""
+
+
+def _folded(name: str, starts: str, levels: str) -> str:
+    return f"""
+{name}(doc_id, seq, level, tree, pos, node, proof) AS (
+  SELECT doc_id, seq, 0, tree, pos, node, proof FROM {starts}
+  UNION ALL
+  SELECT doc_id, seq, f.level + 1, f.tree, f.pos // {k.ARITY}, sha256(s.l || node || s.r), proof || s.l || s.r
+  FROM {name} f JOIN {levels}_steps s ON s.level = f.level AND s.tree = f.tree AND s.pos = f.pos
+), {name}_top AS (SELECT doc_id, seq, arg_max(node, level) AS node, arg_max(proof, level) AS proof, any_value(tree) AS tree FROM {name} GROUP BY doc_id, seq)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf(k.FIELDS)} AS node,
+         CASE WHEN {_crc32("doc_id::VARCHAR")} % 3 = 0 THEN {_leaf((*k.FIELDS[:-1], _LOWER.format("text")))} END AS changed
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, node) - 1 AS pos,
+         count(*) OVER (PARTITION BY tree) AS total, row_number() OVER () AS seq
+  FROM leaves
+), {_levels("trees", "placed")}, subroots AS (
+  SELECT tree AS own, node, '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS total
+  FROM trees WHERE total = 1
+), {_levels("forest", "subroots")}, starts AS (
+  SELECT doc_id, seq, tree, pos, coalesce(changed, node) AS node, '' AS proof FROM placed
+), {_folded("climb", "starts", "trees")}, higher AS (
+  SELECT c.doc_id, seq, '' AS tree, s.pos, c.node, c.proof FROM climb_top c JOIN subroots s ON s.own = c.tree
+), {_folded("finish", "higher", "forest")}
+SELECT p.doc_id, p.node AS leaf, s.node AS subroot, r.node AS root, sha256(f.proof) AS proof_sha256,
+       f.node AS folded_root, f.node = r.node AS verified
+FROM placed p JOIN subroots s ON s.own = p.tree JOIN finish_top f ON f.seq = p.seq
+JOIN forest r ON r.total = 1
+"""
