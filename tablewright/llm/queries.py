@@ -19,6 +19,7 @@ from tablewright.llm.line_dedup import drop_repeated_lines
 from tablewright.llm.merkle_strings import tamper_check
 from tablewright.llm.pfair import mix_sources
 from tablewright.llm.prob_minhash import near_duplicates
+from tablewright.llm.rank_profiles import fit_languages, held_out, identify_languages
 from tablewright.llm.shared import importable
 from tablewright.llm.trie_counts import count_tokens
 from tablewright.llm.url_terms import judge_urls
@@ -121,3 +122,11 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 @query(oracles.MERKLE)
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return tamper_check(table(spark, folder, "documents"))
+
+
+@query()
+def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    other = held_out(F.col("doc_id"), 4, 2)
+    model = fit_languages(docs.filter(~other))
+    return identify_languages(docs.select("doc_id", "text", other.alias("held_out")), model).drop("text")
