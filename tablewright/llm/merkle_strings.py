@@ -224,7 +224,8 @@ def merkle_manifest(
         leaf_of([c(n) for n in fields]).alias("node"),
         *[v.alias(n) for n, v in zip(names, carry.values(), strict=True)],
     )
-    ordered = _numbered(leaves, ["id", "node"])
+    # Finding the ranges reads its input once more: that is to be the leaves, not the texts.
+    ordered = _numbered(written(leaves, "merkle-leaves"), ["id", "node"])
     rounds = _rounds(_blocks(ordered, arity, levels, ["id", *names]), arity, levels)
     tops = rounds[-1].select("tree", F.col(f"l{levels}").alias("node"))
 
