@@ -16,6 +16,7 @@ from tablewright.llm.binary_packing import pack_documents
 from tablewright.llm.disclosure import KINDS, all_spans, find_personal, joined_spans
 from tablewright.llm.lattice_dedup import near_vectors
 from tablewright.llm.line_dedup import drop_repeated_lines
+from tablewright.llm.lockstep_alignment import align_tokens
 from tablewright.llm.merkle_strings import tamper_check
 from tablewright.llm.pfair import mix_sources
 from tablewright.llm.prob_minhash import near_duplicates
@@ -119,6 +120,11 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages").select("page_id", "url")).drop("url")
 
 
+@query()
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align_tokens(table(spark, folder, "documents"), BYTE_RANKS, BYTE_PATTERN, PIECE_MODEL)[0]
+
+
 @query(oracles.MERKLE)
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return tamper_check(table(spark, folder, "documents"))
