@@ -35,6 +35,8 @@ GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
 #: Bits of the filter that tells which words need counting: its size is fixed.
 FILTER_BITS = 1 << 22
+#: Distinct words a task counts between two reports: this bounds its memory and changes no count.
+HELD = 500_000
 
 _WORD = re.compile(r"\w+")
 # The part of an address from the sign on; what precedes it is found going backwards, so that no
@@ -75,7 +77,8 @@ def personal_spans(text: str) -> list[tuple[int, str, int]]:
     if "@" in text:
         spans += [(a, 0, b) for a, b in _emails(text)]
     for found in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.group().split(".")):
+        parts = [p.lstrip("0") for p in found.group().split(".")]
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
             spans.append((found.start(), 1, found.end()))
     for found in _CARD.finditer(text):
         digits = _digits(found.group())
@@ -143,29 +146,51 @@ def _base_scanner(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _term_counter(bits: bytes):
-    """Counts, for each batch of texts, those that hold a term which the filter lets through."""
+def _term_counter(term_bits: bytes, row_bits: bytes):
+    """Counts texts that hold a term which the filter of terms lets through.
+
+    Rows that the filter of rows lets through, which may repeat, come out one by one with their terms.
+    """
 
     def count(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").tobytes()
-        for table in text_batches(tables, column=0):
-            found: Counter[str] = Counter()
-            for text in table.column(0):
+        bits = lambda raw: np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little").tobytes()
+        wanted, repeated = bits(term_bits), bits(row_bits)
+        place = lambda x: zlib.crc32(x.encode()) & (FILTER_BITS - 1)
+        found: Counter[str] = Counter()
+        seen: set[str] = set()
+        for table in text_batches(tables):
+            single: list[tuple[str, list[str]]] = []
+            for row, text in zip(table.column(0).to_pylist(), table.column(1), strict=True):
                 words = {w.lower() for w in set(_WORD.findall(text.as_py()))}
-                found.update(w for w in words if wanted[zlib.crc32(w.encode()) & (FILTER_BITS - 1)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["term", "n"]
-            )
+                words = [w for w in words if wanted[place(w)]]
+                if repeated[place(row)]:
+                    if row not in seen:
+                        single.append((row, words))
+                        seen.add(row)
+                else:
+                    found.update(words)
+            yield _counted([r for r, _ in single], [w for _, w in single], [1] * len(single))
+            if len(found) > HELD:
+                yield _counted([None] * len(found), [[w] for w in found], list(found.values()))
+                found.clear()
+            if len(seen) > HELD:
+                seen.clear()
+        yield _counted([None] * len(found), [[w] for w in found], list(found.values()))
 
     return count
 
 
-def _filter_bits(terms: DataFrame) -> bytes:
-    """A bit for each hash that a term has: FILTER_BITS / 8 bytes, however many terms there are."""
+def _counted(rows: list[str | None], terms: list[list[str]], counts: list[int]) -> pa.RecordBatch:
+    arrays = [pa.array(rows, pa.string()), pa.array(terms, pa.list_(pa.string())), pa.array(counts, pa.int64())]
+    return pa.RecordBatch.from_arrays(arrays, ["row", "terms", "n"])
+
+
+def _filter_bits(values: DataFrame) -> bytes:
+    """A bit for each hash that a value of the one column has: FILTER_BITS / 8 bytes, however many there are."""
     # Buckets of 32,768 bits are numbered from 1, for the numbers from 1 on.
-    bit = F.crc32(F.col("term").cast("binary")).bitwiseAND(FILTER_BITS - 1) + 1
+    bit = F.crc32(F.col(values.columns[0]).cast("binary")).bitwiseAND(FILTER_BITS - 1) + 1
     parts = (
-        terms.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at"))
+        values.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at"))
         .groupBy("bucket")
         .agg(F.bitmap_construct_agg("at").alias("bits"))
         .collect()
@@ -211,15 +236,15 @@ def find_personal(
     are.  Words are of any length and compared in lower case; those that touch personal data are
     not looked at.
 
-    Null and empty texts have no spans.  Rows that repeat an id and a text are one document when
-    documents are counted, and each gets the same spans.  Ids may be null; an empty table gives an
-    empty one.
+    Null and empty texts have no spans.  Rows that repeat an id and a text are one document in every
+    count, and each gets the same spans.  Ids may be null; an empty table gives an empty one.
 
-    Texts are read twice and never shuffled.  The counts of words are taken only for words that
-    accompany an entity, which a filter of fixed size lets through (it lets through a
-    few others, whose counts are not used).  Pairs of entities and words are counted with a combine
-    in the task, and an entity that many documents share is dealt by its words.  Only documents with personal data have
-    their words written, each word once with its places.
+    Texts are read twice and never shuffled.  What a word can tell of an entity is bounded by how many
+    documents hold the word, so the words of a document are counted first and those that cannot reach
+    ``generalise_at`` for any of its entities go before pairs are made; the bound is exact.  Entities
+    with the same documents tell the same and are one class.  Filters of a fixed size say which words are
+    to be counted and which rows may repeat (both let a few others through, which changes no count).
+    Pairs are counted with a combine in the task.
     """
     ident, whole = c(doc_id).cast("long"), whole_text(text)
     keyed = docs.select(ident.alias("id"), row_key(ident, whole).alias("row"), whole.alias("text"))
@@ -227,51 +252,101 @@ def find_personal(
         keyed.mapInArrow(
             _base_scanner,
             f"id long, row string, spans array<{_SPAN}>, entities array<binary>, terms array<{_TERM}>",
-        ),
+        ).withColumn("at", F.monotonically_increasing_id()),
         "personal",
     )
-    own = base.filter(F.size("entities") > 0).select("row", "entities", "terms").dropDuplicates(["row"])
-    own = written(own, "personal-terms")
-    total = base.count()
-    together = (
-        own.select(F.explode("entities").alias("entity"), F.col("terms.term").alias("terms"))
-        .select("entity", F.explode("terms").alias("term"))
-        .groupBy("entity", "term")
-        .agg(F.count(F.lit(1)).alias("both"))
+    holders = base.filter(F.size("entities") > 0)
+    rows = written(base.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at")), "personal-rows")
+    total = rows.count()
+    repeated = rows.filter(F.col("n") > 1).select("row")
+    own = written(
+        holders.select("at", "entities", F.col("terms.term").alias("terms")).join(rows.select("at"), "at", "left_semi"),
+        "personal-documents",
     )
-    together = written(together, "together")
-    entities = (
-        own.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
+
+    # Classes of entities: those whose documents are the same ones, by number and two sums of hashes.
+    entity = own.select("at", F.explode("entities").alias("entity"))
+    sums = [F.sum(F.xxhash64("at", F.lit(seed)).cast("decimal(20)")).cast("string") for seed in (1, 2)]
+    classes = entity.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"), F.sha2(F.concat_ws(":", *sums), 256).alias("class"))
+    classes = written(classes.filter(F.col("of_entity") < total), "personal-entities")
+    member = written(entity.join(classes, "entity").select("at", "class", "of_entity").distinct(), "personal-classes")
+
+    counted = keyed.select("row", "text").mapInArrow(
+        _term_counter(_filter_bits(own.select(F.explode("terms").alias("term"))), _filter_bits(repeated)),
+        "row string, terms array<string>, n long",
     )
+    counted = written(counted, "personal-terms")
+    once = counted.filter(F.col("row").isNotNull()).groupBy("row").agg(F.first("terms").alias("terms"), F.lit(1).cast("long").alias("n"))
     terms = (
-        docs.select(whole.alias("text"))
-        .mapInArrow(_term_counter(_filter_bits(together.select("term"))), "term string, n long")
+        counted.filter(F.col("row").isNull()).select("terms", "n").union(once.select("terms", "n"))
+        .select(F.explode("terms").alias("term"), "n")
         .groupBy("term")
         .agg(F.sum("n").alias("of_term"))
     )
+    bound = lambda of_entity: _most_documents(of_entity, total, generalise_at)
+    most = member.agg(F.max("of_entity")).first()[0] or 0
+    terms = written(terms.filter(F.col("of_term") <= bound(F.lit(most))), "personal-words")
+    widest = member.groupBy("at").agg(F.max("of_entity").alias("widest"))
+    rare = (
+        own.select("at", F.explode("terms").alias("term"))
+        .join(terms, "term")
+        .join(widest, "at")
+        .filter(F.col("of_term") <= bound(F.col("widest")))
+        .select("at", "term", "of_term")
+    )
+    pairs = (
+        written(rare, "personal-rare")
+        .join(member, "at")
+        .filter(F.col("of_term") <= bound(F.col("of_entity")))
+        .select("at", "class", "term", "of_entity", "of_term")
+    )
+    pairs = written(pairs, "personal-pairs")
     share = told(F.col("both"), F.col("of_entity"), F.col("of_term"), total, smoothing)
     telling = (
-        together.join(entities.filter(F.col("of_entity") < total), "entity")
-        .join(terms, "term")
+        pairs.groupBy("class", "term", "of_entity", "of_term")
+        .agg(F.count(F.lit(1)).alias("both"))
         .withColumn("share", share)
         .filter(F.col("share") >= generalise_at)
-        .select("entity", "term", F.when(F.col("share") >= remove_at, ADDED[1]).otherwise(ADDED[0]).alias("kind"))
-    )
-    added = (
-        own.select("row", F.explode("entities").alias("entity"), "terms")
-        .select("row", "entity", F.explode("terms.term").alias("term"))
-        .join(telling, ["entity", "term"])
-        .groupBy("row", "term")
-        .agg(F.max("kind").alias("kind"))
-        .join(own.select("row", F.explode("terms").alias("at")).select("row", "at.*"), ["row", "term"])
-        .select("row", "kind", F.explode(F.arrays_zip("starts", "ends")).alias("at"))
-        .select("row", F.col("at.starts").alias("start"), "kind", F.col("at.ends").alias("end"))
-        .groupBy("row")
-        .agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))
+        .select("class", "term", (F.col("share") >= remove_at).alias("remove"))
     )
-    return base.join(added, "row", "left").select(
-        "id", "row", "spans", F.coalesce("added", F.array().cast(f"array<{_SPAN}>")).alias("added")
+    telling = written(telling, "personal-telling")
+    of_document = (
+        pairs.select("at", "class", "term")
+        .join(telling, ["class", "term"])
+        .groupBy("at", "term")
+        .agg(F.max("remove").alias("remove"))
+        .groupBy("at")
+        .agg(F.collect_list(F.struct("term", "remove")).alias("telling"))
+        .join(rows.select("at", "row"), "at")
+        .select("row", "telling")
     )
+    added = F.when(F.col("telling").isNotNull(), F.arrow_udf(_added, f"array<{_SPAN}>")("terms", "telling"))
+    none = F.array().cast(f"array<{_SPAN}>")
+    marked = holders.join(of_document, "row", "left").select("id", "row", "spans", F.coalesce(added, none).alias("added"))
+    return base.filter(F.size("entities") == 0).select("id", "row", "spans", none.alias("added")).unionAll(marked)
+
+
+def _most_documents(of_entity: Column, total: int, share: float) -> Column:
+    """Documents that may hold a word which tells ``share`` of an entity's information, at most.
+
+    p(t | c) is 1 at most, so t tells log(1 / p(t)) at most: p(t) must not exceed p(c) to the power of
+    ``share``.  Half a document more, so that no pair is lost by rounding.
+    """
+    return F.pow(of_entity / F.lit(float(max(total, 1))), F.lit(share)) * total + 0.5
+
+
+def _added(terms: pa.Array, telling: pa.Array) -> pa.Array:
+    """The places of a document's telling words."""
+    out = []
+    for own, told_of in zip(terms.to_pylist(), telling.to_pylist(), strict=True):
+        kinds = {t["term"]: ADDED[t["remove"]] for t in told_of or ()}
+        spans = [
+            {"start": a, "kind": kinds[t["term"]], "end": b}
+            for t in (own or ()) if t["term"] in kinds
+            for a, b in zip(t["starts"], t["ends"], strict=True)
+        ]
+        out.append(sorted(spans, key=lambda s: s["start"]))
+    return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())])))
 
 
 def joined_spans(spans: Column) -> Column:
