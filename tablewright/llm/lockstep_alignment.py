@@ -18,7 +18,7 @@ from tablewright.llm.shared import c, text_slices
 from tablewright.workspace import written
 
 #: Bytes of text in a batch (one text at least).
-BATCH = 2 << 20
+BATCH = 1 << 20
 #: Tokens after which a long text goes on in a lane of its own, from the next common end on.
 LANE = 256
 #: Links of a group from which its equal tokens are put together before pairs are made.
