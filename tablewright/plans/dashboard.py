@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tablewright.errors import RequestError
 from tablewright.functions.columns import ORDINAL, col, require, select_all, visible
-from tablewright.operators.charts import ChartData, ChartSpec, chart, filtered, histogram
+from tablewright.functions.values import as_double, as_text
+from tablewright.operators.charts import ChartData, ChartSpec, Filter, chart, filtered, histogram
 from tablewright.operators.paging import numbered
 
 @dataclass(frozen=True)
@@ -121,19 +122,75 @@ def dashboard_charts(
 
 
 def dashboard_values(board: Dashboard, charts: Mapping[str, BoundChart]) -> DataFrame:
-    """All category charts of a dashboard in long form: ``widget``, ``category``, ``value``."""
-    parts = [
-        data.rows.select(
-            F.lit(name).alias("widget"), "category", F.col("value").cast("double").alias("value")
-        )
-        for name, data in dashboard_charts(board, charts).items()
-        if data.category_column
-    ]
+    """All category charts of a dashboard in long form: ``widget``, ``category``, ``value``.
+
+    Charts without series over the same table are drawn together, in one scan of it.
+    """
+    plain: dict[int, dict[str, BoundChart]] = {}
+    parts = []
+    for name in dict.fromkeys(n for n in board.charts if n in charts):
+        bound = charts[name]
+        spec = linked(bound.spec, board.filters)
+        if _is_plain(spec):
+            plain.setdefault(id(bound.table), {})[name] = replace(bound, spec=spec)
+            continue
+        data = chart(bound.table, spec, order_by=bound.order_by)
+        if data.category_column:
+            value = F.col("value").cast("double").alias("value")
+            parts.append(data.rows.select(F.lit(name).alias("widget"), "category", value))
+    parts += [values_together(next(iter(own.values())).table, {n: b.spec for n, b in own.items()}) for own in plain.values()]
     if not parts:
         raise RequestError("the dashboard has no category chart", code="no_chart")
     return reduce(DataFrame.unionByName, parts)
 
 
+def _is_plain(spec: ChartSpec) -> bool:
+    """Whether a chart shows one value per category."""
+    return (
+        spec.chart_type not in ("table", "histogram", "scatter")
+        and spec.encoding("x") is not None
+        and spec.encoding("series") is None
+    )
+
+
+def values_together(table: DataFrame, specs: Mapping[str, ChartSpec]) -> DataFrame:
+    """The values of several category charts of one table, from one scan: ``widget``, ``category``, ``value``.
+
+    Each row of the table is a row of every widget whose filters it meets, within the task, where
+    the aggregates are combined before the shuffle.
+    """
+    own, totals = [], []
+    for number, (_, spec) in enumerate(specs.items()):
+        keep = reduce(lambda a, b: a & b, [f.test(table) for f in Filter.parse(spec.options.get("filters"))], F.lit(True))
+        y = spec.encoding("y")
+        counts = y is None or (y.aggregation or "").lower() == "count"
+        own.append(
+            F.when(
+                keep,
+                F.struct(
+                    F.lit(number).alias("number"),
+                    as_text(table, spec.encoding("x").field).alias("category"),
+                    (F.lit(None).cast("double") if counts else as_double(table, y.field)).alias("value"),
+                    (F.lit(True) if y is None else col(table, y.field).isNotNull()).alias("counted"),
+                ),
+            )
+        )
+        name = "count" if counts else (y.aggregation or "sum").lower()
+        totals.append({"avg": "avg", "mean": "avg", "min": "min", "max": "max", "count": "count"}.get(name, "sum"))
+    rows = table.select(F.inline(F.array_compact(F.array(*own))))
+    combined = rows.groupBy("number", "category").agg(
+        F.sum("value").alias("sum"),
+        F.avg("value").alias("avg"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        F.count_if("counted").cast("double").alias("count"),
+    )
+    pick = lambda values: F.element_at(F.array(*values), F.col("number") + 1)
+    return combined.select(
+        pick([F.lit(n) for n in specs]).alias("widget"), "category", pick([F.col(t) for t in totals]).alias("value")
+    )
+
+
 # --- sections as rows -----------------------------------------------------------------------
 
 

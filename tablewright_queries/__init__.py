@@ -1,6 +1,6 @@
 """The registered queries, by subject."""
 
-from tablewright_queries import cleaning, charts, files, profiles, tables
+from tablewright_queries import cleaning, charts, files, profiles, relations, tables
 from tablewright_queries.registry import REGISTRY
 
-__all__ = ["REGISTRY", "charts", "cleaning", "files", "profiles", "tables"]
+__all__ = ["REGISTRY", "charts", "cleaning", "files", "profiles", "relations", "tables"]
