@@ -249,19 +249,23 @@ def fit_quality(
     Those with the least hashes of their ids are taken, so the choice does not hang on the order
     of rows.  Only their features reach the driver: ``rows`` times as many numbers as FEATURES has.
     Labels other than 0 and 1, null ids and labels without a document are left out; a document
-    with several labels counts with each of them.
+    with several labels counts with each of them.  Of rows that share an id one counts, that
+    with the least digest of its text.
     """
     chosen = (
         labels.select(c(doc_id).alias("doc"), c(label).cast("int").alias("label"))
         .filter(F.col("label").isin(0, 1) & F.col("doc").isNotNull() & ~held_out(F.col("doc")))
+        .distinct()
         .orderBy(F.xxhash64("doc"), "doc", "label")
         .limit(rows)
     )
     own = docs.select(c(doc_id).alias("doc"), whole_text(text).alias("text"))
     # At most ``rows`` ids and labels, a bound that does not grow with the data.
     found = own.join(F.broadcast(chosen), "doc").select(
-        "doc", "label", F.arrow_udf(_feature_rows, "array<double>")("text").alias("features")
+        "doc", "label", F.md5("text").alias("digest"), F.arrow_udf(_feature_rows, "array<double>")("text").alias("features")
     )
+    # Rows that share an id are one: that of the least digest of the text.
+    found = found.groupBy("doc", "label").agg(F.min_by("features", "digest").alias("features"))
     kept = sorted(found.collect())
     return fit(
         np.array([r["features"] for r in kept], float).reshape(-1, len(FEATURES)), np.array([r["label"] for r in kept], float)

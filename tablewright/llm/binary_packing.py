@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from tablewright.llm.shared import c, text_batches, whole_text
 
 SEQUENCE = 2048
 END_ID = 1
+#: Special tokens of the vocabulary, which are no ranks.
+SPECIAL: Mapping[str, int] = {"<|endoftext|>": 50256}
 #: Words whose ids a worker remembers; the memory this takes is the only thing it bounds.
 CACHED = 300_000
 _LONG_WORD = 64
@@ -106,6 +109,24 @@ class WordIds:
         return [ids[a:b].tobytes() for a, b in zip(borders, borders[1:], strict=False)]
 
 
+def ids_with_special(encode: WordIds, texts: pa.Array, special: Mapping[str, int]) -> list[bytes]:
+    """Ids of texts in which strings of special tokens are these tokens, of the strings at one place the longest."""
+    pattern = "|".join(re.escape(t) for t in sorted(special, key=len, reverse=True))
+    odd = pc.match_substring_regex(texts, pattern).to_pylist() if special else [False] * len(texts)
+    if not any(odd):
+        return encode(texts)
+    parts, counts = [], []
+    for text, has in zip(texts.to_pylist(), odd, strict=True):
+        own = re.split(f"({pattern})", text) if has else [text]
+        parts += own
+        counts.append(len(own))
+    ids = iter(encode(pa.array(["" if p in special else p for p in parts], pa.string())))
+    marks = (np.asarray([special[p]], "<u4").tobytes() if p in special else None for p in parts)
+    found = [plain if mark is None else mark for plain, mark in zip(ids, marks, strict=True)]
+    ends = np.cumsum([0, *counts]).tolist()
+    return [b"".join(found[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def binary_pieces(tokens: int, sequence: int) -> Iterator[tuple[int, int]]:
     """``(start, length)``: whole sequences, then the binary digits of the rest, largest first."""
     start = 0
@@ -119,7 +140,7 @@ def binary_pieces(tokens: int, sequence: int) -> Iterator[tuple[int, int]]:
         start, rest = start + length, rest - length
 
 
-def _packer(ranks: str, pattern: str, sequence: int, end_id: int, with_ids: bool, placed: bool):
+def _packer(ranks: str, pattern: str, special: Mapping[str, int], sequence: int, end_id: int, with_ids: bool, placed: bool):
     def pack(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordIds.of(ranks, pattern)
         end = np.asarray([end_id], "<u4").tobytes()
@@ -127,7 +148,7 @@ def _packer(ranks: str, pattern: str, sequence: int, end_id: int, with_ids: bool
         for table in text_batches(tables):
             rows: list[tuple] = []
             docs, places = table.column(0).to_pylist(), table.column(2).to_pylist()
-            for doc, ids, place in zip(docs, encode(table.column(1)), places, strict=True):
+            for doc, ids, place in zip(docs, ids_with_special(encode, table.column(1), special), places, strict=True):
                 if placed:
                     next_id = place << _PIECE_BITS
                 ids += end
@@ -170,6 +191,7 @@ def pack_documents(
     text: str = "text",
     sequence: int = SEQUENCE,
     end_id: int = END_ID,
+    special: Mapping[str, int] = SPECIAL,
     with_ids: bool = True,
     place: str | None = None,
 ) -> DataFrame:
@@ -180,7 +202,7 @@ def pack_documents(
     power of two, hence none padded.  ``bucket`` is the logarithm of a piece's length; batches are
     made of pieces of one bucket.  ``sequence`` must be a power of two, ``ranks`` the path of
     a byte-level vocabulary (one token in base 64 and its rank a line) that every executor has, and
-    ``pattern`` what divides texts before it.  Texts of special tokens are ordinary text.
+    ``pattern`` what divides texts before it.  Strings of ``special`` tokens in a text have these ids.
 
     Null and empty texts are the one id ``end_id``.  Null ids and repeated ones are kept: every row
     is packed for itself.  Other columns are not read.  An empty table gives no rows.
@@ -197,7 +219,7 @@ def pack_documents(
     ) + (", ids array<int>" if with_ids else "")
     at = F.lit(0) if place is None else c(place)
     return docs.select(c(doc_id).cast("long"), whole_text(text), at.cast("long").alias("place")).mapInArrow(
-        _packer(ranks, pattern, sequence, end_id, with_ids, place is not None), schema
+        _packer(ranks, pattern, special, sequence, end_id, with_ids, place is not None), schema
     )
 
 

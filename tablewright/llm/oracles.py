@@ -58,19 +58,25 @@ FROM hits
 
 
 def _pfair() -> str:
-    """Earliest deadline first, slot by slot, until every class has all its blocks."""
+    """Earliest deadline first, slot by slot, until every class has all its blocks; the others take turns."""
     names = sorted(m.WEIGHTS)
     shares = [*[m.WEIGHTS[n] for n in names], m.OTHER_WEIGHT]
     total = sum(shares)
     classes = ", ".join(f"({k}, {w})" for k, w in enumerate(shares))
-    which = " ".join(f"WHEN source = '{n}' THEN {k}" for k, n in enumerate(names))
+    which = " ".join(f"WHEN kind = '={n}' THEN {k}" for k, n in enumerate(names))
     return f"""
-WITH RECURSIVE classes(k, w) AS (VALUES {classes}), ranked AS (
-  SELECT doc_id, source, k, row_number() OVER (PARTITION BY k ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS n
-  FROM (SELECT doc_id, source, CASE {which} ELSE {len(names)} END AS k FROM documents)
+WITH RECURSIVE classes(k, w) AS (VALUES {classes}), sources AS (
+  SELECT kind, k, CASE WHEN k < {len(names)} THEN 0 ELSE row_number() OVER (PARTITION BY k ORDER BY kind) - 1 END AS turn,
+         CASE WHEN k < {len(names)} THEN 1 ELSE count(*) OVER (PARTITION BY k) END AS members
+  FROM (SELECT kind, CASE {which} ELSE {len(names)} END AS k FROM (SELECT DISTINCT coalesce('=' || source, '') AS kind FROM documents))
+), ranked AS (
+  SELECT doc_id, source, coalesce('=' || source, '') AS kind,
+         row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS n
+  FROM documents
 ), blocks AS (
-  SELECT doc_id, source, k, w, n, n // {m.BLOCK} AS b FROM ranked JOIN classes USING (k)
-), bounds AS (SELECT max((b // w + 1) * {total}) AS horizon FROM blocks
+  SELECT doc_id, source, k, w, members, n, n // {m.BLOCK} AS b, n // {m.BLOCK} * members + turn AS i
+  FROM ranked JOIN sources USING (kind) JOIN classes USING (k)
+), bounds AS (SELECT max((i // w + 1) * {total}) AS horizon FROM blocks
 ), slots(t, k, i, done) AS (
   SELECT 0, -1, 0, list_transform(range({len(shares)}), lambda x: 0)
   UNION ALL
@@ -83,10 +89,10 @@ WITH RECURSIVE classes(k, w) AS (VALUES {classes}), ranked AS (
     FROM slots WHERE t < (SELECT horizon FROM bounds)
   )
 )
-SELECT doc_id, source, (w / {total}.0)::DOUBLE AS share, b::BIGINT AS block, (b * {total} // w)::BIGINT AS release,
-       (((b + 1) * {total} + w - 1) // w)::BIGINT AS deadline, (t - 1)::BIGINT AS slot,
+SELECT doc_id, source, (w / {total}.0)::DOUBLE / members AS share, b::BIGINT AS block, (b * {total} * members // w)::BIGINT AS release,
+       (((b + 1) * {total} * members + w - 1) // w)::BIGINT AS deadline, (t - 1)::BIGINT AS slot,
        (row_number() OVER (ORDER BY t, n) - 1)::BIGINT AS position
-FROM blocks JOIN slots ON slots.k = blocks.k AND slots.i = blocks.b
+FROM blocks JOIN slots ON slots.k = blocks.k AND slots.i = blocks.i
 """
 
 

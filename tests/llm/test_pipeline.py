@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -47,18 +48,24 @@ def _plain_near(rows):
 
 
 def _plain_mix(rows):
-    """Slot by slot: of the classes whose next block is released, the one due first."""
+    """Slot by slot: of the classes whose next block is released, the one due first; the others in turns."""
     names = [*sorted(pfair.WEIGHTS), None]
     shares = [*[pfair.WEIGHTS[n] for n in names[:-1]], pfair.OTHER_WEIGHT]
     total = sum(shares)
-    queues: list[list] = [[] for _ in names]
+    queues: dict = {}
     for r in sorted(rows, key=lambda r: (hashlib.md5(str(r["doc_id"]).encode()).hexdigest(), r["doc_id"])):
-        queues[names.index(r["source"]) if r["source"] in names else -1].append(r)
+        queues.setdefault(r["source"], []).append(r)
+    others = sorted((n for n in queues if n not in names[:-1]), key=lambda n: (n is not None, n or ""))
     out, done, slot = [], [0] * len(names), 0
     while len(out) < len(rows):
         ready = [k for k, w in enumerate(shares) if done[k] * total // w <= slot]
         k = min(ready, key=lambda k: (-(-(done[k] + 1) * total // shares[k]), k))
-        out += queues[k][done[k] * pfair.BLOCK : (done[k] + 1) * pfair.BLOCK]
+        if names[k] is not None:
+            source, b = names[k], done[k]
+        else:
+            b, turn = divmod(done[k], len(others))
+            source = others[turn]
+        out += queues.get(source, [])[b * pfair.BLOCK : (b + 1) * pfair.BLOCK]
         done[k], slot = done[k] + 1, slot + 1
     return out
 
@@ -102,10 +109,13 @@ def test_sequences_of_a_run_come_in_the_order_of_the_mixture(spark):
         assert r.start >= starts.setdefault(r.doc_id, 0)
         starts[r.doc_id] = r.start
     # The shares hold from the first sequence on, to within a block, until a source has run out.
-    kinds = [source[i] if source[i] in pfair.WEIGHTS else None for i in order]
-    weights = {**pfair.WEIGHTS, None: pfair.OTHER_WEIGHT}
+    kinds = Counter(source[i] for i in order)
+    others = [n for n in kinds if n not in pfair.WEIGHTS]
+    weights = {**pfair.WEIGHTS, **{n: pfair.OTHER_WEIGHT / len(others) for n in others}}
     total = sum(weights.values())
-    whole = min(kinds.count(k) // pfair.BLOCK * total // w for k, w in weights.items()) * pfair.BLOCK
-    assert whole >= 10 * pfair.BLOCK
-    for end in range(0, whole + 1, pfair.BLOCK):
-        assert all(abs(kinds[:end].count(k) - end * w / total) < pfair.BLOCK for k, w in weights.items())
+    whole = int(min(kinds[n] // pfair.BLOCK * total / w for n, w in weights.items()))
+    assert whole >= 10 and len(kinds) == 20
+    so_far: Counter = Counter()
+    for end in range(whole):
+        assert all(abs(so_far[n] - end * pfair.BLOCK * w / total) < pfair.BLOCK for n, w in weights.items())
+        so_far.update(source[i] for i in order[end * pfair.BLOCK : (end + 1) * pfair.BLOCK])

@@ -188,12 +188,12 @@ def _reference_ids(texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return [[*e.ids, 1] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 ODD_TEXTS = [
     "", "a", "  a b", "a  b \n c", "x\n\ny z ", "tab\t x \tq", "n\n 1", "é  z  w", "hi<|endoftext|> there",
+    "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n<|endoftext", "  <|endoftext|>  x <|endoftext|>",
     "a \x85b \x1cz \x0bq", " lead", "trail ", "\n", " \n x", "don't  it's 'll", "the cat " * 900, "日本 語　x", "a\r\nb \r\n c",
 ]
 
@@ -359,6 +359,61 @@ def test_mixture_keeps_all_and_follows_the_shares(spark):
     assert pfair.mix_sources(df.limit(0)).collect() == []
 
 
+def _fair(mixed, shares, block, end):
+    """That before every slot up to ``end`` each source has had its share to within less than one block."""
+    slots = {name: sorted({r.slot for r in mixed if r.source == name}) for name in shares}
+    for t in range(end):
+        assert all(abs(sum(s < t for s in slots[n]) - share * t) < 1 for n, share in shares.items()), t
+
+
+def test_every_source_has_its_own_share(spark):
+    rng = random.Random(12)
+    others = [f"o{k}" for k in range(9)]
+    rows = [(i, rng.choice(["a", "a", "b", None, *others])) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    mixed = pfair.mix_sources(df, {"a": 3, "b": 2}, other=5, block=4).collect()
+    shares = {"a": 0.3, "b": 0.2, **{n: 0.05 for n in (None, *others)}}
+    assert {r.source: round(r.share, 9) for r in mixed} == shares
+    assert all(r.release <= r.slot < r.deadline for r in mixed)
+    sizes = Counter(s for _, s in rows)
+    out = min(int(-(-sizes[n] // 4) / share) for n, share in shares.items())
+    assert out > 100
+    _fair(mixed, shares, 4, out)
+    assert sorted(r.position for r in mixed) == list(range(4000))
+
+
+def test_what_happens_when_a_source_runs_out(spark):
+    rows = [(i, "a" if i < 300 else "b" if i < 340 else f"o{i % 3}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    mix = lambda how, weights: pfair.mix_sources(df, weights, other=2, block=4, when_out=how).collect()
+    shares = {"a": 0.25, "b": 0.25, **{f"o{k}": 0.5 / 3 for k in range(3)}}
+    whole, stopped, again = (mix(how, {"a": 1, "b": 1}) for how in ("go_on", "stop", "repeat"))
+    end = max(r.slot for r in stopped) + 1
+    assert {r.slot for r in stopped} == set(range(end)) and end >= 40
+    key = lambda r: (r.doc_id, r.slot, r.position)
+    assert {key(r) for r in stopped} == {key(r) for r in whole if r.slot < end}
+    last = max(r.slot for r in whole) + 1
+    assert {r.slot for r in again} == set(range(last)) and sorted(r.position for r in again) == list(range(4 * last))
+    _fair(again, shares, 4, last)
+    assert {(r.doc_id, r.slot) for r in whole} >= {(r.doc_id, r.slot) for r in again if r.copy == 0 and r.source != "b"}
+    assert len({(r.doc_id, r.copy) for r in again}) == len(again) and {r.doc_id for r in again} == {i for i, _ in rows}
+    assert mix("stop", {"a": 1, "gone": 1})[-1].slot < 2
+    assert len(mix("repeat", {"a": 1, "gone": 1})) >= 1000
+    with pytest.raises(ValueError, match="when_out"):
+        mix("end", {"a": 1})
+
+
+def test_ids_that_repeat_are_many_groups(spark, monkeypatch):
+    parts = []
+    keep = pfair.written
+    monkeypatch.setattr(pfair, "written", lambda df, name: parts.append((name, keep(df, name))) or parts[-1][1])
+    df = spark.range(40_000, numPartitions=8).select(F.lit(None).cast("long").alias("doc_id"), F.lit("src0").alias("source"))
+    mixed = pfair.mix_sources(df)
+    assert mixed.agg(F.countDistinct("position"), F.max("position")).first() == (40_000, 39_999)
+    groups = dict(parts)["mix-groups"].collect()
+    assert len(groups) > 16 and max(r.n for r in groups) < 4_000
+
+
 # --- URLs ---------------------------------------------------------------------------------------------------
 
 
