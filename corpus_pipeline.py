@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.additive_quality import fit_quality, keep_good
 from tablewright.llm.binary_packing import pack_documents
 from tablewright.llm.line_dedup import drop_repeated_lines
-from tablewright.llm.pfair import in_order, mix_sources, with_written_place
+from tablewright.llm.pfair import in_order, mix_sources, with_written_place, written_row
 from tablewright.llm.prob_minhash import keep_one
 from tablewright.llm.queries import BYTE_PATTERN, BYTE_RANKS, LlmQuery, table
 from tablewright.llm.queries import REGISTRY as _QUERIES
@@ -44,7 +44,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order of the mixture."""
     importable(spark)
-    return in_order(mix_sources(docs), docs.columns, docs.count())
+    tie = written_row(docs) if docs.inputFiles() else None
+    return in_order(mix_sources(docs, tie=tie), docs.columns, docs.count())
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
