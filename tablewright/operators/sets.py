@@ -13,6 +13,11 @@ from tablewright.functions.columns import quoted, select_all, visible
 COPIES = 10_000
 
 
+def comparable(df: DataFrame, names: list[str]) -> bool:
+    """Whether ``row_digest`` takes these columns."""
+    return not any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in df.schema.fields if f.name in names)
+
+
 def row_digest(df: DataFrame, names: list[str]) -> Column:
     """SHA-256 of a row's values; equal values, nulls among them, have equal digests."""
 

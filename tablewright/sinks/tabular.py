@@ -38,10 +38,16 @@ def export_summary(
 
 
 def write_csv(df: DataFrame, path: str, cap: int | None = None) -> None:
-    """UTF-8 CSV with a header in every part; numbers and nested values in their text form."""
+    """UTF-8 CSV with a header in every part; numbers and nested values in their text form.
+
+    White space at the ends of cells stays.  Cells with line breaks are quoted; such files are read
+    back with ``multiline``.
+    """
     rows = capped(df, cap)
     texts = [v.as_text(rows, n).alias(n) for n in rows.columns]
-    rows.select(*texts).write.option("header", True).option("escape", '"').csv(path)
+    rows.select(*texts).write.options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
 
 
 def write_json(df: DataFrame, path: str, cap: int | None = None) -> None:

@@ -75,6 +75,7 @@ def read_delimited(
     delimiter: str | None = None,
     schema: T.StructType | str | None = None,
     normalise_header: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
     """Read files with a header row into typed columns.
 
@@ -85,6 +86,10 @@ def read_delimited(
     Without a ``schema`` one aggregation over the files finds, for each column, the narrowest of
     integer, boolean, date, timestamp and float that all of its cells have; large inputs should come
     with a schema, which saves that pass.  A cell that does not fit its column fails the query.
+
+    Cells with line breaks in quotes need ``multiline``, since a file that may have them can be read only from
+    its start: each file is one task, so let there be many.  Without it such cells make lines of the
+    wrong width, which fail the query.  Headers have no line breaks.
     """
     groups = _header_groups(spark, path, delimiter)
     if not groups:
@@ -98,7 +103,7 @@ def read_delimited(
         if sorted(own) != sorted(names):
             raise RequestError(f"files with different columns: {names} and {own}", code="headers_differ")
         where = path if len(groups) == 1 else _files(spark, path, delimiter, sep, header)
-        rows = _cells(spark, where, sep, len(own))
+        rows = _cells(spark, where, sep, len(own), multiline)
         rows = rows.select(*[F.col(f"_c{own.index(n)}").alias(f"_c{i}") for i, n in enumerate(names)])
         cleaned = rows if cleaned is None else cleaned.unionByName(rows)
     columns = cleaned.columns
@@ -130,7 +135,7 @@ def _files(spark: SparkSession, path: str, delimiter: str | None, sep: str, head
     return [r["file"] for r in own.select("file").orderBy("file").collect()]
 
 
-def _cells(spark: SparkSession, path: str | list[str], sep: str, width: int) -> DataFrame:
+def _cells(spark: SparkSession, path: str | list[str], sep: str, width: int, multiline: bool = False) -> DataFrame:
     """The cells of files as text, NULL where they say so."""
     raw = (
         spark.read.option("sep", sep)
@@ -139,9 +144,11 @@ def _cells(spark: SparkSession, path: str | list[str], sep: str, width: int) ->
         .option("header", True)
         .option("enforceSchema", True)
         .option("mode", "FAILFAST")
+        .option("multiLine", multiline)
         .schema(T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)]))
-        .csv(path)
     )
+    # Else Spark guesses what ends a line from the text, and changes those within cells.
+    raw = (raw.option("lineSep", "\n") if multiline else raw).csv(path)
     tokens = list(NULL_TOKENS)
     return raw.select(*[F.when(~F.col(c).isin(tokens), F.col(c)).alias(c) for c in raw.columns])
 

@@ -166,6 +166,18 @@ def export_csv(t: Tables) -> DataFrame:
     return delimited.read_delimited(t.spark, path)
 
 
+@query(f"""
+    SELECT doc_id, {", ".join(f"CASE WHEN {n} NOT IN {delimited.NULL_TOKENS} THEN {n} END AS {n}" for n in ("text", "lang", "source"))},
+           n_chars
+    FROM documents
+""")
+def export_csv_lines(t: Tables) -> DataFrame:
+    """Texts with line breaks, quotes and white space at their ends, written and read back."""
+    path = new_folder(t.spark, "export")
+    tabular.write_csv(t.documents, path)
+    return delimited.read_delimited(t.spark, path, delimiter=",", schema=t.documents.schema, multiline=True)
+
+
 @query("SELECT * FROM orders")
 def export_json(t: Tables) -> DataFrame:
     path = new_folder(t.spark, "export")
