@@ -241,7 +241,8 @@ def exact_literal(value: Any, data_type: T.DataType) -> Column:
             raise RequestError(
                 f"{value!r} is not a {data_type.simpleString()} value", code="bad_literal"
             ) from exc
-        return F.lit(f"{number:f}").cast(data_type)
+        text = f"{number:f}" if isinstance(data_type, T.DecimalType) else str(int(number))
+        return F.lit(text).cast(data_type)
     return typed_literal(value, data_type).cast(data_type)
 
 
