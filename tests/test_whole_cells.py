@@ -49,7 +49,7 @@ def test_whole_rows_of_a_stored_table_are_told_apart_by_digests(spark):
     assert found.columns == df.columns
     assert sorted(r[ORDINAL] for r in found.collect()) == [0, 1, 3]
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "Window" not in plan and "hashpartitioning(digest" in plan
+    assert "Window" not in plan and "min_by" in plan
 
 
 def test_samples_of_any_size_are_exact(spark):
