@@ -42,7 +42,11 @@ def numbered(df: DataFrame, keys: Sequence[Column], name: str, first: int = 0) -
     The sorted rows are written once to the shared folder; then the counts of their parts, one row
     each, say where every part begins.  No task holds more than its own part.
     """
-    copy = written(with_ordinal(df.orderBy(*keys)), "numbered")
+    if ORDINAL in df.columns:  # a stored table's own numbers stay what they are
+        kept = unused_name(df, "kept_ordinal")
+        renamed = df.orderBy(*keys).withColumnRenamed(ORDINAL, kept)
+        return numbered(renamed, [], name, first).withColumnRenamed(kept, ORDINAL)
+    copy = written(with_ordinal(df.orderBy(*keys) if keys else df), "numbered")
     part, start = unused_name(copy, "part"), unused_name(copy, "start")
     starts = part_starts(copy).select(F.col("part").alias(part), F.col("start").alias(start))
     place = F.col(ORDINAL) - F.shiftleft(F.col(part), _PLACE_BITS)

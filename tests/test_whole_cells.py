@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablewright.errors import RequestError
 from tablewright.functions.columns import ORDINAL
 from tablewright.operators.cleaning import dedupe, replace_values
-from tablewright.operators.paging import with_ordinal
+from tablewright.operators.paging import numbered, with_ordinal
 from tablewright.operators.sampling import exact_sample
 from tablewright.sinks.tabular import write_csv
 from tablewright.sources.delimited import read_delimited
@@ -65,3 +65,11 @@ def test_samples_of_any_size_are_exact(spark):
     assert sum(alike.values()) == 1_500 and sorted(alike.values())[-1] == 1_000
     parts = exact_sample(df, 1_500, ["k"]).groupBy(F.spark_partition_id()).count().collect()
     assert len(parts) > 1
+
+
+def test_samples_and_numbers_of_a_stored_table_keep_its_ordinals(spark):
+    df = with_ordinal(spark.range(300, numPartitions=4).select(F.col("id").alias("n")))
+    own = {(r.n, r[ORDINAL]) for r in df.collect()}
+    assert {(r.n, r[ORDINAL]) for r in exact_sample(df, 40).select("n", ORDINAL).collect()} < own
+    placed = numbered(df, [F.desc("n")], "place").collect()
+    assert {(r.n, r[ORDINAL]) for r in placed} == own and all(r.place == 299 - r.n for r in placed)
