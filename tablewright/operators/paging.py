@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import ORDINAL, col, quoted, unused_name
+from tablewright.functions.columns import ORDINAL, col, quoted, select_all, unused_name
 from tablewright.workspace import written
 
 # Up to here a sorted page is found by keeping the best rows of every task; for a page further down,
@@ -25,17 +25,33 @@ def with_ordinal(df: DataFrame) -> DataFrame:
 
 
 def part_starts(df: DataFrame) -> DataFrame:
-    """For each part of a stored table: ``part``, ``rows`` and the number of rows before it.
+    """For each part of a stored table: ``part``, ``first`` row id, ``rows`` and the rows before it.
 
     One row per part file; the running sum over these is the only global order needed.
     """
-    counts = df.groupBy(
-        F.shiftright(F.col(ORDINAL), _PLACE_BITS).cast("bigint").alias("part")
-    ).agg(F.count(F.lit(1)).alias("rows"))
-    before = F.sum("rows").over(Window.orderBy("part")) - F.col("rows")
+    return with_starts(part_counts(df))
+
+
+def part_counts(df: DataFrame, *by: str) -> DataFrame:
+    """``part``, ``first`` row id and ``rows`` of each part, or of each run of ``by`` within a part."""
+    part = F.shiftright(F.col(ORDINAL), _PLACE_BITS).cast("bigint").alias("part")
+    return df.groupBy(part, *select_all(by)).agg(
+        F.min(ORDINAL).alias("first"), F.count(F.lit(1)).alias("rows")
+    )
+
+
+def with_starts(counts: DataFrame) -> DataFrame:
+    """Counts of parts, each with the number of rows before it."""
+    before = F.sum("rows").over(Window.orderBy("first")) - F.col("rows")
     return counts.withColumn("start", before)
 
 
+def next_part(counts: DataFrame) -> int:
+    """The first row id of a part beyond all of ``counts``."""
+    last = counts.agg(F.max(F.shiftright("first", _PLACE_BITS))).head()[0]
+    return 0 if last is None else (last + 1) << _PLACE_BITS
+
+
 def numbered(df: DataFrame, keys: Sequence[Column], name: str, first: int = 0) -> DataFrame:
     """``df`` with the place of each row in the order of ``keys`` as ``name``, from ``first`` on.
 
@@ -93,7 +109,7 @@ def _row_id(starts: DataFrame, position: int, clamp: bool = False) -> Column:
     if clamp:
         place = F.least(place, F.col("rows") - 1)
     found = starts.filter((F.col("start") <= position) & (place < F.col("rows")))
-    return found.agg(F.max(F.shiftleft(F.col("part"), _PLACE_BITS) + place)).scalar()
+    return found.agg(F.max(F.col("first") + place)).scalar()
 
 
 def sorted_page(

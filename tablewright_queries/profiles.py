@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.operators import catalog, profiling
+from tablewright.operators import catalog, profiling, sketches
 from tablewright.operators.sampling import exact_sample
 from tablewright.plans.profile import profile_report
+from tablewright.store.revisions import RevisionStore
+from tablewright.workspace import new_folder
 from tablewright_queries.registry import TABLES, Tables, query
 
 
@@ -309,3 +311,37 @@ def _profile_report(t: Tables) -> DataFrame:
             "null_ratio": F.round("null_ratio", 6),
         }
     )
+
+
+@query(" UNION ALL ".join(
+    f"""SELECT '{column}' AS column_name, COUNT(*) AS row_count, COUNT(*) - COUNT({column}) AS null_count,
+               TRUE AS distinct_near, {"TRUE" if numeric else "NULL::BOOLEAN"} AS median_near,
+               {f"MIN({column})::DOUBLE" if numeric else "NULL::DOUBLE"} AS least,
+               {f"MAX({column})::DOUBLE" if numeric else "NULL::DOUBLE"} AS greatest
+        FROM (SELECT * FROM events UNION ALL
+              SELECT * REPLACE (-event_id - 1 AS event_id) FROM events WHERE event_type = 'purchase')"""
+    for column, numeric in _EVENTS.items()
+))
+def profile_sketch(t: Tables) -> DataFrame:
+    """The profile of a merged revision from sketches, held against exact counts and ranks."""
+    store = RevisionStore(t.spark, new_folder(t.spark, "store"))
+    first = store.import_table(t.events, "Events", keys=["event_id"], buckets=16)
+    store.sketch(first.revision_id)
+    again = t.events.filter("event_type = 'purchase'").withColumn("event_id", -F.col("event_id") - 1)
+    child = store.import_merge(first.dataset_id, again, ["event_id"])
+    rows, found = store.read(child.revision_id), store.sketch(child.revision_id)
+    exact = profiling.distinct_counts(rows).withColumnRenamed("distinct_count", "exact")
+    ranks = []
+    for name in [n for n, numeric in _EVENTS.items() if numeric]:
+        median = found.filter(F.col("column_name") == name).select(F.col("quartiles")[1]).scalar()
+        under, upto = F.count_if(F.col(name) < median), F.count_if(F.col(name) <= median)
+        error, half = sketches.RANK_ERROR * F.count(name), F.count(name) / 2
+        near = (under <= half + error) & (upto >= half - error)
+        ranks.append(rows.agg(F.lit(name).alias("column_name"), near.alias("median_near")))
+    off = F.abs(F.col("distinct_count") - F.col("exact"))
+    return (
+        found.join(exact, "column_name")
+        .join(reduce(DataFrame.unionByName, ranks), "column_name", "left")
+        .withColumn("distinct_near", off <= sketches.DISTINCT_ERROR * F.col("exact"))
+        .select("column_name", "row_count", "null_count", "distinct_near", "median_near", "least", "greatest")
+    )

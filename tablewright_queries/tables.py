@@ -77,6 +77,26 @@ def src_import(t: Tables) -> DataFrame:
     return store.read(store.import_table(t.orders, "Orders").revision_id)
 
 
+@query("""
+    SELECT * REPLACE (CASE WHEN o_orderstatus = 'P' THEN round(o_totalprice * 2, 2) ELSE o_totalprice END AS o_totalprice)
+    FROM orders WHERE NOT (o_orderstatus = 'O' AND o_orderpriority = '1-URGENT')
+    UNION ALL
+    SELECT * REPLACE (-o_orderkey - 1 AS o_orderkey) FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'
+""")
+def import_merge(t: Tables) -> DataFrame:
+    """Orders in process get dearer, urgent open ones go, and urgent finished ones come a second time."""
+    store = RevisionStore(t.spark, new_folder(t.spark, "store"))
+    dataset = store.import_table(t.orders, "Orders", keys=["o_orderkey"], buckets=16).dataset_id
+    status, urgent = F.col("o_orderstatus"), F.col("o_orderpriority") == "1-URGENT"
+    dearer = t.orders.filter(status == "P").withColumn("o_totalprice", F.round(F.col("o_totalprice") * 2, 2))
+    again = t.orders.filter((status == "F") & urgent).withColumn("o_orderkey", -F.col("o_orderkey") - 1)
+    gone = t.orders.filter((status == "O") & urgent)
+    changes = dearer.unionByName(again).unionByName(gone)
+    return store.read(
+        store.import_merge(dataset, changes, ["o_orderkey"], delete="o_orderstatus = 'O'").revision_id
+    )
+
+
 @query("""
     SELECT conv_id || '/' || turn AS revision_id,
            CASE WHEN turn > 0 THEN conv_id || '/' || (turn - 1) END AS parent_id,
