@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablewright.operators.cleaning import cast_column
 from tablewright.sinks import tabular
 from tablewright.sources import delimited, documents
+from tablewright.sources.partitioned import read_partitioned, write_partitioned
 from tablewright.workspace import new_folder
 from tablewright_queries.registry import Tables, query
 
@@ -183,3 +184,34 @@ def export_json(t: Tables) -> DataFrame:
     path = new_folder(t.spark, "export")
     tabular.write_json(t.orders, path)
     return cast_column(documents.read_json(t.spark, path, lines=True), "o_orderdate", "TIMESTAMP")
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, l_quantity, l_linestatus,
+           CASE WHEN l_linestatus = 'O' THEN l_tax END AS l_tax, year(l_shipdate)::INTEGER AS ship_year
+    FROM lineitem
+    WHERE year(l_shipdate) IN (SELECT year(o_orderdate) FROM orders WHERE o_orderstatus = 'P')
+""")
+def src_partitioned(t: Tables) -> DataFrame:
+    """Line items by year of shipment; the earlier files lack a column.
+
+    The years come from a join, so the folders of other years are pruned at run time.
+    """
+    folder = new_folder(t.spark, "partitioned")
+    lines = t.lineitem.select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_linestatus", "l_tax", F.year("l_shipdate").alias("ship_year")
+    )
+    open_lines = F.col("l_linestatus") == "O"
+    write_partitioned(lines.filter(~open_lines).drop("l_tax"), folder, ["ship_year"])
+    write_partitioned(lines.filter(open_lines), folder, ["ship_year"], append=True)
+    stored = read_partitioned(t.spark, folder, partitions="ship_year int")
+    years = t.orders.filter("o_orderstatus = 'P'").select(F.year("o_orderdate").alias("ship_year"))
+    return stored.join(years.distinct(), "ship_year", "left_semi")
+
+
+@query("SELECT * FROM events")
+def src_orc(t: Tables) -> DataFrame:
+    """Events as ORC in folders by type; numbers keep their types and NULL its place."""
+    folder = new_folder(t.spark, "orc")
+    write_partitioned(t.events, folder, ["event_type"], form="orc")
+    return read_partitioned(t.spark, folder, form="orc", partitions="event_type string").select(t.events.columns)
