@@ -7,6 +7,7 @@ for duplicate rows, and once more, column by column, for distinct values.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -311,51 +312,52 @@ def infer_text_types(df: DataFrame) -> DataFrame:
     A name that speaks of dates or times decides alone.  Otherwise all values count, empty ones
     aside: truth words, whole numbers, real numbers, few different values, and text in the end.  A
     column of nothing but empty strings meets the first of these tests.
-    """
-    parts = [_inferred(df, n) for n in visible(df)]
-    return reduce(DataFrame.unionByName, parts)
-
 
-def _inferred(df: DataFrame, name: str) -> DataFrame:
-    if any(word in name.lower() for word in _DATE_WORDS):
-        # The name has decided; the table still vouches for the column.
-        return df.agg(F.lit(DATETIME).alias("logical_type")).select(
-            F.lit(name).alias("column_name"), "logical_type"
-        )
+    One scan makes the tests of all columns.  A second counts different values, of those columns
+    only that have passed no test; which they are it learns from the first, as one row.
+    """
+    names = visible(df)
     words = ", ".join(f"'{word}'" for word in _TRUTH_WORDS)
     tests = {
-        "truth": f"octet_length(x) <= 5 and lower(x) in ({words})",
-        "whole": f"x rlike r'{_WHOLE}'",
-        "real": f"x rlike r'{_REAL}'",
+        BOOLEAN: f"octet_length(x) <= 5 and lower(x) in ({words})",
+        INTEGER: f"x rlike r'{_WHOLE}'",
+        FLOAT: f"x rlike r'{_REAL}'",
     }
-    values = (
-        df.select(v.as_text(df, name).alias("x"))
-        .filter("x is not null")
-        .selectExpr(
-            f"{v.key_sql('x', T.StringType())} as k",
-            *[f"x = '' or {test} as {label}" for label, test in tests.items()],
-        )
-        .groupBy("k")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.bool_and(label).alias(label) for label in tests],
-        )
-    )
-    filled = F.count_if(F.col("k") != "")
-    found = values.agg(
-        F.sum("n").alias("n"),
-        filled.alias("different"),
-        *[F.bool_and(label).alias(label) for label in tests],
+    texts = df.select(*[v.as_text(df, n).alias(f"x{i}") for i, n in enumerate(names)])
+    made, verdicts = [], []
+    for i, name in enumerate(names):
+        made.append(F.count(f"x{i}").alias(f"n{i}"))
+        verdict = F.when(F.col(f"n{i}") == 0, UNKNOWN)
+        if any(word in name.lower() for word in _DATE_WORDS):
+            verdict = F.lit(DATETIME)
+        else:
+            for kind, test in tests.items():
+                passed = f"x{i} = '' or " + re.sub(r"\bx\b", f"x{i}", test)
+                made.append(F.expr(f"bool_and({passed})").alias(f"{kind}{i}"))
+                verdict = verdict.when(F.col(f"{kind}{i}"), kind)
+        verdicts.append(F.struct(verdict.alias("found"), F.col(f"n{i}").alias("n")))
+    first = texts.agg(*made).select(F.array(*verdicts).alias("columns"))
+
+    told = texts.withColumn("columns", first.scalar())
+    cells = ", ".join(
+        f"if(columns[{i}].found is null, struct({i} as position, {v.key_sql(f'x{i}', T.StringType())} as k), null)"
+        for i in range(len(names))
     )
-    few = (F.col("different") > 0) & (
-        F.col("different") <= F.greatest(F.lit(10), F.floor(F.col("n") / 5))
+    different = (
+        told.selectExpr(f"inline(array({cells}))")
+        .filter("k <> ''")
+        .distinct()
+        .groupBy("position")
+        .agg(F.count(F.lit(1)).alias("different"))
     )
-    verdict = (
-        F.when(F.col("n").isNull(), UNKNOWN)
-        .when(F.col("truth"), BOOLEAN)
-        .when(F.col("whole"), INTEGER)
-        .when(F.col("real"), FLOAT)
-        .when(few, CATEGORICAL)
-        .otherwise(TEXT)
+    labels = F.array(*[F.lit(n) for n in names])
+    every = df.sparkSession.range(len(names)).select(F.col("id").cast("int").alias("position"))
+    few = F.col("different") <= F.greatest(F.lit(10), F.floor(F.col("column.n") / 5))
+    return (
+        every.withColumn("column", F.element_at(first.scalar(), F.col("position") + 1))
+        .join(different, "position", "left")
+        .select(
+            F.element_at(labels, F.col("position") + 1).alias("column_name"),
+            F.coalesce("column.found", F.when(few, CATEGORICAL).otherwise(TEXT)).alias("logical_type"),
+        )
     )
-    return found.select(F.lit(name).alias("column_name"), verdict.alias("logical_type"))

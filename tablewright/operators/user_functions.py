@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tablewright.errors import RequestError
 from tablewright.functions.columns import require, select_all, visible
 from tablewright.operators.cleaning import Params, register_step
+from tablewright.workspace import workers_find_library
 
 #: States an aggregate's task holds before it passes them on, and the parts into which the states of
 #: one key are spread on their way.
@@ -56,6 +57,7 @@ def table_function(
     require(df, [*partition_by, *order_by])
     if order_by and not partition_by:
         raise RequestError("an order needs partitions to order within", code="no_partition")
+    workers_find_library(df.sparkSession)
     table = df.select(*select_all(visible(df))).asTable()
     if partition_by:
         table = table.partitionBy(*select_all(partition_by))
@@ -106,6 +108,7 @@ def aggregated(df: DataFrame, aggregate: UserAggregate, columns: list[str], by:
     require(df, [*columns, *by])
     if result in by:
         raise RequestError(f"column already exists: {result}", code="duplicate_column")
+    workers_find_library(df.sparkSession)
     keys = [f"k{i}" for i in range(len(by))]
     rows = df.select(
         *[c.alias(k) for k, c in zip(keys, select_all(by), strict=True)],

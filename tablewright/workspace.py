@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,15 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     path = new_folder(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def workers_find_library(spark: SparkSession) -> None:
+    """Let Python workers import this library from where the driver has it.
+
+    A cluster has it installed; this is for sessions that were started in another folder.
+    """
+    here = str(Path(__file__).resolve().parents[1])
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if here not in known.split(":"):
+        environment["PYTHONPATH"] = f"{here}:{known}" if known else here

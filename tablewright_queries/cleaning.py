@@ -95,10 +95,10 @@ def clean_drop_nulls(t: Tables) -> DataFrame:
     return s.drop_nulls(_rated(t), ["o_orderpriority", "o_custkey"])
 
 
-@query("SELECT p_partkey, TRIM('  ' || p_name || ' ') AS p_name FROM part")
+@query("SELECT * REPLACE (TRIM('  ' || p_name || ' ') AS p_name) FROM part")
 def clean_trim(t: Tables) -> DataFrame:
-    padded = F.concat(F.lit("  "), "p_name", F.lit(" ")).alias("p_name")
-    return s.trim_column(t.part.select("p_partkey", padded), "p_name")
+    padded = F.concat(F.lit("  "), "p_name", F.lit(" "))
+    return s.trim_column(t.part.withColumn("p_name", padded), "p_name")
 
 
 @query("""
@@ -119,9 +119,9 @@ def clean_dedupe(t: Tables) -> DataFrame:
     return s.dedupe(t.events, ["user_id", "event_type"], order_by=["event_id"])
 
 
-@query("SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber, l_shipdate FROM lineitem")
+@query("SELECT DISTINCT * FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_returnflag = 'R')")
 def clean_distinct(t: Tables) -> DataFrame:
-    return s.dedupe(t.lineitem.select("l_returnflag", "l_linestatus", "l_linenumber", "l_shipdate"))
+    return s.dedupe(t.lineitem.unionByName(t.lineitem.filter("l_returnflag = 'R'")))
 
 
 @query("""

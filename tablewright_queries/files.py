@@ -79,41 +79,50 @@ def src_json_flatten(t: Tables) -> DataFrame:
     return documents.read_json(t.spark, path, lines=True)
 
 
-def _as_arrays(df: DataFrame, path: str, before: str, after: str) -> None:
-    """Write a table as files that hold one JSON value each, a list of records within a text."""
-    lines = df.select(F.spark_partition_id().alias("part"), F.to_json(F.struct("*")).alias("record"))
-    whole = lines.groupBy("part").agg(F.array_join(F.collect_list("record"), ",").alias("records"))
+#: Records in one JSON value: a file of this kind is one task, whatever the size of the table.
+_RECORDS = 500
+
+
+def _as_arrays(df: DataFrame, path: str, before: str, after: str, between: str = ",") -> None:
+    """Write a table as files that hold one JSON value each, ``_RECORDS`` records within a text."""
+    turn = F.floor(F.monotonically_increasing_id() / _RECORDS)
+    lines = df.select(turn.alias("file"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))
+    whole = lines.groupBy("file").agg(F.array_join(F.collect_list("record"), between).alias("records"))
     text = F.concat(F.lit(before), "records", F.lit(after)).alias("value")
-    whole.select(text).write.option("lineSep", "\n").text(path)
+    whole.select("file", text).write.partitionBy("file").text(path)
 
 
-@query('SELECT c_custkey, c_name, c_acctbal AS "items.balance" FROM customer')
+@query("""
+    SELECT * EXCLUDE (c_acctbal, c_nationkey), c_nationkey::BIGINT AS c_nationkey, c_acctbal AS "items.balance" FROM customer
+""")
 def src_json_array(t: Tables) -> DataFrame:
-    """A root array, whose records have a field with the name of a wrapper."""
+    """Root arrays, whose records have a field with the name of a wrapper."""
     path = new_folder(t.spark, "json")
-    records = t.customer.select("c_custkey", "c_name", F.struct(F.col("c_acctbal").alias("balance")).alias("items"))
-    _as_arrays(records, path, "[", "]")
-    return documents.read_json(t.spark, path)
+    balance = F.struct(F.col("c_acctbal").alias("balance")).alias("items")
+    _as_arrays(t.customer.select("*", balance).drop("c_acctbal"), path, "[", "]")
+    return documents.read_json(t.spark, f"{path}/*")
 
 
-@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+_SUPPLIER = "SELECT * REPLACE (s_nationkey::BIGINT AS s_nationkey) FROM supplier"
+
+
+@query(f"{_SUPPLIER} UNION ALL {_SUPPLIER}")
 def src_json_wrapped(t: Tables) -> DataFrame:
     """The same records below a field of a root object and in a root array, side by side."""
     path = new_folder(t.spark, "json")
-    records = t.supplier.select("s_suppkey", "s_name", "s_acctbal")
-    _as_arrays(records, f"{path}/form=wrapped", '{"n": 1, "records": [', "]}")
-    _as_arrays(records, f"{path}/form=plain", "[", "]")
-    return documents.read_json(t.spark, path + "/*")
+    _as_arrays(t.supplier, f"{path}/form=wrapped", '{"n": 1, "records": [', "]}")
+    _as_arrays(t.supplier, f"{path}/form=plain", "[", "]")
+    return documents.read_json(t.spark, path + "/*/*")
 
 
-@query("SELECT p_partkey, NULL::BIGINT AS value FROM part UNION ALL SELECT NULL, 7 FROM part")
+@query("""
+    SELECT * REPLACE (p_size::BIGINT AS p_size) FROM part UNION ALL BY NAME SELECT 7::BIGINT AS value FROM part
+""")
 def src_json_mixed(t: Tables) -> DataFrame:
-    """An array of records with a plain value after each."""
+    """Arrays of records with a plain value after each."""
     path = new_folder(t.spark, "json")
-    lines = t.part.select(F.spark_partition_id().alias("part"), F.to_json(F.struct("p_partkey")).alias("record"))
-    whole = lines.groupBy("part").agg(F.array_join(F.collect_list("record"), ",7,").alias("records"))
-    whole.select(F.concat(F.lit("["), "records", F.lit(",7]"))).write.text(path)
-    return documents.read_json(t.spark, path)
+    _as_arrays(t.part, path, "[", ",7]", between=",7,")
+    return documents.read_json(t.spark, f"{path}/*")
 
 
 @query("SELECT * FROM supplier UNION ALL SELECT * FROM supplier")
@@ -129,16 +138,19 @@ def src_csv_reordered(t: Tables) -> DataFrame:
 
 
 @query("""
-    SELECT r_regionkey::BIGINT AS a, r_name AS a_1, r_regionkey::BIGINT AS a_1_1, r_name AS col_3
-    FROM region
+    SELECT o_orderkey AS a, o_orderstatus AS a_1, o_custkey AS a_1_1, o_orderpriority AS col_3, o_totalprice AS b,
+           o_orderdate AS b_1
+    FROM orders
 """)
 def src_headers(t: Tables) -> DataFrame:
-    """Repeated and missing header cells."""
+    """Repeated and missing header cells, which every one of the files begins with."""
     path = new_folder(t.spark, "csv")
-    cells = F.concat_ws(",", "r_regionkey", "r_name", "r_regionkey", "r_name")
-    rows = t.region.select(F.lit(1).alias("at"), cells.alias("value"))
-    header = t.spark.range(1).select(F.lit(0).alias("at"), F.lit("a,a,a_1,").alias("value"))
-    header.unionByName(rows).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    moment = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    cells = F.concat_ws(",", "o_orderkey", "o_orderstatus", "o_custkey", "o_orderpriority", "o_totalprice", moment)
+    place = F.monotonically_increasing_id()
+    rows = t.orders.repartition(4).select(cells.alias("row"), (place % 2**33 == 0).alias("starts"))
+    header = F.when(F.col("starts"), F.array(F.lit("a,a,a_1,,b,b"), "row")).otherwise(F.array("row"))
+    rows.select(F.explode(header)).write.text(path)
     return delimited.read_delimited(t.spark, path)
 
 

@@ -70,6 +70,14 @@ _LINEITEM = {
     "l_linestatus": False,
     "l_shipdate": False,
 }
+_ORDERS = {
+    "o_orderkey": True,
+    "o_custkey": True,
+    "o_orderstatus": False,
+    "o_totalprice": True,
+    "o_orderdate": False,
+    "o_orderpriority": False,
+}
 _DOCUMENTS = {"doc_id": True, "text": False, "lang": False, "source": False, "n_chars": True}
 
 
@@ -232,25 +240,17 @@ def _inferred_sql(table: str, column: str, name: str | None = None) -> str:
     [_inferred_sql("pages", c) for c in ("page_id", "url", "html")]
     + [_inferred_sql("documents", c) for c in ("doc_id", "text", "lang", "source", "n_chars")]
     + [_inferred_sql("events", c) for c in _EVENTS]
-    + [_inferred_sql("labels", c) for c in ("quality", "toxic")]
-    + [_inferred_sql("orders", "o_orderdate")]
+    + [_inferred_sql("labels", c) for c in ("doc_id", "quality", "toxic")]
+    + [_inferred_sql("orders", c) for c in _ORDERS]
 ))
 def profile_infer_types(t: Tables) -> DataFrame:
-    tables = [
-        t.pages,
-        t.documents,
-        t.events,
-        t.labels.select("quality", "toxic"),
-        t.orders.select("o_orderdate"),
-    ]
+    tables = [t.pages, t.documents, t.events, t.labels, t.orders]
     return reduce(DataFrame.unionByName, [profiling.infer_text_types(df) for df in tables])
 
 
 _DRAWN = """
-    (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders
-     ORDER BY md5('42' || chr(31) || o_orderkey::VARCHAR) LIMIT 1000)
+    (SELECT * FROM orders ORDER BY md5('42' || chr(31) || o_orderkey::VARCHAR) LIMIT 1000)
 """
-_ORDERS = {"o_orderkey": True, "o_custkey": True, "o_orderstatus": False, "o_totalprice": True}
 
 
 @query(f"""
@@ -258,8 +258,7 @@ _ORDERS = {"o_orderkey": True, "o_custkey": True, "o_orderstatus": False, "o_tot
 """)
 def profile_sampled(t: Tables) -> DataFrame:
     """The report on a sample of a size that is asked for; its rows follow from their keys."""
-    orders = t.orders.select(*_ORDERS)
-    report = profile_report(orders, sample_rows=1000, sample_keys=["o_orderkey"])
+    report = profile_report(t.orders, sample_rows=1000, sample_keys=["o_orderkey"])
     columns = report.columns.drop("position", "logical_type", "sample_values")
     return columns.withColumn("null_ratio", F.round("null_ratio", 6))
 
