@@ -313,8 +313,9 @@ def infer_text_types(df: DataFrame) -> DataFrame:
     aside: truth words, whole numbers, real numbers, few different values, and text in the end.  A
     column of nothing but empty strings meets the first of these tests.
 
-    One scan makes the tests of all columns.  A second counts different values, of those columns
-    only that have passed no test; which they are it learns from the first, as one row.
+    One scan makes the tests of all columns, on the values themselves where their type says how they
+    print.  A second counts different values, of those columns only that have passed no test; which
+    they are it learns from the first, as one row.
     """
     names = visible(df)
     words = ", ".join(f"'{word}'" for word in _TRUTH_WORDS)
@@ -323,7 +324,10 @@ def infer_text_types(df: DataFrame) -> DataFrame:
         INTEGER: f"x rlike r'{_WHOLE}'",
         FLOAT: f"x rlike r'{_REAL}'",
     }
-    texts = df.select(*[v.as_text(df, n).alias(f"x{i}") for i, n in enumerate(names)])
+    typed = [_tests_by_type(dtype(df, n)) for n in names]
+    texts = df.select(*[
+        (col(df, n) if typed[i] else v.as_text(df, n)).alias(f"x{i}") for i, n in enumerate(names)
+    ])
     made, verdicts = [], []
     for i, name in enumerate(names):
         made.append(F.count(f"x{i}").alias(f"n{i}"))
@@ -331,8 +335,9 @@ def infer_text_types(df: DataFrame) -> DataFrame:
         if any(word in name.lower() for word in _DATE_WORDS):
             verdict = F.lit(DATETIME)
         else:
-            for kind, test in tests.items():
-                passed = f"x{i} = '' or " + re.sub(r"\bx\b", f"x{i}", test)
+            for kind, test in (typed[i] or tests).items():
+                empty = "" if typed[i] else f"x{i} = '' or "
+                passed = empty + re.sub(r"\bx\b", f"x{i}", test)
                 made.append(F.expr(f"bool_and({passed})").alias(f"{kind}{i}"))
                 verdict = verdict.when(F.col(f"{kind}{i}"), kind)
         verdicts.append(F.struct(verdict.alias("found"), F.col(f"n{i}").alias("n")))
@@ -342,7 +347,8 @@ def infer_text_types(df: DataFrame) -> DataFrame:
     cells = ", ".join(
         f"if(columns[{i}].found is null, struct({i} as position, {v.key_sql(f'x{i}', T.StringType())} as k), null)"
         for i in range(len(names))
-    )
+        if not typed[i]
+    ) or "cast(null as struct<position: int, k: string>)"
     different = (
         told.selectExpr(f"inline(array({cells}))")
         .filter("k <> ''")
@@ -361,3 +367,14 @@ def infer_text_types(df: DataFrame) -> DataFrame:
             F.coalesce("column.found", F.when(few, CATEGORICAL).otherwise(TEXT)).alias("logical_type"),
         )
     )
+
+
+def _tests_by_type(data_type: T.DataType) -> dict[str, str]:
+    """The tests of a type whose values always print as whole or real numbers or truth words."""
+    if isinstance(data_type, T.BooleanType):
+        return {BOOLEAN: "x is not null or true"}
+    if isinstance(data_type, T.IntegralType):
+        return {BOOLEAN: "x in (0, 1)", INTEGER: "x is not null or true"}
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        return {FLOAT: "x is not null or true"}
+    return {}

@@ -218,3 +218,20 @@ def test_profile_reads_each_column_as_often_as_it_must(spark, tmp_path):
     counts = profiling.distinct_counts(df)._jdf.queryExecution().executedPlan().toString()
     for column in ("id:bigint", "s:string", "d:"):
         assert counts.count(f"ReadSchema: struct<{column}") == 1
+
+
+def test_inference_reads_a_table_as_often_for_many_columns(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    plan = profiling.infer_text_types(orders)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("Relation [") <= 3
+
+
+def test_inference_of_typed_columns(spark):
+    df = spark.createDataFrame(
+        [(True, 0, 5, float("nan"), None, "yes"), (None, 1, -1, 2.0, None, "")],
+        "b boolean, bit int, n smallint, x float, none bigint, t string",
+    )
+    found = {r.column_name: r.logical_type for r in profiling.infer_text_types(df).collect()}
+    assert found == {"b": "boolean", "bit": "boolean", "n": "integer", "x": "float", "none": "unknown", "t": "boolean"}
+    empty = profiling.infer_text_types(df.limit(0).select("n", "t")).collect()
+    assert {tuple(r) for r in empty} == {("n", "unknown"), ("t", "unknown")}
