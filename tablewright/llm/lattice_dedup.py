@@ -1,7 +1,8 @@
 """Near-duplicate vectors by hashing to E8 lattice cells.
 
-Each table projects a vector to eight random directions and takes the nearest point of the E8
-lattice; a vector is looked up in its own cell and in the neighbouring cells closest to it.  To do no
+Each table projects a vector to some times eight random directions and takes the nearest points of
+the E8 lattice; a vector is looked up in its own cell and in the neighbouring cells closest to it.
+How fine the cells are and how many tables there are follows the table.  To do no
 work that grows with the square of a dense group, vectors are first gathered in clumps around a
 centre, so narrow that any two of a clump must be linked.
 """
@@ -10,6 +11,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -23,63 +27,166 @@ from tablewright.llm.vectors import cosine, matrices, usable
 from tablewright.workspace import written
 
 COSINE = 0.93
-TABLES = 24
-#: Neighbouring cells looked up in each table.
-PROBES = 4
-#: Cell sizes a unit vector spans; larger is more selective.
-SPAN = 3.0
+#: Shapes of cells to choose from: lattices combined in a table, cells a unit vector spans in each of
+#: them (more is more selective), and neighbouring cells looked up.
+SHAPES = (
+    (1, 2.5, 4), (1, 3.0, 4), (2, 1.5, 8), (2, 1.75, 8), (2, 2.0, 12), (3, 1.25, 8), (3, 1.5, 12), (3, 1.75, 16),
+    (4, 1.25, 16), (4, 1.5, 16),
+)
+#: The chance to miss a pair just at the threshold; closer ones are missed less.
+MISSED = 2e-4
+#: Vectors that the shape is chosen by; all rows are hashed and compared whatever it is.
+SAMPLE_ROWS = 1024
 #: Rounds in which clumps are gathered, each with the cells of another table.
 CLUMP_ROUNDS = 4
 #: What angles may be off by through rounding.
 _SLACK = 1e-6
 
+#: What comparing a pair costs, in keys.
+_PAIR_COST = 4
+#: Pairs drawn to tell how often a shape of cells finds a pair.
+_PAIRS_DRAWN = 4000
+#: Vectors hashed together.
+_BATCH = 2048
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
-def _directions(size: int, tables: int, span: float) -> np.ndarray:
-    """``tables`` times eight random directions for vectors of a length, the same everywhere."""
-    drawn = np.random.default_rng(size).normal(size=(size, tables * SIZE))
-    return drawn * (span / math.sqrt(SIZE))
+@dataclass(frozen=True)
+class Cells:
+    """How vectors are hashed: each table combines the cells of ``lattices`` E8 lattices, which a unit
+    vector spans ``span`` cells of; ``probes`` neighbouring cells are looked up beside the own one."""
 
+    lattices: int
+    span: float
+    probes: int
+    tables: int
 
-def _cell_keys(points: np.ndarray, labels: np.ndarray, table: int) -> np.ndarray:
-    """64-bit keys of lattice points (doubled, they are integers), tables and labels."""
-    out = np.full(points.shape[:-1], (table + 1) * _GOLDEN & (1 << 64) - 1, np.uint64)
-    label = labels.astype(np.int64).view(np.uint64)
-    parts = [*(np.rint(2 * points[..., k]).astype(np.int64).view(np.uint64) for k in range(SIZE))]
-    parts.append(label if points.ndim == 2 else np.broadcast_to(label[:, None], points.shape[:-1]))
-    for part in parts:
-        out = (out ^ part) * np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(29)
+
+def _directions(size: int, cells: Cells) -> np.ndarray:
+    """Random directions of all tables for vectors of a length, the same everywhere."""
+    drawn = np.random.default_rng(size).normal(size=(size, cells.tables * cells.lattices * SIZE))
+    return drawn * (cells.span / math.sqrt(SIZE))
+
+
+def _mixed(keys: np.ndarray, part: np.ndarray) -> np.ndarray:
+    keys = (keys ^ part) * np.uint64(0xBF58476D1CE4E5B9)
+    return keys ^ (keys >> np.uint64(29))
+
+
+def _cell_keys(y: np.ndarray, labels: np.ndarray, table: int, cells: Cells) -> np.ndarray:
+    """64-bit keys of projections, one row each: the own cell first and then the nearest others.
+
+    A cell is one point of each lattice, told apart by table and label.  The other cells are those
+    that change some of the points to close neighbours and add least to the squared distance.
+    """
+    hashes, costs = [], []
+    near = max(2, cells.probes // cells.lattices)
+    for k in range(cells.lattices):
+        z = y[:, k * SIZE : (k + 1) * SIZE]
+        own = nearest(z)
+        points = np.concatenate([own[:, None], neighbours(z, own, near)], axis=1)
+        away = ((z[:, None] - points) ** 2).sum(2)
+        costs.append(away - away[:, :1])
+        seed = ((table * cells.lattices + k + 1) * _GOLDEN) & (1 << 64) - 1
+        hashed = np.full(points.shape[:2], seed, np.uint64)
+        # Doubled, the numbers of lattice points are integers.
+        for j in range(SIZE):
+            hashed = _mixed(hashed, np.rint(2 * points[..., j]).astype(np.int64).view(np.uint64))
+        hashes.append(hashed)
+    choices = np.array(list(product(range(near + 1), repeat=cells.lattices)))
+    cost = sum(costs[k][:, choices[:, k]] for k in range(cells.lattices))
+    cost[:, 0] = np.inf
+    best = np.argpartition(cost, cells.probes - 1, axis=1)[:, : cells.probes]
+    best = np.concatenate([np.zeros((len(y), 1), np.int64), best], axis=1)
+    out = np.broadcast_to(labels.astype(np.int64).view(np.uint64)[:, None], best.shape)
+    for k in range(cells.lattices):
+        out = _mixed(out, np.take_along_axis(hashes[k], choices[:, k][best], 1))
     return out.view(np.int64)
 
 
-def _celler(tables: int, probes: int, span: float):
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, labels = batch.column(0), batch.column(1).to_numpy()
-            for rows, matrix in matrices(batch.column(2)):
-                unit = matrix.astype(float)
-                unit /= np.sqrt((unit**2).sum(1))[:, None]
-                projected = unit @ _directions(matrix.shape[1], tables, span)
-                home = np.empty((len(rows), tables), np.int64)
-                near = np.empty((len(rows), tables, probes), np.int64)
-                for t in range(tables):
-                    y = projected[:, t * SIZE : (t + 1) * SIZE]
-                    x = nearest(y)
-                    home[:, t] = _cell_keys(x, labels[rows], t)
-                    near[:, t] = _cell_keys(neighbours(y, x, probes), labels[rows], t)
-                ends = np.arange(len(rows) + 1, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.take(pa.array(rows)),
-                        pa.ListArray.from_arrays(pa.array(ends * tables), pa.array(home.reshape(-1))),
-                        pa.ListArray.from_arrays(pa.array(ends * (tables * probes)), pa.array(near.reshape(-1))),
-                    ],
-                    ["id", "home", "near"],
-                )
-
-    return cells
+@lru_cache(maxsize=64)
+def _tables_for(lattices: int, span: float, probes: int, threshold: float) -> int:
+    """Tables after which a pair of unit vectors just at the threshold is missed with probability ``MISSED``.
+
+    Random directions see such a pair as two Gaussian points of a known correlation, whatever the
+    vectors are, so how often a table finds it is drawn once for a shape.
+    """
+    rng = np.random.default_rng(41)
+    x, z = rng.normal(size=(2, _PAIRS_DRAWN, lattices * SIZE)) * (span / math.sqrt(SIZE))
+    shape = Cells(lattices, span, probes, 1)
+    labels = np.zeros(_PAIRS_DRAWN, np.int64)
+    a = _cell_keys(x, labels, 0, shape)
+    b = _cell_keys(threshold * x + math.sqrt(1 - threshold**2) * z, labels, 0, shape)
+    met = (a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)
+    found = min(max(float(met.mean()), 1e-3), 0.999)
+    return max(CLUMP_ROUNDS, math.ceil(math.log(MISSED) / math.log(1 - found)))
+
+
+def fitted_cells(sample: np.ndarray, labels: np.ndarray, rows: int, threshold: float) -> Cells:
+    """The shape of cells that costs a table of ``rows`` vectors least, of those in ``SHAPES``.
+
+    Every shape has as many tables as keep the chance to miss a pair at the threshold the same.  What
+    they cost is the keys of all rows plus the pairs that meet without being linked, whose share is
+    counted in the sample; these grow with the square of the rows, so larger tables get finer cells.
+    """
+    unit = sample / np.sqrt((sample**2).sum(1))[:, None]
+    linked = unit @ unit.T >= threshold
+    best = None
+    for lattices, span, probes in SHAPES:
+        tables = _tables_for(lattices, span, probes, threshold)
+        tried = Cells(lattices, span, probes, min(tables, 4))
+        projected = unit @ _directions(unit.shape[1], tried)
+        width = lattices * SIZE
+        # One meeting more than seen: none in a sample does not mean none.
+        met = 1 / tried.tables
+        for t in range(tried.tables):
+            keys = _cell_keys(projected[:, t * width : (t + 1) * width], labels, t, tried)
+            for k in range(probes + 1):
+                met += float(((keys[:, k][:, None] == keys[:, 0][None]) & ~linked).sum()) / tried.tables
+        share = met / max(len(unit) * (len(unit) - 1), 1)
+        cost = tables * (rows * (probes + 1) + _PAIR_COST * share * float(rows) ** 2)
+        if best is None or cost < best[0]:
+            best = (cost, Cells(lattices, span, probes, tables))
+    return best[1]
+
+
+def _celler(cells: Cells):
+    tables, probes, width = cells.tables, cells.probes, cells.lattices * SIZE
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(at, _BATCH) for at in range(0, len(whole), _BATCH)):
+                ids, labels = batch.column(0), batch.column(1).to_numpy()
+                for rows, matrix in matrices(batch.column(2)):
+                    unit = matrix.astype(float)
+                    unit /= np.sqrt((unit**2).sum(1))[:, None]
+                    projected = unit @ _directions(matrix.shape[1], cells)
+                    keys = np.empty((len(rows), tables, probes + 1), np.int64)
+                    for t in range(tables):
+                        keys[:, t] = _cell_keys(projected[:, t * width : (t + 1) * width], labels[rows], t, cells)
+                    home, near = np.ascontiguousarray(keys[..., 0]), np.ascontiguousarray(keys[..., 1:])
+                    ends = np.arange(len(rows) + 1, dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            ids.take(pa.array(rows)),
+                            pa.ListArray.from_arrays(pa.array(ends * tables), pa.array(home.reshape(-1))),
+                            pa.ListArray.from_arrays(pa.array(ends * (tables * probes)), pa.array(near.reshape(-1))),
+                        ],
+                        ["id", "home", "near"],
+                    )
+
+    return keyed
+
+
+def _fit(used: DataFrame, rows: int, threshold: float) -> Cells:
+    """Cells for a table, from ``SAMPLE_ROWS`` of its vectors, those whose ids have the least hashes."""
+    taken = used.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).collect()
+    by_size: dict[int, list] = {}
+    for r in taken:
+        by_size.setdefault(len(r.vector), []).append(r)
+    most = max(by_size.values(), key=len, default=[])
+    sample = np.array([r.vector for r in most], dtype=float).reshape(len(most), len(most[0].vector) if most else 1)
+    return fitted_cells(sample, np.array([r.label for r in most], dtype=np.int64), rows, threshold)
 
 
 def near_vectors(
@@ -89,9 +196,7 @@ def near_vectors(
     vec_id: str = "vec_id",
     vector: str = "embedding",
     label: str = "label",
-    tables: int = TABLES,
-    probes: int = PROBES,
-    span: float = SPAN,
+    cells: Cells | None = None,
 ) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row per id.
 
@@ -110,6 +215,8 @@ def near_vectors(
     vector of the larger one with the centre of the other, which by the same inequality settles
     most of them at once, and one by one where it does not.  No list of all pairs of a group is
     made; only links between clumps that the inequality cannot settle are looked at singly.
+
+    ``cells`` is fitted to the table where it is not given (see ``fitted_cells``).
     """
     if not 0 < threshold < 1:
         raise ValueError("the threshold must be between 0 and 1")
@@ -126,7 +233,8 @@ def near_vectors(
     one = written(one, "vectors")
     sound = usable(F.col("vector")) & F.exists("vector", lambda x: x != 0) & F.col("label").isNotNull()
     used = one.filter(sound).select("id", "label", _scaled("vector"))
-    cells = written(used.mapInArrow(_celler(tables, probes, span), "id long, home array<long>, near array<long>"), "cells")
+    shape = cells or _fit(used, used.count(), threshold)
+    cells = written(used.mapInArrow(_celler(shape), "id long, home array<long>, near array<long>"), "cells")
     place = used.select("id", "label", "vector")
 
     members = _clumps(used.select("id", F.col("id").alias("centre")), cells, place, reach / 2 - _SLACK)
@@ -205,11 +313,22 @@ def near_vectors(
         .agg(F.sum("n").alias("n_links"))
     )
     roots = components(against.filter("verdict = 'all'").select("a", "b").unionByName(single.select("a", "b")))
-    named = members.join(roots.withColumnRenamed("id", "centre"), "centre", "left").select(
-        "id", F.coalesce("root", "centre").alias("group")
+    # The least id of a component is found among clumps; what is joined by component are clumps too.
+    firsts = members.groupBy("centre").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    grouped = written(
+        firsts.join(roots.withColumnRenamed("id", "centre"), "centre", "left").select(
+            "centre", "least", "rows", F.coalesce("root", "centre").alias("group")
+        ),
+        "groups",
     )
-    least = named.groupBy("group").agg(F.min("id").alias("component_id"))
-    found = named.join(least, "group").select("id", "component_id").join(counts, "id")
+    of_group = grouped.groupBy("group").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of_centre = written(
+        _looked_up(grouped.select("centre", "rows", "group"), of_group, "group").select(
+            "centre", "component_id", F.col("rows").alias("n")
+        ),
+        "components",
+    )
+    found = _looked_up(members, of_centre, "centre").select("id", "component_id").join(counts, "id")
     component = F.coalesce("component_id", "id")
     listed = one.select("id").join(found, "id", "left").unionByName(rows.filter("id IS NULL").select("id"), allowMissingColumns=True)
     return listed.select(
@@ -220,6 +339,22 @@ def near_vectors(
     )
 
 
+def _looked_up(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """``rows`` with what ``values`` holds for their ``key``; its column ``n`` counts the rows of a key.
+
+    Keys with over a thousandth of all rows, fewer than a thousand, are broadcast, so that their rows
+    stay where they are; the others are joined.
+    """
+    many = rows.count() // 1000
+    values = written(values, "values")
+    hot = values.filter(F.col("n") > many)
+    return (
+        rows.join(F.broadcast(hot), key)
+        .unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(values.filter(F.col("n") <= many), key))
+        .drop("n")
+    )
+
+
 def _scaled(name: str):
     """A vector divided by its largest component, so that squares neither vanish nor overflow."""
     most = F.aggregate(name, F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))

@@ -187,6 +187,42 @@ def test_near_vectors_agree_with_all_pairs(spark):
     assert lattice_dedup.near_vectors(df.limit(0)).collect() == []
 
 
+def test_cells_follow_the_table(spark):
+    rng = np.random.default_rng(12)
+    sample, labels = rng.normal(size=(600, 32)), rng.integers(0, 3, 600)
+    shapes = [lattice_dedup.fitted_cells(sample, labels, n, 0.93) for n in (10**3, 10**6, 10**9)]
+    assert shapes[0].lattices < shapes[-1].lattices and shapes[0].tables < shapes[-1].tables
+    # Pairs just at the threshold are found by every shape, and far ones meet less in finer ones.
+    x = rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z = rng.normal(size=x.shape)
+    z -= (x * z).sum(1)[:, None] * x
+    y = 0.93 * x + math.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1)[:, None]
+    met = []
+    for shape in shapes:
+        width, far = shape.lattices * lattice.SIZE, 0
+        found = np.zeros(len(x), bool)
+        towards = lattice_dedup._directions(32, shape)
+        for t in range(shape.tables):
+            part = towards[:, t * width : (t + 1) * width]
+            a, b = (lattice_dedup._cell_keys(v @ part, np.zeros(len(x)), t, shape) for v in (x, y))
+            found |= (a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)
+            far += (a[:, :, None] == np.roll(b[:, 0], 1)[:, None, None]).sum()
+        assert found.mean() > 0.998
+        met.append(far / shape.tables)
+    assert met[0] >= met[1] >= met[2] and met[0] > met[2]
+
+
+@pytest.mark.parametrize("shape", [(1, 2.5, 4, 14), (2, 1.5, 8, 12), (3, 1.25, 8, 19)])
+def test_near_vectors_do_not_depend_on_the_cells(spark, shape):
+    df = spark.createDataFrame(_vectors(), "vec_id long, embedding array<double>, label int")
+    fitted, given = (
+        sorted(map(tuple, lattice_dedup.near_vectors(df, cells=cells).collect()))
+        for cells in (None, lattice_dedup.Cells(*shape))
+    )
+    assert fitted == given
+
+
 def _best(rows, every, top):
     whole = {}
     for i, v, *_ in rows:
