@@ -20,6 +20,12 @@ SCALE = 256
 #: Vectors in a shard, about; a task holds one shard at a time.
 SHARD_ROWS = 8192
 LEAF_ROWS = 128
+#: Groups of vectors that lie together, at most, and those a query searches first.
+GROUPS = 256
+FIRST_GROUPS = 4
+#: Vectors that the groups' centres are the means of, and rounds in which these settle.
+SAMPLE_ROWS = 8192
+SETTLING = 5
 #: Queries that go down a tree together.
 BLOCK = 256
 
@@ -168,6 +174,106 @@ def _answers(part: pa.RecordBatch, trees: dict[int, BallTree], top: int) -> Iter
             )
 
 
+@dataclass(frozen=True)
+class _Space:
+    """Centres of groups of vectors, for each length of vector, and the group that the first of them names."""
+
+    centres: dict[int, np.ndarray]
+    first: dict[int, int]
+
+
+def _space(rows: DataFrame, groups: int) -> _Space:
+    """About ``groups`` centres, the means that ``SAMPLE_ROWS`` rows settle around.
+
+    The rows are those whose ids have the least hashes.  Which centres these are decides how much of
+    the table a query can pass over, and nothing else.
+    """
+    taken = rows.orderBy(F.xxhash64("id"), "id", "vector").limit(SAMPLE_ROWS).collect() if groups > 1 else []
+    by_size: dict[int, list] = {}
+    for r in taken:
+        by_size.setdefault(len(r.vector), []).append(r.vector)
+    centres, first, number = {}, {}, 0
+    for size, vectors in sorted(by_size.items()):
+        held = np.array(vectors, dtype=float).reshape(len(vectors), size)
+        own = held[: max(1, min(len(held), groups * len(held) // len(taken)))]
+        for _ in range(SETTLING):
+            nearest = _nearest(held, own)
+            sums = np.zeros_like(own)
+            np.add.at(sums, nearest, held)
+            counts = np.bincount(nearest, minlength=len(own))[:, None]
+            own = np.where(counts > 0, sums / np.maximum(counts, 1), own)
+        centres[size], first[size] = own, number
+        number += len(own)
+    return _Space(centres, first)
+
+
+def _nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(1)[None] - 2 * (vectors @ centres.T)).argmin(1)
+
+
+def _grouper(space: _Space):
+    """``(id, vector, group, away)``: the nearest centre and how far it is; a length without centres is group -1."""
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups, away = np.full(len(batch), -1, np.int32), np.zeros(len(batch))
+            for rows, matrix in matrices(batch.column(1)):
+                centres = space.centres.get(matrix.shape[1])
+                if centres is not None:
+                    real = matrix.astype(float)
+                    nearest = _nearest(real, centres)
+                    groups[rows] = space.first[matrix.shape[1]] + nearest
+                    away[rows] = np.sqrt(((real - centres[nearest]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(groups), pa.array(away)], ["id", "vector", "group", "away"]
+            )
+
+    return group
+
+
+def _router(space: _Space, radius: dict[int, float], start: int, end: int | None):
+    """Each query with the groups whose balls can reach its k-th score, of its ``start`` to ``end`` best ones."""
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = batch.column(2).to_numpy()
+            for rows, matrix in matrices(batch.column(1)):
+                centres = space.centres.get(matrix.shape[1])
+                for at in range(0, len(rows), BLOCK):
+                    own = rows[at : at + BLOCK]
+                    if centres is None:  # nothing is known of them
+                        lines, groups = (own, np.full(len(own), -1)) if start == 0 else (own[:0], own[:0])
+                    else:
+                        real = matrix[at : at + BLOCK].astype(float)
+                        norms = np.sqrt((real**2).sum(1))[:, None]
+                        first = space.first[matrix.shape[1]]
+                        radii = np.array([radius.get(first + k, -1.0) for k in range(len(centres))])
+                        exact = real @ centres.T + norms * radii
+                        size = np.sqrt((centres**2).sum(1)) + np.maximum(radii, 0)
+                        bound = np.where(radii < 0, -np.inf, exact + 1e-6 + 1e-9 * (np.abs(exact) + norms * size))
+                        order = np.argsort(-bound, axis=1, kind="stable")[:, start:end]
+                        reaches = np.take_along_axis(bound, order, 1) >= least[own][:, None]
+                        lines, groups = own[np.nonzero(reaches)[0]], first + order[reaches]
+                    chosen = batch.take(pa.array(lines))
+                    yield pa.RecordBatch.from_arrays(
+                        [*chosen.columns, pa.array(groups, pa.int32())], ["id", "vector", "least", "home", "group"]
+                    )
+
+    return route
+
+
+def _asked(queries: DataFrame, space: _Space, radius: dict[int, float], layout: DataFrame, start: int, end: int | None) -> DataFrame:
+    """A wave: queries, repeated for each shard of the groups they go to but their home."""
+    schema = "id long, vector array<long>, least long, home int, group int"
+    return (
+        queries.mapInArrow(_router(space, radius, start, end), schema)
+        .join(F.broadcast(layout), "group")
+        .withColumn("shard", F.explode(F.expr("sequence(first, first + shards - 1)")))
+        .filter("shard <> home")
+        .select("shard", "id", "vector", "least")
+    )
+
+
 def top_products(
     vectors: DataFrame,
     *,
@@ -188,12 +294,12 @@ def top_products(
     rows that repeat an id with other vectors each take part.  Other columns are not read, and an
     empty table gives no rows.
 
-    Vectors are dealt into shards of about ``shard_rows``.  Each query first searches the shard it
-    lies in; its k-th score there goes with it to all other shards, which visit only balls that can
-    reach it and return only what does.  A task holds one shard and streams the queries past it,
-    so queries are repeated for every shard, and vectors never are.
+    Vectors are grouped around up to ``GROUPS`` centres, and a group is split into shards of about
+    ``shard_rows``.  Each query first searches the shard it lies in, then the ``FIRST_GROUPS`` groups with
+    the highest bounds, then all others.  Each wave takes the k-th score so far along: a query goes only to
+    groups whose ball can reach it, and there into balls that can.  A task holds one shard and streams
+    the queries past it.  What passes the driver is ``SAMPLE_ROWS`` vectors and a line for each group.
     """
-    spark = vectors.sparkSession
     whole = F.transform(c(vector), lambda x: F.floor(x.cast("double") * scale))
     rows = (
         vectors.filter(usable(c(vector)) & c(vec_id).isNotNull())
@@ -201,35 +307,49 @@ def top_products(
         .distinct()
     )
     rows = written(rows, "integer-vectors")
-    shards = max(1, -(-rows.count() // shard_rows))
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+    space = _space(rows, min(GROUPS, -(-rows.count() // shard_rows)))
+    grouped = written(rows.mapInArrow(_grouper(space), "id long, vector array<long>, group int, away double"), "grouped-vectors")
+    balls = grouped.groupBy("group").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n")).orderBy("group").collect()
+    radius = {b.group: b.radius * (1 + 1e-9) for b in balls}
+    layout, total = [], 0
+    for ball in balls:
+        shards = -(-ball.n // shard_rows)
+        layout.append((ball.group, total, shards))
+        total += shards
+    layout = rows.sparkSession.createDataFrame(layout, "group int, first int, shards int")
     none = F.lit(_NONE).cast("long")
-    held = rows.select(shard.alias("shard"), F.lit(0).alias("is_query"), "id", "vector", none.alias("least"))
-    queries = rows.filter(F.col("id") % every == 0)
+    placed = grouped.join(F.broadcast(layout), "group").select(
+        (F.col("first") + F.pmod(F.xxhash64("id"), F.col("shards"))).cast("int").alias("shard"), "id", "vector"
+    )
+    held = placed.select("shard", F.lit(0).alias("is_query"), "id", "vector", none.alias("least"))
+    queries = placed.filter(F.col("id") % every == 0)
 
     def searched(asked: DataFrame) -> DataFrame:
-        return (
+        found = (
             held.unionByName(asked.select("shard", F.lit(1).alias("is_query"), "id", "vector", "least"))
-            .repartitionById(shards, "shard")
+            .repartitionById(max(total, 1), "shard")
             .sortWithinPartitions("shard", "is_query")
             .mapInArrow(_searcher(top), "query_id long, vec_id long, score long")
         )
+        return written(found, "found")
 
-    # Several rows of one id ask for themselves; what they find together is ranked below.
-    home = written(searched(queries.select(shard.alias("shard"), "id", "vector", none.alias("least"))), "home")
-    full = home.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
-    least = F.when(F.col("n") == top, F.col("kth")).otherwise(none)
-    away = (
-        queries.join(full.withColumnRenamed("query_id", "id"), "id", "left")
-        .select(shard.alias("home"), "id", "vector", F.coalesce(least, none).alias("least"))
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        .filter("shard <> home")
-    )
-    found = home.unionByName(searched(away)) if shards > 1 else home
-    return (
-        found.groupBy("query_id", "vec_id")
-        .agg(F.max("score").alias("score"))
-        .withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"))
-        .filter(F.col("rank") <= top)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    # Several rows of one id ask for themselves; what they find together is ranked.
+    def ranked(found: DataFrame) -> DataFrame:
+        return (
+            found.groupBy("query_id", "vec_id")
+            .agg(F.max("score").alias("score"))
+            .withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"))
+            .filter(F.col("rank") <= top)
+            .select("query_id", "rank", "vec_id", "score")
+        )
+
+    found = searched(queries.withColumn("least", none))
+    for start, end in ((0, FIRST_GROUPS), (FIRST_GROUPS, None)) if total > 1 else ():
+        if start and len(balls) <= start:
+            break
+        kth = ranked(found).filter(F.col("rank") == top).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+        going = queries.join(kth, "id", "left").select(
+            "id", "vector", F.coalesce("kth", none).alias("least"), F.col("shard").alias("home")
+        )
+        found = found.unionByName(searched(_asked(going, space, radius, layout, start, end)))
+    return ranked(found)

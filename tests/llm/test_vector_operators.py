@@ -264,6 +264,23 @@ def test_a_tree_passes_balls_over():
     assert sum(looked) < len(vectors) / 4
 
 
+def test_queries_go_to_few_groups(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    centres = rng.normal(size=(24, 16)) * 4
+    rows = [(i, [float(x) for x in centres[i % 24] + rng.normal(size=16) * 0.05]) for i in range(1200)]
+    rows += [(1200 + i, [1.0 + i, 2.0]) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    waves, asked = [], ball_tree._asked
+    monkeypatch.setattr(ball_tree, "_asked", lambda *x: waves.append(asked(*x)) or waves[-1])
+    found = ball_tree.top_products(df, every=10, shard_rows=30)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect()) == _best(rows, 10, 5)
+    shards = 1 + max(r.shard for w in waves for r in w.select("shard").distinct().collect())
+    sent = sum(w.count() for w in waves)
+    assert len(waves) == 2 and shards >= 30 and sent < 120 * shards / 4
+    # The second wave starts with the k-th score of the first.
+    assert waves[1].filter(F.col("least") == -(2**63)).filter("size(vector) > 2").isEmpty()
+
+
 # --- registered queries ------------------------------------------------------------------------------
 
 
