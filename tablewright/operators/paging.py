@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,9 +11,13 @@ from pyspark.sql import functions as F
 from tablewright.functions.columns import ORDINAL, col, quoted, select_all, unused_name
 from tablewright.workspace import written
 
-# Up to here a sorted page is found by keeping the best rows of every task; for a page further down,
-# whose predecessors would not fit one task, keys are sorted over all tasks.  The rows are the same.
-SHALLOW_ROWS = 10_000
+# A sorted page is taken from the best rows of every task once no more than this many rows precede its end.
+TOP_ROWS = 10_000
+
+# Keys drawn to tell between which keys a page lies, and how far around their place the bounds are set,
+# in square roots of these.
+_SAMPLED = 4_096
+_ROOM = 2.0
 
 # A row id made by ``monotonically_increasing_id`` holds the task in its upper and the place within
 # the task in its lower 33 bits.
@@ -120,32 +125,92 @@ def sorted_page(
     *,
     descending: bool = False,
     ties: Sequence[str] = (),
-    shallow_rows: int = SHALLOW_ROWS,
+    top_rows: int = TOP_ROWS,
 ) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` by a column, NULL last both ways.
 
     ``ties`` orders rows that are equal in the column; stored tables fall back on arrival.
+
+    A page far down is not found by sorting the table: the keys drawn at random say between which two
+    keys it lies, the rows before these are counted, and only those between them, about a sixteenth, go
+    on to the next round.  A table that is not stored is written once, unsorted, to number its rows.
     """
     if not ties and ORDINAL in df.columns:
         ties = [ORDINAL]
-    c = col(df, order_by)
-    keys = [c.desc_nulls_last() if descending else c.asc_nulls_last()]
-    keys += [col(df, name).asc_nulls_last() for name in ties]
-    if offset + limit <= shallow_rows:
-        return df.orderBy(*keys).offset(offset).limit(limit)
-    if ORDINAL not in df.columns:
-        copy = written(with_ordinal(df.orderBy(*keys)), "sorted")
-        return page_by_position(copy, part_starts(copy), offset, limit).drop(ORDINAL)
-    # Stored rows have ids, so only the keys and ids are sorted; the page's ids, at most ``limit``
-    # of them, then fetch its rows.
-    row, place = unused_name(df, "row"), unused_name(df, "place")
-    named = {n: col(df, n) for n in dict.fromkeys([order_by, *ties]) if n != ORDINAL}
-    narrow = df.select(F.col(ORDINAL).alias(row), *[c.alias(f"k{i}") for i, c in enumerate(named.values())])
-    slot = {n: F.col(f"k{i}") for i, n in enumerate(named)} | {ORDINAL: F.col(row)}
-    first = slot[order_by]
-    order = [first.desc_nulls_last() if descending else first.asc_nulls_last()]
-    order += [slot[n].asc_nulls_last() for n in ties]
-    ids = written(with_ordinal(narrow.orderBy(*order).select(row)), "sorted-ids")
-    page = page_by_position(ids, part_starts(ids), offset, limit).withColumnRenamed(ORDINAL, place)
-    found = df.join(F.broadcast(page), F.col(ORDINAL) == F.col(row)).orderBy(place).limit(max(limit, 0))
+    if offset + limit <= top_rows:
+        return df.orderBy(*_sides(df, order_by, ties, descending)).offset(offset).limit(limit)
+    copy = df if ORDINAL in df.columns else written(with_ordinal(df), "numbered")
+    ties = list(dict.fromkeys([*ties, ORDINAL]))
+    row = unused_name(copy, "row")
+    named = [order_by, *[n for n in ties if n != order_by]]
+    narrow = copy.select(*[col(copy, n).alias(f"k{i}") for i, n in enumerate(named)], F.col(ORDINAL).alias("row"))
+    left, skip, limit = _around_page(narrow, len(named), descending, offset, limit, top_rows)
+    order = _sides(left, "k0", [f"k{i}" for i in range(1, len(named))], descending)
+    if skip + limit <= top_rows:
+        ids = left.orderBy(*order).offset(skip).limit(limit).select(F.col("row").alias(row))
+        ids = F.broadcast(ids)  # ``top_rows`` at most
+    else:
+        placed = written(with_ordinal(left.orderBy(*order).select(F.col("row").alias(row))), "sorted-ids")
+        ids = page_by_position(placed, part_starts(placed), skip, limit).select(row)
+    found = copy.join(ids, F.col(ORDINAL) == F.col(row)).orderBy(*_sides(copy, order_by, ties, descending)).limit(limit)
     return found.select(*[F.col(quoted(n)) for n in df.columns if n != ORDINAL])
+
+
+def _sides(df: DataFrame, order_by: str, ties: Sequence[str], descending: bool) -> list[Column]:
+    c = col(df, order_by)
+    return [c.desc_nulls_last() if descending else c.asc_nulls_last(), *[col(df, n).asc_nulls_last() for n in ties]]
+
+
+def _around_page(
+    rows: DataFrame, keys: int, descending: bool, skip: int, limit: int, top_rows: int
+) -> tuple[DataFrame, int, int]:
+    """Fewer rows that hold a page, how many of them come before it, and how many it has.
+
+    ``rows`` have the keys ``k0`` and so on, the last of which tells all of them apart, and ``row``.
+    """
+    n = rows.count()
+    limit = max(min(limit, n - skip), 0)
+    if not limit:
+        return rows.limit(0), 0, 0
+    names = [f"k{i}" for i in range(keys)]
+    order = Window.orderBy(*_sides(rows, "k0", names[1:], descending))
+    room, round_ = _ROOM, 0
+    while skip + limit > top_rows:
+        round_ += 1
+        drawn = rows.orderBy(F.xxhash64("row", F.lit(round_)), "row").limit(_SAMPLED).select(*names)
+        drawn = written(drawn.withColumn("place", F.row_number().over(order)), "drawn-keys")
+        size = min(n, _SAMPLED)
+        gap = room * math.sqrt(size)
+        low, high = math.floor(skip / n * size - gap), math.ceil((skip + limit) / n * size + gap)
+        if low < 1 and high > size:
+            break  # the page is most of what is left
+        zone = F.lit(1)
+        if low >= 1:
+            zone = F.when(_beyond(drawn, low, names, descending, before=True), 0).otherwise(zone)
+        if high <= size:
+            zone = F.when(_beyond(drawn, high, names, descending, before=False), 2).otherwise(zone)
+        marked = rows.withColumn("zone", zone)
+        counts = {r.zone: r["count"] for r in marked.groupBy("zone").count().collect()}
+        before, inside = counts.get(0, 0), counts.get(1, 0)
+        if before > skip or skip + limit > before + inside:
+            room *= 2
+            continue
+        rows = written(marked.filter("zone = 1").drop("zone"), "page-candidates")
+        shrunk, skip, n = inside <= 0.9 * n, skip - before, inside
+        if not shrunk:
+            break
+    return rows, skip, limit
+
+
+def _beyond(drawn: DataFrame, place: int, names: Sequence[str], descending: bool, before: bool) -> Column:
+    """Whether a row's keys come before, or after, those drawn at a place; NULL is last."""
+    bound = drawn.filter(F.col("place") == place)
+    found = F.lit(False)
+    for name in reversed(names):
+        key, other = F.col(name), bound.agg(F.max(name)).scalar()
+        smaller = before != (descending and name == names[0])
+        passes = (key < other) if smaller else (key > other)
+        apart = (key.isNotNull() & other.isNull()) if before else (key.isNull() & other.isNotNull())
+        passes = F.coalesce(passes, F.lit(False)) | apart
+        found = passes | (key.eqNullSafe(other) & found)
+    return found

@@ -60,7 +60,7 @@ def page_desc(t: Tables) -> DataFrame:
 def page_deep(t: Tables) -> DataFrame:
     """A page beyond what one task should sort: read by position from a sorted copy."""
     return paging.sorted_page(
-        t.orders, "o_totalprice", 1400, 50, ties=["o_orderkey"], shallow_rows=1000
+        t.orders, "o_totalprice", 1400, 50, ties=["o_orderkey"], top_rows=1000
     )
 
 

@@ -77,8 +77,31 @@ def test_deep_sorted_pages_equal_shallow_ones(spark, descending):
     ask = {"descending": descending, "ties": ["i"]}
     for offset in (0, 700, 2990, 5000):
         shallow = paging.sorted_page(df, "k", offset, 25, **ask).collect()
-        deep = paging.sorted_page(df, "k", offset, 25, shallow_rows=10, **ask).collect()
-        assert deep == shallow
+        for top_rows in (10, 200):
+            assert paging.sorted_page(df, "k", offset, 25, top_rows=top_rows, **ask).collect() == shallow
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("kind", ["string", "double", "decimal(12,2)", "timestamp", "boolean"])
+def test_a_deep_page_is_narrowed_down_to(spark, monkeypatch, descending, kind):
+    value = {
+        "string": "if(id % 7 = 0, null, concat('a long prefix ', id * 7919 % 5000))",
+        "double": "case when id % 5 = 0 then double('nan') when id % 7 = 0 then null else -id / 3.0 end",
+        "boolean": "if(id % 3 = 0, null, id % 2 = 0)",
+        "timestamp": "timestamp_seconds(id * 7919 % 5000)",
+    }.get(kind, "id * 7919 % 5000")
+    df = paging.written(paging.with_ordinal(spark.range(0, 20000, 1, 7).selectExpr(f"CAST({value} AS {kind}) k", "id")), "t")
+    kept = []
+    write = paging.written
+    monkeypatch.setattr(paging, "written", lambda d, name: kept.append((name, write(d, name))) or kept[-1][1])
+    for offset in (12_000, 19_990):
+        ordered = df.orderBy(df.k.desc_nulls_last() if descending else df.k.asc_nulls_last(), paging.ORDINAL)
+        expected = [r.id for r in ordered.select("id").collect()[offset : offset + 30]]
+        found = paging.sorted_page(df, "k", offset, 30, descending=descending, top_rows=1_000)
+        assert [r.id for r in found.collect()] == expected and found.columns == ["k", "id"]
+    # All that is written is drawn keys, and those around the page.
+    assert {name for name, _ in kept} == {"drawn-keys", "page-candidates"}
+    assert sum(d.count() for name, d in kept if name == "page-candidates") < 8_000
 
 
 def test_names_of_datasets_are_not_paths(spark, store):
