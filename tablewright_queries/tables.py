@@ -58,7 +58,7 @@ def page_desc(t: Tables) -> DataFrame:
 
 @query("SELECT * FROM orders ORDER BY o_totalprice NULLS LAST, o_orderkey LIMIT 50 OFFSET 1400")
 def page_deep(t: Tables) -> DataFrame:
-    """A page beyond what one task should sort: read by position from a sorted copy."""
+    """A page beyond what one task should sort, narrowed down to by drawn keys."""
     return paging.sorted_page(
         t.orders, "o_totalprice", 1400, 50, ties=["o_orderkey"], top_rows=1000
     )
