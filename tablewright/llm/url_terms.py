@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -43,6 +44,8 @@ SOFT = (
 )
 #: Distinct soft terms that reject.
 SOFT_HITS = 2
+#: Terms of a vocabulary read from a table, at most.
+MOST_TERMS = 1_000_000
 
 
 def host_of(url: Column) -> Column:
@@ -65,7 +68,25 @@ def _fits(rule: Rule, host: Column, path: Column) -> Column:
     return own & path.startswith(rule.path)
 
 
-def _counter(strict: Sequence[str], soft: Sequence[str]):
+@lru_cache(maxsize=4)
+def _automaton(strict: tuple[str, ...], soft: tuple[str, ...]):
+    """The automaton of a vocabulary, which a worker builds once; None without terms."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for kind, terms in ((0, soft), (1, strict)):
+        for term in terms:
+            automaton.add_word(term, (kind, term))
+    if not len(automaton):
+        return None
+    automaton.make_automaton()
+    return automaton
+
+
+_INSIDE = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def _counter(strict: tuple[str, ...], soft: tuple[str, ...]):
     """A function from lowered URLs to their numbers of distinct strict and soft terms.
 
     The automaton reports every occurrence in one pass over the URL, overlapping ones too; an
@@ -73,21 +94,13 @@ def _counter(strict: Sequence[str], soft: Sequence[str]):
     """
 
     def count(urls: pa.Array) -> pa.Array:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for kind, terms in ((0, soft), (1, strict)):
-            for term in terms:
-                automaton.add_word(term, (kind, term))
-        inside = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+        automaton = _automaton(strict, soft)
         found: tuple[list[int], list[int]] = ([], [])
-        if len(automaton):
-            automaton.make_automaton()
         for url in urls.to_pylist():
             hits: tuple[set[str], set[str]] = (set(), set())
-            for end, (kind, term) in automaton.iter(url) if len(automaton) else ():
+            for end, (kind, term) in automaton.iter(url) if automaton else ():
                 start = end + 1 - len(term)
-                if url[start - 1 : start] not in inside and url[end + 1 : end + 2] not in inside:
+                if url[start - 1 : start] not in _INSIDE and url[end + 1 : end + 2] not in _INSIDE:
                     hits[kind].add(term)
             for kind in (0, 1):
                 found[kind].append(len(hits[kind]))
@@ -97,6 +110,24 @@ def _counter(strict: Sequence[str], soft: Sequence[str]):
     return F.arrow_udf(count, "n_strict int, n_soft int")
 
 
+def vocabulary(terms: DataFrame, term: str = "term", weight: str = "weight") -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """``(strict, soft)`` terms of a table, for ``judge_urls``.
+
+    A weight of 1 or more makes a term strict, a lesser one over 0 soft; a term with several weights
+    has the greatest.  Terms are stripped of spaces and A-Z is lowered.  Null and empty terms, and those
+    whose weight is null, NaN or not over 0, take no part.  Every worker holds the whole vocabulary, so one
+    of over ``MOST_TERMS`` terms is refused.
+    """
+    word, heavy = ascii_lower(F.trim(c(term).cast("string"))), c(weight).cast("double")
+    sound = heavy.isNotNull() & ~F.isnan(heavy) & (heavy > 0)
+    own = terms.filter(sound).select(word.alias("term"), heavy.alias("weight")).filter("term <> ''")
+    found = own.groupBy("term").agg(F.max("weight").alias("weight")).limit(MOST_TERMS + 1).collect()
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"the vocabulary has more than {MOST_TERMS} terms")
+    strict = tuple(sorted(r.term for r in found if r.weight >= 1))
+    return strict, tuple(sorted(r.term for r in found if r.weight < 1))
+
+
 def judge_urls(
     pages: DataFrame,
     rules: Sequence[Rule] = RULES,

@@ -457,3 +457,27 @@ def test_url_terms_agree_with_expressions(spark):
 def test_sha_of_kept_lines(spark):
     kept = ld.drop_repeated_lines(_docs(spark, ["a\nb", None])).select(F.sha2("text", 256).alias("h")).collect()
     assert sorted(r.h for r in kept) == sorted(hashlib.sha256(x).hexdigest() for x in (b"a\nb", b""))
+
+
+def test_a_vocabulary_from_a_table(spark, monkeypatch):
+    terms = [(" Bad-Site ", 1.0), ("promo", 0.5), ("promo", 0.2), ("Deal", 0.9), ("deal", 3.0), ("win", 0.4),
+             (None, 1.0), ("", 1.0), ("x", None), ("y", 0.0), ("z", float("nan"))]
+    table = spark.createDataFrame(terms, "term string, weight double")
+    strict, soft = ut.vocabulary(table)
+    assert strict == ("bad-site", "deal") and soft == ("promo", "win")
+    urls = ["http://a/BAD-SITE", "http://a/promo", "http://a/promo/win", "http://a/promo/promo", "http://a/ideal", "http://a/x", None]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string")
+    found = {r.page_id: r.verdict for r in ut.judge_urls(df, strict=strict, soft=soft).collect()}
+    assert [i for i, v in found.items() if v == "block"] == [0, 2]
+    assert ut.vocabulary(table.limit(0)) == ((), ())
+    assert {r.n_soft for r in ut.judge_urls(df, strict=(), soft=()).collect()} == {0}
+    monkeypatch.setattr(ut, "MOST_TERMS", 3)
+    with pytest.raises(ValueError):
+        ut.vocabulary(table)
+
+
+def test_automata_are_built_once():
+    ut._automaton.cache_clear()
+    for _ in range(3):
+        ut._automaton(ut.STRICT, ut.SOFT)
+    assert ut._automaton.cache_info().misses == 1
