@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.shared import c, free_name, whole_text
+from tablewright.llm.shared import c, free_name, text_batches, whole_text
 from tablewright.workspace import new_folder, written
 
 # What is stripped from both ends of a line before it is compared.
@@ -27,8 +27,11 @@ _BLANK = b" \t\n\x0b\x0c\r"
 
 MIN_LENGTH = 40
 MIN_DOCS = 5
-BATCHES = 4
-FAN_IN = 4
+#: Batches at least, so that later ones meet compacted runs, and documents of a batch at most.
+BATCHES = 6
+BATCH_DOCS = 1 << 25
+#: Runs of a level that become one of the next.
+FAN_IN = 3
 #: Parts into which the lines of one key are dealt when they meet the list of repeated keys.
 SALTS = 16
 
@@ -129,7 +132,7 @@ class LineRuns:
 
 def _keys_of(min_length: int):
     def keys(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in tables:
+        for table in text_batches(tables):
             ids, out = [], []
             for doc, text in zip(table.column(0).to_pylist(), _text_bytes(table.column(1)), strict=True):
                 found = {k for line in text.split(b"\n") if (k := line_key(line, min_length)) is not None}
@@ -163,7 +166,7 @@ def drop_repeated_lines(
     text: str = "text",
     min_length: int = MIN_LENGTH,
     min_docs: int = MIN_DOCS,
-    batches: int = BATCHES,
+    batches: int | None = None,
     fan_in: int = FAN_IN,
     counts: bool = True,
 ) -> DataFrame:
@@ -179,11 +182,14 @@ def drop_repeated_lines(
     document: it counts once, and each of its rows is cleaned.  A null id is a document of its own
     that is smaller than all others.  An empty table gives an empty one.
 
+    Documents come in ``batches`` by a hash of their ids, by default as many as ``BATCH_DOCS`` asks for.
     The text is read twice, and joined on the document's id to its repeated keys only; every other
     shuffle moves 16-byte hashes and ids.  A key that a third of all rows holds is one row per run,
     and its lines are dealt over ``SALTS`` parts when they meet the list of repeated keys.
     """
     spark = docs.sparkSession
+    if batches is None:
+        batches = max(BATCHES, -(-docs.count() // BATCH_DOCS))
     # The smallest long stands for a null id, so that ids can be grouped and joined plainly.
     ident = F.coalesce(c(doc_id).cast("long"), F.lit(-(2**63)))
     pairs = docs.select(ident.alias("doc_id"), whole_text(text).alias("text")).mapInArrow(
