@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.errors import RequestError
-from tablewright.functions.columns import col, quoted, require, unused_name
+from tablewright.functions.columns import col, dtype, quoted, require, unused_name
 from tablewright.operators.joins import as_number
 from tablewright.operators.paging import numbered
 from tablewright.workspace import written
@@ -148,26 +151,81 @@ def moving_range(
     ``order`` is a number or a time; a time's ``preceding`` is in microseconds.  Rows with equal order
     see each other.  Rows without an order are a frame of their own, as in SQL.
 
-    The axis is cut into slices, four frames wide unless ``slice_width`` says otherwise, and rows near the
-    end of a slice are copied into the next, so a group is as many tasks as it has slices.
+    The axis is cut into slices no wider than a frame, and each row is copied into the next slices that frames
+    reach it from.  So a frame is the rows of its slice up to its own, and those copies that are not too far
+    back: two running aggregates, whose cost grows with the rows and not with how many a frame holds.
+    A group is as many tasks as it has slices.  ``slice_width`` is checked, but slices stay that narrow.
     """
     if preceding < 0 or (slice_width is not None and slice_width < preceding):
         raise RequestError("a slice is at least as wide as a frame", code="frame")
     require(df, [value, order, *by])
-    width = slice_width or max(4 * preceding, 1)
-    axis, part, own, shown = (unused_name(df, n) for n in ("frame_axis", "frame_slice", "frame_own", "frame_value"))
-    keys = [quoted(n) for n in by]
-    at = lambda x: F.floor(x / F.lit(width))
+    _aggregate(aggregate, F.lit(0))
+    names = ("axis", "from", "slice", "last", "alone", "part", "near", "here", "back", "value")
+    axis, start, own, last, alone, part, near, here, back, shown = (unused_name(df, f"frame_{n}") for n in names)
     rows = df.withColumn(axis, as_number(df, order))
-    first = at(F.col(axis))
-    wanted = F.when(F.col(axis).isNotNull(), F.sequence(first, at(F.col(axis) + F.lit(preceding)))).otherwise(F.array(first))
-    rows = rows.select("*", first.alias(own), F.explode(wanted).alias(part))
-    frame = Window.partitionBy(*keys, part).orderBy(axis).rangeBetween(-preceding, 0)
-    rows = rows.withColumn(shown, _aggregate(aggregate, F.col(quoted(value))).over(frame))
-    rows = rows.filter(F.col(own).eqNullSafe(F.col(part)))
+    x = F.col(axis)
+    first, final, single, at, bound = _slices(x, rows.schema[axis].dataType, preceding)
+    rows = rows.select("*", first.alias(own), final.alias(last), single.alias(alone), at.alias(start), bound.alias(near))
+    wanted = F.when(F.col(last) > F.col(own), F.sequence(own, last)).otherwise(F.array(own))
+    rows = rows.select("*", F.explode(wanted).alias(part))
+    mine = F.col(own).eqNullSafe(F.col(part))
+    kept = [  # copies carry no more than they must
+        (F.when(mine, F.col(quoted(f.name))).alias(f.name) if f.nullable and f.name not in by else F.col(quoted(f.name)))
+        for f in df.schema
+    ]
+    v = _summed(df, value, aggregate)
+    rows = rows.select(
+        *kept, axis, alone, part, mine.alias(own), F.when(mine, F.col(near)).otherwise(F.col(start)).alias(near),
+        F.when(mine, v).alias(here), F.when(~mine, v).alias(back),
+    )
+    slices = Window.partitionBy(*[quoted(n) for n in by], part, alone)
+    reach = (Window.unboundedPreceding, Window.currentRow)
+    up, down = slices.orderBy(axis).rangeBetween(*reach), slices.orderBy(F.desc(near)).rangeBetween(*reach)
+
+    def both(n: str) -> Column:
+        new, old = _aggregate(n, F.col(here)).over(up), _aggregate(n, F.col(back)).over(down)
+        if n in ("min", "max"):
+            return (F.least if n == "min" else F.greatest)(new, old)
+        return F.when(new.isNull(), old).when(old.isNull(), new).otherwise(new + old)
+
+    found = F.when(both("count") > 0, both("sum") / both("count")) if aggregate == "avg" else both(aggregate)
+    kind = df.select(_aggregate(aggregate, F.col(quoted(value))).alias(shown)).schema[shown].dataType
+    rows = rows.withColumn(shown, found.cast(kind)).filter(F.col(own))
     return rows.select(*[F.col(quoted(n)) for n in df.columns if n != name], F.col(shown).alias(name))
 
 
+def _summed(df: DataFrame, value: str, aggregate: str) -> Column:
+    """The value as averages add it up: whole numbers as doubles."""
+    v = F.col(quoted(value))
+    return v.cast("double") if aggregate == "avg" and isinstance(dtype(df, value), T.IntegralType) else v
+
+
+def _slices(x: Column, kind: T.DataType, preceding: float) -> tuple[Column, Column, Column, Column, Column]:
+    """A row's slice; the last one with frames that reach it; what sets it apart in its slice; its place among
+    the copies of a slice; and the place from which on copies are in its own frame."""
+    none = F.lit(None).cast(kind)
+    if preceding == 0:  # frames are equal rows
+        return F.lit(0), F.lit(0), x, x, x
+    if not isinstance(kind, T.FractionalType) or isinstance(kind, T.DecimalType):
+        # Slices are as wide as a frame: it ends at the same distance from the slice's beginning as it begins in the one before.
+        whole = not isinstance(kind, T.DecimalType)
+        if whole and preceding < 1:
+            return _slices(x, kind, 0)
+        width = F.lit(math.floor(preceding) if whole else Decimal(str(preceding)))
+        x = x.cast("long") if whole else x
+        rest = F.pmod(x, width)
+        first = F.call_function("div", x, width) - F.when(x % width < 0, 1).otherwise(0)
+        return first, first + 1, none, rest, rest
+    # The frame begins at the rounded difference, as in SQL.  Slices by a power of two are exact; where numbers lie
+    # further apart than a frame is long, as infinite ones do, frames are equal rows again.
+    step = 2.0 ** -23 if isinstance(kind, T.FloatType) else 2.0 ** -52
+    width = F.lit(2.0 ** (math.frexp(preceding)[1] - 1))
+    far = F.isnan(x) | (F.abs(x.cast("double")) / width >= 16 / step)
+    at = lambda y: F.floor(F.when(~far, y.cast("double")) / width)
+    reached = x.cast("double") + F.lit(float(preceding)) + F.abs(x.cast("double")) * (2 * step)
+    return at(x), at(reached), F.when(far, x), x, x - F.lit(float(preceding)).cast(kind)
+
+
 def ntile(df: DataFrame, name: str, tiles: int, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
     """``df`` with ``name``: each group's rows by ``order`` in ``tiles`` parts, from 1, the first ones one longer.
 

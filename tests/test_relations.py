@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablewright.errors import RequestError
@@ -155,6 +156,35 @@ def test_frames_agree_with_plain_ones(spark, framed, aggregate):
         assert {r.id: r[name] for r in rows.collect()} == pytest.approx(wanted[name])
 
 
+def test_moving_ranges_do_not_add_up_whole_frames_for_every_row(spark):
+    df = spark.range(20_000).select("id", (F.col("id") % 7).alias("t"), F.lit(1).alias("v"))
+    found = frames.moving_range(df, "v", "s", "t", preceding=3)
+    plan = _plan(found).lower()
+    assert "rangeframe" in plan and plan.count("rangeframe") == plan.count("rangeframe, unboundedpreceding")
+    n = [len(range(t, 20_000, 7)) for t in range(7)]
+    assert {(r.t, r.s) for r in found.collect()} == {(t, sum(n[max(t - 3, 0) : t + 1])) for t in range(7)}
+
+
+@pytest.mark.parametrize("kind, preceding", [
+    ("long", 3), ("tinyint", 7), ("double", 0), ("double", 3), ("float", 1), ("decimal(12,2)", 3), ("decimal(38,18)", 7),
+])
+def test_moving_ranges_of_all_kinds_of_numbers(spark, kind, preceding):
+    rng = random.Random(11)
+    odd = [float("nan"), float("inf"), float("-inf"), 1e17, 1e17 + 16, 1e17 + 32, -1e300, 2.0**55, 2.0**55 + 8, 2.0**52 + 1, 2.0**52 - 3]
+    some = [None, *[rng.randint(-90, 90) / 10 for _ in range(300)], *[rng.randint(-9, 9) for _ in range(40)]]
+    if kind in ("double", "float"):
+        some += [v if kind == "double" or abs(v) < 1e30 or v != v else v / 1e280 for v in odd for _ in (1, 2)]
+    rows = [(i, None if t is None else repr(float(t)), rng.choice("ab"), rng.choice([None, *range(9)])) for i, t in enumerate(some)]
+    df = spark.createDataFrame(rows, "id int, t string, k string, v int")
+    df = df.select("id", "k", F.col("v").cast("decimal(7,2)").alias("v"), F.col("t").cast("double").cast(kind).alias("t"))
+    own = Window.partitionBy("k").orderBy("t").rangeBetween(-preceding, 0)
+    for aggregate in ("sum", "avg", "min"):
+        found = frames.moving_range(df, "v", "s", "t", ["k"], aggregate, preceding=preceding)
+        wanted = df.withColumn("s", getattr(F, aggregate)("v").over(own))
+        assert found.schema["s"].dataType == wanted.schema["s"].dataType
+        assert {r.id: r.s for r in found.collect()} == {r.id: r.s for r in wanted.collect()}
+
+
 def test_tiles_and_bad_frames(spark, framed):
     df = spark.createDataFrame(framed, "id int, t int, k string, v int")
     order = [F.col("t"), F.col("id")]
