@@ -23,6 +23,8 @@ BATCH = 1 << 20
 LANE = 256
 #: Links of a group from which its equal tokens are put together before pairs are made.
 _MANY = 1 << 16
+#: Links that are written out at once, besides those of a last group.
+_AT_ONCE = 1 << 20
 _A_BITS = 32
 
 _WORKER: dict[tuple[str, str, str], TwoTokenizers] = {}
@@ -42,6 +44,7 @@ class TwoTokenizers:
         self.bytes_b = [self._piece(i) for i in range(self._b.get_piece_size())]
         sizes = lambda table: np.fromiter(map(len, table), np.int64, len(table))
         self.sizes_a, self.sizes_b = sizes(self.bytes_a), sizes(self.bytes_b)
+        self._spelled_a, self._spelled_b = (pa.array(x, pa.large_binary()) for x in (self.bytes_a, self.bytes_b))
 
     @staticmethod
     def of(*paths: str) -> TwoTokenizers:
@@ -55,16 +58,29 @@ class TwoTokenizers:
 
     def __call__(self, texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """The ids of each text in A and in B; none for texts that either does not give back."""
-        plain = texts.fill_null("").to_pylist()
-        ids_a = self._a(pc.binary_join_element_wise("", texts.fill_null(""), " "))
-        out_a, out_b = [], []
-        for text, a, b in zip(plain, ids_a, self._b.encode(plain, out_type=int, num_threads=1), strict=True):
-            a, whole = np.frombuffer(a, "<u4").astype(np.int64), f" {text}".encode()
-            good = text and b"".join(map(self.bytes_b.__getitem__, b)) == whole
-            good = good and b"".join(map(self.bytes_a.__getitem__, a.tolist())) == whole
-            out_a.append(a if good else a[:0])
-            out_b.append(np.asarray(b if good else [], np.int64))
-        return out_a, out_b
+        filled = texts.fill_null("")
+        plain, whole = filled.to_pylist(), pc.binary_join_element_wise("", filled, " ")
+        out_a = [np.frombuffer(a, "<u4").astype(np.int64) for a in self._a(whole)]
+        out_b = [np.asarray(b, np.int64) for b in self._b.encode(plain, out_type=int, num_threads=1)]
+        whole = whole.cast(pa.large_binary())
+        same = pc.and_(pc.equal(_joined(self._spelled_a, out_a), whole), pc.equal(_joined(self._spelled_b, out_b), whole))
+        good = [bool(text) and x for text, x in zip(plain, same.to_pylist(), strict=True)]
+        return tuple([x if g else x[:0] for x, g in zip(out, good, strict=True)] for out in (out_a, out_b))
+
+
+def _joined(spelled: pa.LargeBinaryArray, ids: list[np.ndarray]) -> pa.LargeBinaryArray:
+    """The bytes of each text's tokens, one after the other."""
+    offsets, data = _taken(spelled, np.concatenate([np.empty(0, np.int64), *ids]))
+    borders = offsets[np.cumsum([0, *map(len, ids)])]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(borders), data])
+
+
+def _taken(words: pa.LargeBinaryArray, index: np.ndarray) -> tuple[np.ndarray, pa.Buffer]:
+    """Words put together: where each begins, with the end of all, and the bytes."""
+    found = words.take(pa.array(index))
+    data = found.buffers()[2]
+    offsets = np.frombuffer(found.buffers()[1], np.int64, len(index) + 1) if len(index) else np.zeros(1, np.int64)
+    return offsets, pa.py_buffer(b"") if data is None else data
 
 
 class Batch:
@@ -75,6 +91,7 @@ class Batch:
         self.starts_a, self.starts_b = (np.cumsum([0, *map(len, x)]) for x in (ids_a, ids_b))
         # A text has as many bytes in A as in B, so ends are comparable over the whole batch.
         self.ends_a, self.ends_b = np.cumsum(sizes_a[self.a]), np.cumsum(sizes_b[self.b])
+        self._top_a, self._top_b = len(sizes_a), len(sizes_b)
 
     def lanes(self, lane: int) -> tuple[np.ndarray, np.ndarray]:
         """Where lanes begin in A and in B: at every text, and within texts at common ends, ``lane`` tokens apart or more."""
@@ -111,60 +128,70 @@ class Batch:
                     on = i < last
                     i, j, last, from_a, from_b = i[on], j[on], last[on], from_a[on], from_b[on]
 
-    def links(self, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """``(text, pair of ids, times)`` of the links of groups: every token of A with every one of B."""
+    def _links(self, groups: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Sorted keys of the distinct links of groups, some at a time, and how often each comes."""
+        first = np.searchsorted(self.starts_a, groups[:, 0], "right") - 1
+        a0, a1, b0, b1 = groups.T
         many = (a1 - a0) * (b1 - b0) > _MANY
         for k in np.flatnonzero(many):
             own_a, times_a = np.unique(self.a[a0[k] : a1[k]], return_counts=True)
             own_b, times_b = np.unique(self.b[b0[k] : b1[k]], return_counts=True)
-            pairs = (own_a[:, None] << _A_BITS | own_b[None, :]).ravel()
-            text = np.searchsorted(self.starts_a, a0[k], "right") - 1
-            yield np.full(len(pairs), text), pairs, (times_a[:, None] * times_b[None, :]).ravel()
-        a0, a1, b0, b1 = a0[~many], a1[~many], b0[~many], b1[~many]
+            yield self._key(first[k], own_a[:, None], own_b[None, :]).ravel(), (times_a[:, None] * times_b[None, :]).ravel()
+        a0, a1, b0, b1, first = (x[~many] for x in (a0, a1, b0, b1, first))
         wide = b1 - b0
         size = (a1 - a0) * wide
-        group = np.repeat(np.arange(len(size)), size)
-        within = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
-        at_a, at_b = np.divmod(within, wide[group])
-        at_a += a0[group]
-        pairs = self.a[at_a] << _A_BITS | self.b[at_b + b0[group]]
-        yield np.searchsorted(self.starts_a, at_a, "right") - 1, pairs, np.ones(len(pairs), np.int64)
+        part = (np.cumsum(size) - size) // _AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            group = np.repeat(np.arange(start, end), size[start:end])
+            within = np.arange(len(group)) - np.repeat(np.cumsum(size[start:end]) - size[start:end], size[start:end])
+            at_a, at_b = np.divmod(within, wide[group])
+            yield np.unique(self._key(first[group], self.a[at_a + a0[group]], self.b[at_b + b0[group]]), return_counts=True)
+
+    def _key(self, text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A number for each link of a text, in the order of texts, then ids of A, then ids of B."""
+        return (text * self._top_a + a) * self._top_b + b
 
     def aligned(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Groups as columns from and to in A, from and to in B, in order; and the distinct links of each text."""
-        groups, links = [], []
-        for step in self.cuts():
-            groups.append(np.stack(step, 1))
-            links.extend(self.links(*step))
-        groups = np.concatenate([np.empty((0, 4), np.int64), *groups])
-        columns = [np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*links, strict=True)] or [np.empty(0, np.int64)] * 3
-        pairs, number = np.unique(columns[1], return_inverse=True)
-        key = columns[0] * max(len(pairs), 1) + number
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        times = np.add.reduceat(columns[2][order], first) if len(first) else first
-        text, number = np.divmod(key[first], max(len(pairs), 1))
-        return groups[np.argsort(groups[:, 0])], pairs, np.stack([text, number], 1), times
-
-
-def _group_texts(batch: Batch, groups: np.ndarray, words: list[np.ndarray]) -> list[bytes]:
-    """For each text its groups as ``a1,a2|b1;a3|b2,b3``.
-
-    ``words`` holds, for each separator, every id followed by it.
+        steps = [np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*self.cuts(), strict=True)] or [np.empty(0, np.int64)] * 4
+        place = np.full(len(self.a), -1)
+        place[steps[0]] = np.arange(len(steps[0]))  # no two groups begin at the same token
+        groups = np.stack(steps, 1)[place[place >= 0]]
+        found = list(self._links(groups))
+        key, times = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*found, strict=True))
+        if len(found) > 1:
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            starts = np.flatnonzero(np.diff(key, prepend=-1))
+            key, times = key[starts], np.add.reduceat(times[order], starts) if len(starts) else times
+        text, link = np.divmod(key, self._top_a * self._top_b)
+        links = np.unique(link)
+        number = np.searchsorted(links, link)
+        a, b = np.divmod(links, self._top_b)
+        return groups, a << _A_BITS | b, np.stack([text, number], 1), times
+
+
+def _group_digests(batch: Batch, groups: np.ndarray, words: pa.LargeBinaryArray) -> list[str]:
+    """For each text the SHA-256 of its groups as ``a1,a2|b1;a3|b2,b3``; '' if it has none.
+
+    ``words`` holds every id followed by a comma, then every id followed by a bar, then by a semicolon.
     """
     # Tokens of A and B in the order of writing: a token's place is its own number and that of all before it.
     sizes_a, sizes_b = groups[:, 1] - groups[:, 0], groups[:, 3] - groups[:, 2]
     before_b = np.repeat(groups[:, 2], sizes_a)
     before_a = np.repeat(groups[:, 1], sizes_b)
-    end_a, end_b = np.zeros(len(batch.a), bool), np.zeros(len(batch.b), bool)
-    end_a[groups[:, 1] - 1], end_b[groups[:, 3] - 1] = True, True
-    out = np.empty(len(batch.a) + len(batch.b), object)
-    out[np.arange(len(batch.a)) + before_b] = np.where(end_a, words[1][batch.a], words[0][batch.a])
-    out[np.arange(len(batch.b)) + before_a] = np.where(end_b, words[2][batch.b], words[0][batch.b])
-    borders = (batch.starts_a + batch.starts_b).tolist()
-    flat = out.tolist()
-    return [b"".join(flat[a:b])[:-1] for a, b in zip(borders, borders[1:], strict=False)]
+    top = len(words) // 3
+    written_a, written_b = batch.a.copy(), batch.b.copy()
+    written_a[groups[:, 1] - 1] += top
+    written_b[groups[:, 3] - 1] += 2 * top
+    out = np.empty(len(batch.a) + len(batch.b), np.int64)
+    out[np.arange(len(batch.a)) + before_b] = written_a
+    out[np.arange(len(batch.b)) + before_a] = written_b
+    offsets, data = _taken(words, out)
+    borders = offsets[batch.starts_a + batch.starts_b].tolist()
+    flat = memoryview(data)
+    return [hashlib.sha256(flat[a : b - 1]).hexdigest() if a < b else "" for a, b in zip(borders, borders[1:], strict=False)]
 
 
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -191,7 +218,7 @@ def _aligner(paths: tuple[str, str, str]) -> Callable[[Iterator[pa.RecordBatch]]
     def align(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = TwoTokenizers.of(*paths)
         top = max(len(both.bytes_a), len(both.bytes_b))
-        words = [np.array([b"%d%c" % (i, mark) for i in range(top)], object) for mark in b",|;"]
+        words = pa.array([b"%d%c" % (i, mark) for mark in b",|;" for i in range(top)], pa.large_binary())
         number = TaskContext.get().partitionId() << 33
         for docs, batch in _batches(tables, paths):
             groups, pairs, links, times = batch.aligned()
@@ -204,7 +231,7 @@ def _aligner(paths: tuple[str, str, str]) -> Callable[[Iterator[pa.RecordBatch]]
                 np.diff(of_text),
                 np.diff(np.concatenate([[0], np.cumsum(sizes)])[of_text]),
             ]
-            digests = [hashlib.sha256(t).hexdigest() if t else "" for t in _group_texts(batch, groups, words)]
+            digests = _group_digests(batch, groups, words)
             borders = np.searchsorted(links[:, 0], np.arange(n + 1))
             yield pa.RecordBatch.from_arrays(
                 [

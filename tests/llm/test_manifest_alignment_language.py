@@ -180,6 +180,26 @@ def test_many_links_in_a_group_are_counted_by_distinct_ids():
     assert len(groups) == 1 and times.sum() == 401 * 401 > la._MANY and len(pairs) == 6
 
 
+@pytest.mark.parametrize("at_once, many", [(1, 1 << 16), (5, 4), (1 << 20, 0)])
+def test_links_written_out_in_parts_are_those_of_plain_loops(monkeypatch, at_once, many):
+    import numpy as np
+
+    monkeypatch.setattr(la, "_AT_ONCE", at_once)
+    monkeypatch.setattr(la, "_MANY", many)
+    sizes_a, sizes_b = np.array([1, 2, 3, 1]), np.array([2, 1, 4])
+    ids_a = [np.array(x, np.int64) for x in ([0, 1, 2, 3, 3, 1], [], [2, 2, 2, 0, 3, 0], [1])]
+    ids_b = [np.array(x, np.int64) for x in ([1, 0, 2, 1, 0], [], [2, 2, 0, 0], [1, 1])]
+    batch = la.Batch(ids_a, ids_b, sizes_a, sizes_b)
+    groups, pairs, links, times = batch.aligned()
+    wanted = Counter()
+    for a0, a1, b0, b1 in groups.tolist():
+        text = int(np.searchsorted(batch.starts_a, a0, "right")) - 1
+        wanted.update((text, a, b) for a in batch.a[a0:a1].tolist() for b in batch.b[b0:b1].tolist())
+    assert (np.diff(pairs) > 0).all() and groups[:, 0].tolist() == [0, *groups[:-1, 1].tolist()]
+    found = [(t, int(pairs[n] >> 32), int(pairs[n] & 0xFFFFFFFF)) for t, n in links.tolist()]
+    assert found == sorted(wanted) and dict(zip(found, times.tolist(), strict=True)) == wanted
+
+
 @given
 def test_alignment_of_a_given_table(spark):
     docs = spark.read.parquet(f"{GIVEN}/documents.parquet").filter("doc_id % 5 = 0").select("doc_id", "text")
